@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, toxicity
+from . import bpe, decontaminate, langid, licenses, neardup, substrings, toxicity
 from .sql import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.withColumn("kept", kept)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     places = F.transform("exact", lambda x: x["first"])
@@ -80,6 +91,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op4_near_duplicates": op4_near_duplicates,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_license_scan": op6_license_scan,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_language_id": op9_language_id,
