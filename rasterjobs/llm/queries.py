@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, neardup, substrings, toxicity
+from . import bpe, decontaminate, langid, licenses, lines, neardup, substrings, toxicity
 from .sql import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_templates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
@@ -91,6 +96,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_line_dedup": op3_line_dedup,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_license_scan": op6_license_scan,

@@ -30,4 +30,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (k) LEFT JOIN items USING (k)
 """
 
-ORACLES = {"op10_decontamination": OP10}
+#: The tree in SQL: leaves, constants by place, templates, and what is dropped but for the first document.
+OP3 = r"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS k FROM documents),
+cut AS (SELECT doc_id, k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM d WHERE text IS NOT NULL),
+l AS (
+  SELECT doc_id, k, pos, line, t, len(t) AS n,
+         array_to_string(list_transform(t[1:3], lambda x: CASE WHEN contains(x, '#') THEN '<*>' ELSE x END), ' ') AS lead,
+         array_to_string(t, ' ') AS shape
+  FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '#', 'g'), '[ \t\r\f\x0B]+'), lambda x: x <> '') AS t FROM cut)
+  WHERE doc_id IS NOT NULL AND len(t) >= 3),
+leaves AS (SELECT n, lead FROM l GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+kinds AS (SELECT n, lead, shape, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM l JOIN leaves USING (n, lead) GROUP BY n, lead, shape),
+e AS (SELECT n, lead, shape, docs, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM kinds),
+constants AS (SELECT n, lead, place, token FROM e GROUP BY ALL HAVING sum(docs) >= 10),
+templates AS (
+  SELECT n, lead, shape, string_agg(place || '=' || token, ' ' ORDER BY place) AS template
+  FROM e JOIN constants USING (n, lead, place, token) GROUP BY n, lead, shape HAVING count(*) >= n * 0.7),
+recurring AS (
+  SELECT n, lead, template, min(doc_id) AS first_id FROM l JOIN templates USING (n, lead, shape)
+  GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 10),
+gone AS (
+  SELECT k, pos FROM l JOIN templates USING (n, lead, shape) JOIN recurring USING (n, lead, template) WHERE doc_id > first_id),
+kept AS (
+  SELECT k, count(*) AS n_lines, count(g.pos) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY c.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
+  FROM cut c LEFT JOIN gone g USING (k, pos) GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
+       sha256(kept) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+ORACLES = {"op3_line_dedup": OP3, "op10_decontamination": OP10}
