@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, lines, neardup, substrings, toxicity
+from . import bpe, decontaminate, langid, licenses, lines, neardup, neighbours, pitmanyor, substrings, toxicity
+from .common import fold
 from .sql import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +26,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held, trains = fold("doc_id", 5, 1)
+    found = pitmanyor.score(docs, trains)
+    return found.select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_templates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,6 +70,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
@@ -96,10 +111,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_line_dedup": op3_line_dedup,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_license_scan": op6_license_scan,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_language_id": op9_language_id,
         "op10_decontamination": op10_decontamination,
