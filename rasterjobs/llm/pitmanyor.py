@@ -31,9 +31,9 @@ from .bytegrams import Table, chunks, counted, grams
 from .common import U64, WordHashes, checkpointed, free_shuffles, lower_words, partitions
 
 #: Bytes of context, and the discount and strength of restaurants by their context's length.
-ORDER = 5
-DISCOUNT = (0.4, 0.5, 0.6, 0.7, 0.75, 0.8)
-STRENGTH = (20.0, 10.0, 4.0, 2.0, 1.0, 0.5)
+ORDER = 6
+DISCOUNT = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+STRENGTH = (20.0, 10.0, 4.0, 2.0, 1.0, 1.0, 1.0)
 #: Sweeps before the first kept one, and kept sweeps.
 BURN_IN, KEPT = 3, 4
 #: Customers of a dish that are seated one by one.
@@ -277,7 +277,7 @@ def _answers(fitted: Fitted):
         if kind == 0:
             own = Restaurants(keys, n)
             own.sample(fitted.upper, np.random.default_rng([fitted.seed, bucket]))
-            values = [own.log10(k) for _, k in asked]
+            values = [own.log10(k).astype(np.float32) for _, k in asked]
         else:
             values = []
             for _, k in asked:
@@ -304,7 +304,8 @@ def _scored(names: list[str]):
         for kind in (0, 1):
             mine = replies.filter(pa.compute.equal(replies.column("kind"), kind))
             keys = [_unpack(k) for k in mine.column("keys").to_pylist()]
-            values = [np.frombuffer(_grow(v)) for v in mine.column("values").to_pylist()]
+            kept = np.float64 if kind else np.float32
+            values = [np.frombuffer(_grow(v), kept) for v in mine.column("values").to_pylist()]
             found[kind] = Table(np.concatenate(keys), np.concatenate(values)) if keys else Table(np.empty(0, U64), np.empty(0))
         texts, size, hashes = docs.column("_text").cast(pa.binary()).to_pylist(), docs.num_rows, WordHashes()
         tokens, known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
@@ -320,7 +321,7 @@ def _scored(names: list[str]):
             lines = [_line(x) for x in group]
             lengths[own] = [len(x) for x in lines]
             for data, places, owner in chunks(lines, ORDER):
-                p = found[0].values[found[0].find(grams(data, ORDER + 1)[places - ORDER])]
+                p = found[0].values[found[0].find(grams(data, ORDER + 1)[places - ORDER])].astype(np.float64)
                 first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 score[begin + owner[first]] += np.add.reduceat(p, first)
             begin += len(group)
