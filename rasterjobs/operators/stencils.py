@@ -37,8 +37,8 @@ def tiled(
     )
     sent = sized.withColumn("_ty", F.explode(reach("y"))).withColumn("_tx", F.explode(reach("x")))
     sent = sent.filter((F.col("_ty") * tile < F.col("h")) & (F.col("_tx") * tile < F.col("w")))
-    every = dims.select(*by, "h", "w", F.explode(F.expr(f"sequence(0, (h - 1) div {tile})")).cast("int").alias("_ty"))
-    every = every.withColumn("_tx", F.explode(F.expr(f"sequence(0, (w - 1) div {tile})")).cast("int"))
+    every = dims.select(*by, "h", "w", F.explode(F.expr(f"sequence(0, cast((h - 1) div {tile} as int))")).alias("_ty"))
+    every = every.withColumn("_tx", F.explode(F.expr(f"sequence(0, cast((w - 1) div {tile} as int))")))
     none = lambda t: F.lit(None).cast(t)
     rows = sent.select(*by, "_ty", "_tx", "h", "w", "y", "x", "v").unionByName(
         every.select(*by, "_ty", "_tx", "h", "w", none("int").alias("y"), none("int").alias("x"), none("double").alias("v"))
