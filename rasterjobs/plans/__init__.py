@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import evaluation, imaging, prompting  # noqa: F401
+    from . import evaluation, imaging, prompting, catalogue  # noqa: F401
 
 
 def queries() -> dict:

@@ -31,7 +31,7 @@ for _rule in ("clamped", "regular"):
 
 
 @query("patch_shares", "slices", "roi", sql=_grid_sql("regular") + f""" SELECT g.*, count(r.y) AS n_roi, round(count(r.y) / ((y1 - y0) * (x1 - x0)), 6) AS share FROM grid g
-LEFT JOIN roi r ON r.subject = g.subject AND r.z = g.z AND r.y >= y0 AND r.y < y1 AND r.x >= x0 AND r.x < x1 GROUP BY ALL HAVING count(r.y) / ((y1 - y0) * (x1 - x0)) >= 0.1""")
+LEFT JOIN roi r ON r.subject = g.subject AND r.z = g.z AND r.y >= y0 AND r.y < y1 AND r.x >= x0 AND r.x < x1 GROUP BY g.subject, g.z, patch_id, y0, y1, x0, x1 HAVING count(r.y) / ((y1 - y0) * (x1 - x0)) >= 0.1""")
 def _(v: Views) -> DataFrame:
     grid = prompts.patch_grid(v.slices, PATCH, STRIDE, rule="regular")
     return rounded(prompts.patch_share(grid, v.roi, PATCH).filter(F.col("share") >= 0.1))
