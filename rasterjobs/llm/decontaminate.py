@@ -57,7 +57,7 @@ class _Index:
         rows = [np.array([self.vocabulary[w] for w in words], U64) for _, words in items]
         gap = np.zeros(window, U64)
         self.words = np.concatenate([gap, *(x for row in rows for x in (row, gap))])
-        starts = window + np.cumsum([0, *(len(row) + window for row in rows[:-1])])
+        starts = window + np.cumsum([0, *(len(row) + window for row in rows)])[: len(rows)]
         self.owner = np.repeat(np.arange(len(rows)), [len(r) + window for r in rows])
         self.owner = np.concatenate([np.zeros(window, np.int64), self.owner])
         by_length: dict[int, list[np.ndarray]] = defaultdict(list)
@@ -108,19 +108,48 @@ class _Index:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _laid_out(batch: pa.RecordBatch, text_col: str, index: _Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words, with gaps; words of each document; where each starts)."""
+    gap, lookup = [0] * index.window, index.vocabulary.__getitem__
+    ids, counts = list(gap), np.zeros(batch.num_rows, np.int64)
+    for i, text in enumerate(texts_of(batch, text_col)):
+        words = alnum_words(text)
+        counts[i] = len(words)
+        ids.extend(map(lookup, words))
+        ids.extend(gap)
+    start = index.window + np.cumsum(counts + index.window) - counts - index.window
+    return np.array(ids, U64), counts, start
+
+
+def _clean(index: _Index, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _, start = _laid_out(batch, text_col, index)
+            begin, _, _ = index.hits(words)
+            kept = np.ones(batch.num_rows, bool)
+            kept[np.searchsorted(start, begin, "right") - 1] = False
+            yield batch.filter(pa.array(kept))
+
+    return run
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", window: int = 10, gram: int = 5, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item.
+
+    Cases as for find_contamination; rows without words stay. A map for each block of items."""
+    for items in list(_blocks(benchmark, item_col, item_text_col, block_words)):
+        docs = docs.mapInArrow(_clean(_Index(items, window, gram), text_col), docs.schema)
+    return docs
+
+
 def _scan(index: _Index, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap, lookup = [0] * index.window, index.vocabulary.__getitem__
         names = np.array(index.names, object)
         for batch in batches:
-            ids, counts = list(gap), np.zeros(batch.num_rows, np.int64)
-            for i, text in enumerate(texts_of(batch, text_col)):
-                words = alnum_words(text)
-                counts[i] = len(words)
-                ids.extend(map(lookup, words))
-                ids.extend(gap)
-            start = index.window + np.cumsum(counts + index.window) - counts - index.window
-            words = np.array(ids, U64)
+            words, counts, start = _laid_out(batch, text_col, index)
             begin, end, item = index.hits(words)
             depth = np.zeros(len(words) + 1, np.int64)
             np.add.at(depth, begin, 1)
@@ -176,9 +205,9 @@ def _merged(spans: Column) -> Column:
             F.concat(
                 F.slice(done, 1, F.size(done) - 1),
                 F.array(
-                    F.struct(
-                        F.try_element_at(done, F.lit(-1))["first"].alias("first"),
-                        F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"),
+                    F.named_struct(
+                        F.lit("first"), F.try_element_at(done, F.lit(-1))["first"],
+                        F.lit("end"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]),
                     )
                 ),
             ),

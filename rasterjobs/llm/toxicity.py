@@ -46,7 +46,6 @@ def _distinct(h: np.ndarray) -> np.ndarray:
 
 def _together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of the distinct features of texts of about CHUNK bytes in all."""
-    texts = [b" %b " % t.lower() if t else b"" for t in texts]
     lengths = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
@@ -69,11 +68,11 @@ def features(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray,
         length = len(text or b"")
         if i == len(texts) or size + length > CHUNK or i - begin >= MOST_DOCS:
             if i > begin:
-                yield (begin, i - begin, *_together([t or b"" for t in texts[begin:i]]))
+                yield (begin, i - begin, *_together([b" %b " % t.lower() if t else b"" for t in texts[begin:i]]))
             begin, size = i, 0
         if length > CHUNK:
-            over = max(ORDERS) - 1
-            found = [_together([text[k : k + CHUNK + over]])[1] for k in range(0, length, CHUNK)]
+            over, text = max(ORDERS) - 1, b" %b " % text.lower()
+            found = [_together([text[k : k + CHUNK + over]])[1] for k in range(0, len(text), CHUNK)]
             found = _distinct(np.concatenate(found))
             yield i, 1, np.zeros(len(found), np.int64), found
             begin = i + 1
@@ -108,20 +107,20 @@ def _weights(
 
 
 def _margins(row: np.ndarray, flat: np.ndarray, n: int, model: tuple) -> np.ndarray:
-    ratio, weight, bias, least = model
+    ratio, weight, bias, least = model[:4]
     norm = np.sqrt(np.bincount(row, (ratio**2)[flat], minlength=n))
     return np.bincount(row, (ratio * weight)[flat], minlength=n) * LENGTH / np.maximum(norm, least) + bias
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(ratio, weight, bias, least norm). Each half of the texts is also scored by a model of the
+def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """(ratio, weight, bias, least norm, share of label 1). Each half of the texts is also scored by a model of the
     other half; a logistic curve over these margins turns the whole model's into probabilities.
 
     With one class only (or no rows) all weights are 0 and the bias is the smoothed share."""
     n, half = len(texts), np.arange(len(texts)) % 2
     share = (labels.sum() + 0.5) / (n + 1)
     if not n or any(not labels[half == k].any() or labels[half == k].all() for k in (0, 1)):
-        return np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(share / (1 - share))), 1.0
+        return np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(share / (1 - share))), 1.0, float(share)
     found = [(doc + first, bucket) for first, _, doc, bucket in features(texts)]
     row, flat = (np.concatenate(x) for x in zip(*found, strict=True))
     across = np.empty(n)
@@ -131,7 +130,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> tuple[np.nd
         across[half != k] = _margins(row[~own] // 2, flat[~own], (half != k).sum(), model)
     slope, base = _line(across, labels)
     ratio, weight, bias, least = _weights(row, flat, labels, n, rounds)
-    return ratio, weight * slope, float(bias * slope + base), least
+    return ratio, weight * slope, float(bias * slope + base), least, float(share)
 
 
 def _line(z: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[float, float]:
@@ -148,17 +147,20 @@ def _line(z: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[float, f
     return line[0] / spread, line[1]
 
 
-def scores(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray, float, float]) -> np.ndarray:
-    out = np.empty(len(texts))
+def scores(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray, float, float, float]) -> np.ndarray:
+    """Probabilities of label 1; of texts without a weighted feature no more than its share in training."""
+    out, live = np.empty(len(texts)), model[0] != 0
     for first, n, doc, bucket in features(texts):
-        out[first : first + n] = 1 / (1 + np.exp(-np.clip(_margins(doc, bucket, n, model), -700, 700)))
+        p = 1 / (1 + np.exp(-np.clip(_margins(doc, bucket, n, model), -700, 700)))
+        bare = np.bincount(doc[live[bucket]], minlength=n) == 0
+        out[first : first + n] = np.where(bare, np.minimum(p, model[4]), p)
     return out
 
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", max_train: int = MAX_TRAIN,
-) -> tuple[np.ndarray, np.ndarray, float, float]:
+) -> tuple[np.ndarray, np.ndarray, float, float, float]:
     """Fits on at most max_train labelled documents with a text, whatever the size of the tables.
 
     Rows with a null id or label take no part; an id with several labels is toxic if one is.
@@ -189,18 +191,18 @@ def train(
         model = fit(texts, np.array(marks, np.int64))
         yield pa.RecordBatch.from_arrays(
             [pa.array([x.astype(np.float64).tobytes()]) for x in model[:2]]
-            + [pa.array([x]) for x in model[2:]], ["ratio", "weight", "bias", "least"]
+            + [pa.array([x]) for x in model[2:]], ["ratio", "weight", "bias", "least", "share"]
         )
 
-    schema = "ratio binary, weight binary, bias double, least double"
+    schema = "ratio binary, weight binary, bias double, least double, share double"
     row = sample.coalesce(1).mapInArrow(run, schema).first()
     if row is None:
         return fit([], np.empty(0, np.int64))
-    return np.frombuffer(row.ratio), np.frombuffer(row.weight), row.bias, row.least
+    return np.frombuffer(row.ratio), np.frombuffer(row.weight), row.bias, row.least, row.share
 
 
 def score(
-    docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float], *, id_col: str = "doc_id",
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float, float], *, id_col: str = "doc_id",
     text_col: str = "text", keep: list[str] | None = None, score_col: str = "score",
 ) -> DataFrame:
     """``keep`` columns (the id) and a score from 0 to 1 for each row; null text is an empty one."""
