@@ -22,17 +22,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cached pieces of a worker, and the longest piece (characters) that is cached.
-CACHED, CACHED_CHARS = 400_000, 48
+CACHED, CACHED_CHARS = 200_000, 48
+#: Texts taken from an Arrow batch at a time.
+SLICE = 1_000
+
+
+@functools.lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    """id -> bytes, from a file of ranks that every machine has."""
+    with open(path, "rb") as f:
+        pairs = (line.split() for line in f if line.strip())
+        return {int(n): base64.b64decode(token) for token, n in pairs}
+
+
+def decoded(packed: bytes | None, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist())) if packed else b""
 
 
 class BytePairs(dict):
     """piece (str) -> its ids as packed little-endian 32-bit integers; itself the cache."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            pairs = (line.split() for line in f if line.strip())
-            self.rank = {base64.b64decode(token): int(n) for token, n in pairs}
-        self.token = {n: token for token, n in self.rank.items()}
+        self.token = tokens_of(path)
+        self.rank = {token: n for n, token in self.token.items()}
         self.split = regex.compile(pattern).findall
         self.fits: dict[tuple[int, int], bool] = {}
         # a token that merging its own bytes does not give stands only for a whole piece
@@ -106,9 +118,6 @@ class BytePairs(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text)))
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 @functools.lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> BytePairs:
@@ -116,6 +125,12 @@ def load(path: str, pattern: str) -> BytePairs:
     return BytePairs(path, pattern)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
 def encode(
     docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -128,9 +143,8 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(path, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            packed = [pairs.encode(t) if t else b"" for t in texts]
+        for batch in _sliced(batches):
+            packed = [pairs.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())],
                 [id_col, "ids", "n_tokens"],
@@ -140,7 +154,7 @@ def encode(
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens bigint")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids") -> DataFrame:
     """All columns of ``encoded`` and ``decoded`` binary: the bytes that the ids stand for.
 
     Null ids decode to empty bytes; an id outside the vocabulary is an error."""
@@ -148,9 +162,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, ids_col: str = "ids")
     place = columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = load(path, pattern)
-        for batch in batches:
-            text = [pairs.decode(p) if p else b"" for p in batch.column(place).to_pylist()]
+        tokens = tokens_of(path)
+        for batch in _sliced(batches):
+            text = [decoded(p, tokens) for p in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(text, pa.binary())], columns
             )
