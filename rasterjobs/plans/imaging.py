@@ -112,7 +112,7 @@ def _(v: Views) -> DataFrame:
     return boxed.select(*KEY, "inst_id", "comp_id", "area", "y_min", "y_max", "x_min", "x_max", adaptive_count(F.col("area")).alias("n_points"))
 
 
-@query("fibres", "masks", sql=_PROPS.replace('"c"', '"c"').replace("abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 0 AND b.x0 <= a.x1 + 0", "abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1") + """
+@query("fibres", "masks", sql=_PROPS.replace("abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 0 AND b.x0 <= a.x1 + 0", "abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1") + """
 SELECT subject, z, y, CAST(unnest(range(x0, x1 + 1)) AS INT) AS x FROM c
 SEMI JOIN (SELECT * FROM props WHERE area >= 25 AND major_axis >= 50 AND eccentricity >= 0.8) k USING (subject, z, comp_id)""")
 def _(v: Views) -> DataFrame:
