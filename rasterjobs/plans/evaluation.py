@@ -132,7 +132,7 @@ def _(v: Views) -> DataFrame:
 def skeleton_sql(source: str, keys: str, name: str, steps: int = 40) -> str:
     """Zhang-Suen thinning: the whole mask is emitted anew in each of a fixed number of passes."""
     around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    bits = ", ".join(f"max(CASE WHEN b.y - a.y = {dy} AND b.x - a.x = {dx} THEN 1 ELSE 0 END) AS r{i}" for i, (dy, dx) in enumerate(around))
+    bits = ", ".join(f"max(CASE WHEN a.dy = {dy} AND a.dx = {dx} THEN 1 ELSE 0 END) AS r{i}" for i, (dy, dx) in enumerate(around))
     count = " + ".join(f"r{i}" for i in range(8))
     turns = " + ".join(f"CASE WHEN r{i} = 0 AND r{(i + 1) % 8} = 1 THEN 1 ELSE 0 END" for i in range(8))
     pair = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
@@ -142,7 +142,8 @@ def skeleton_sql(source: str, keys: str, name: str, steps: int = 40) -> str:
   UNION ALL
   SELECT {keys}, y, x, step + 1 FROM (
     SELECT {cols}, a.y, a.x, a.step, {bits}
-    FROM {name}_all a JOIN {name}_all b ON {pair} AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1
+    FROM (SELECT s.*, o.dy, o.dx, s.y + o.dy AS ny, s.x + o.dx AS nx FROM {name}_all s, (SELECT * FROM (VALUES (0), (1), (-1)) p(dy), (VALUES (0), (1), (-1)) q(dx)) o) a
+    JOIN {name}_all b ON {pair} AND b.y = a.ny AND b.x = a.nx
     GROUP BY {cols}, a.y, a.x, a.step)
   WHERE step < {steps} AND NOT ({count} BETWEEN 2 AND 6 AND ({turns}) = 1 AND
     CASE WHEN step % 2 = 0 THEN r0 * r2 * r4 = 0 AND r2 * r4 * r6 = 0 ELSE r0 * r2 * r6 = 0 AND r0 * r4 * r6 = 0 END)),
