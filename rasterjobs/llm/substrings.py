@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, checkpointed, free_shuffles, list_array, mix, partitions, plain_words, ragged, rolling, texts_of
+from .common import U64, WordHashes, checkpointed, free_shuffles, list_array, mix, partitions, plain_words, ragged, rolling, texts_of, window_hashes
 
 #: Consecutive words whose hash is a candidate for the minimiser.
 GRAM = 3
@@ -121,16 +121,17 @@ def _repeats(window: int):
         grow, hashes = zstandard.ZstdDecompressor().decompress, WordHashes()
         firsts, seconds, least, kept = [], [], [], []
         for strings, counts, places in zip(*(table.column(k).to_pylist() for k in ("strings", "counts", "places")), strict=True):
-            lines = grow(strings).split(b"\n")
-            words = [x.split(b" ") for x in lines]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            values = hashes.hashes((w for x in words for w in x), int(sizes.sum()))
-            del words, lines
+            text = grow(strings)
+            lines = text.split(b"\n")
+            sizes = np.fromiter((x.count(b" ") for x in lines), np.int64, len(lines)) + 1
+            words = text.split()  # no word holds a blank or a line feed
+            values = hashes.hashes(words, len(words))
+            del words, lines, text
             # windows of a string: all but those that run into the next one
             string, within = ragged(sizes - window + 1)
             at = (np.cumsum(sizes) - sizes)[string] + within
-            firsts.append(rolling(values, window)[at])
-            seconds.append(rolling(values, window, 0xD6E8FEB86659FD93)[at])
+            firsts.append(window_hashes(values, window)[at])
+            seconds.append(window_hashes(values, window, 0xD6E8FEB86659FD93)[at])
             body = grow(places)
             n_docs, n = np.frombuffer(body, np.int64, 2).tolist()
             ids, k = np.frombuffer(body, np.int64, n_docs, 16), 16 + 8 * n_docs
