@@ -8,8 +8,9 @@ full sets, without making all pairs of a bucket:
 * every class is compared with the least class that it shares a bucket with;
 * what is linked so becomes components; buckets whose members are all in one component are
   done, since nothing more could change there;
-* in the other buckets further pivots (1, 2, 4, ... a round) are compared with the members of
-  other components, until no bucket is left. Nothing is capped.
+* in the other buckets each member outside the largest component asks the others in turn, 1,
+  then 4, 16, ... of them a round, until its bucket is done or all have been asked. Members of
+  one component are not compared. Nothing is capped.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 """
@@ -172,6 +173,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_confirm(threshold), "u bigint, v bigint")
 
 
+def _components_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    named = rows.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    return named.withColumn("component", F.coalesce("component", "cls"))
+
+
+def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) after more links: only the components that they join are worked on."""
+    end = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = links.join(end("u"), "u").join(end("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    moved = found.join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return checkpointed(moved)
+
+
+def _asking(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: bucket, cls, place (from 1, those of
+    the bucket's largest component first), n (members), asks (is not of that component), tried."""
+    named = _components_of(shared.select("bucket", "cls"), found)
+    sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("bucket").agg(
+        F.max_by("component", F.struct("k", "component")).alias("big"), F.sum("k").cast("int").alias("n"), F.count("*").alias("several")
+    )
+    held = named.join(sizes.filter("several > 1").drop("several"), "bucket").withColumn("asks", F.col("component") != F.col("big"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("asks", F.xxhash64("cls"), "cls"))
+    return held.select("bucket", "cls", place.alias("place"), "n", "asks", F.lit(0).alias("tried"))
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
     threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS,
@@ -201,27 +229,32 @@ def near_duplicates(
     sets = _sets(source, classes, shared.select("cls").distinct(), shingle, count)
     pairs = shared.filter("cls > least").groupBy("cls").agg(F.min("least").alias("a"))
     links = checkpointed(_verified(pairs.select("a", F.col("cls").alias("b")), sets, threshold))
-    found = components(links)
-    open_rows, pivots = shared.select("bucket", "cls"), 1
+    found = _grown(shared.select(F.col("cls").alias("node"), F.col("cls").alias("component")).distinct(), links)
+    state, step = checkpointed(_asking(shared, found)), 1
     while True:
-        named = open_rows.join(
-            found.select(F.col("node").alias("cls"), "component"), "cls", "left"
-        ).withColumn("component", F.coalesce("component", "cls"))
+        named = _components_of(state, found)
         mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        named = named.join(mixed.filter("lo < hi").select("bucket"), "bucket")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("cls"))
-        named = checkpointed(named.select("bucket", "cls", "component", rank.alias("place")))
-        if named.isEmpty():
+        named = named.join(mixed.filter("lo < hi").select("bucket"), "bucket", "left_semi")
+        rest = F.when(F.col("asks"), F.col("n") - 1 - F.col("tried")).otherwise(0)
+        turn = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("rest"), "bucket"))
+        named = named.withColumn("rest", rest).withColumn("turn", turn)
+        take = F.when((F.col("rest") <= step) | (F.col("turn") == 1), F.least("rest", F.lit(step))).otherwise(0)
+        named = checkpointed(named.withColumn("take", take).drop("rest", "turn"))
+        if named.filter("take > 0").isEmpty():
             break
-        left = named.filter(F.col("place") <= pivots).select(
-            "bucket", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa")
-        )
-        pairs = left.join(named, "bucket").filter("place > pa and component <> ca")
-        more = checkpointed(_verified(pairs.select("a", F.col("cls").alias("b")).distinct(), sets, threshold))
+        asked = named.filter("take > 0").withColumn("_off", F.explode(F.expr("sequence(tried + 1, tried + take)")))
+        asked = asked.select(
+            "bucket", F.col("cls").alias("b"), F.col("component").alias("cb"),
+            F.when(F.col("_off") < F.col("place"), F.col("_off")).otherwise(F.col("_off") + 1).alias("place"),
+        )
+        pairs = asked.join(named.select("bucket", "place", F.col("cls").alias("a"), "component"), ["bucket", "place"])
+        pairs = pairs.filter("cb <> component").select("a", "b").distinct()
+        more = checkpointed(_verified(pairs, sets, threshold))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        open_rows, pivots = named.filter(F.col("place") > pivots).select("bucket", "cls"), pivots * 2
+            found = _grown(found, more)
+        state = named.withColumn("tried", F.col("tried") + F.col("take")).drop("component", "take")
+        step *= 4
+        free_shuffles(docs.sparkSession)
     label = (
         classes.join(found, classes["cls"] == found["node"], "left")
         .select(classes["cls"], "rep", F.coalesce("component", classes["cls"]).alias("component"))
