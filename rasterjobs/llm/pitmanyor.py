@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,6 +202,21 @@ def _bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
     return ((of * U64(0x9E3779B97F4A7C15)) >> U64(33)) % U64(buckets)
 
 
+def _distinct_grams(lines: list[bytes], weight: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of lines, with their counts times ``weight``."""
+    parts = [counted(grams(data, ORDER + 1)[places - ORDER]) for data, places, _ in chunks(lines, ORDER)]
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, U64), np.empty(0, np.int64))
+    keys, n = counted(keys, n)
+    return keys, n * weight
+
+
+def _by_bucket(keys: np.ndarray, kind: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts keys by bucket and, within it, as they are; where each bucket begins)."""
+    where = _bucket_of(keys, kind, buckets)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(buckets + 1))
+
+
 def _gathered(buckets: int):
     """A chunk's texts to rows (kind, bucket, chunk, keys, n): distinct keys, training counts."""
 
@@ -214,15 +230,11 @@ def _gathered(buckets: int):
                 flat = [w for x in group for w in (*x, END_WORD)]
                 h, n = counted(hashes.hashes(flat, len(flat)))
                 found[1].append((h, n * mine))
-            for data, places, _ in chunks([_line(x) for x in words], ORDER):
-                keys, n = counted(grams(data, ORDER + 1)[places - ORDER])
-                found[0].append((keys, n * mine))
+            found[0].append(_distinct_grams([_line(x) for x in words], int(mine)))
         out = []
         for kind, parts in found.items():
             keys, n = counted(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, U64),) * 2
-            where = _bucket_of(keys, kind, buckets)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+            order, cuts = _by_bucket(keys, kind, buckets)
             for b in range(buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
@@ -269,7 +281,8 @@ def _tables_up(fitted: Fitted | None, seed: int):
 
 
 def _answers(fitted: Fitted):
-    """Replies (kind, chunk, keys, values): log10 probabilities of n-grams, counts of words."""
+    """Replies (kind, bucket, chunk, keys, values): counts of words by their keys; log10 probabilities
+    of n-grams in the order in which the chunk asked, without keys, which it can make again."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
@@ -285,29 +298,34 @@ def _answers(fitted: Fitted):
                 values.append(np.where(found, n[at] if len(n) else 0, 0).astype(np.float64))
         return pa.table(
             [
-                pa.array([kind] * len(asked), pa.int32()), pa.array([c for c, _ in asked], pa.int32()),
-                pa.array([_pack(k) for _, k in asked], pa.binary()), pa.array([_shrink(v.tobytes()) for v in values], pa.binary()),
+                pa.array([kind] * len(asked), pa.int32()), pa.array([bucket] * len(asked), pa.int32()),
+                pa.array([c for c, _ in asked], pa.int32()), pa.array([_pack(k) if kind else None for _, k in asked], pa.binary()), pa.array([_shrink(v.tobytes()) for v in values], pa.binary()),
                 pa.array([len(n) if i == 0 and kind else 0 for i in range(len(asked))], pa.int64()),
                 pa.array([int(n.sum()) if i == 0 and kind else 0 for i in range(len(asked))], pa.int64()),
             ],
-            names=["kind", "chunk", "keys", "values", "distinct", "total"],
+            names=["kind", "bucket", "chunk", "keys", "values", "distinct", "total"],
         )
 
     return run
 
 
-def _scored(names: list[str]):
+def _scored(names: list[str], buckets: int):
     """A chunk's texts and its replies to sums for each text."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        found: dict[int, Table] = {}
-        for kind in (0, 1):
-            mine = replies.filter(pa.compute.equal(replies.column("kind"), kind))
-            keys = [_unpack(k) for k in mine.column("keys").to_pylist()]
-            kept = np.float64 if kind else np.float32
-            values = [np.frombuffer(_grow(v), kept) for v in mine.column("values").to_pylist()]
-            found[kind] = Table(np.concatenate(keys), np.concatenate(values)) if keys else Table(np.empty(0, U64), np.empty(0))
         texts, size, hashes = docs.column("_text").cast(pa.binary()).to_pylist(), docs.num_rows, WordHashes()
+        keys, _ = _distinct_grams([_line(lower_words(t)) for t in texts])
+        order, _ = _by_bucket(keys, 0, buckets)
+        mine = replies.filter(pa.compute.equal(replies.column("kind"), 0)).sort_by("bucket").column("values").to_pylist()
+        values = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(_grow(v), np.float32) for v in mine)])
+        if len(values) != len(keys):
+            raise ValueError("a bucket's answer is missing")
+        found = {0: Table(keys[order], values)}
+        mine = replies.filter(pa.compute.equal(replies.column("kind"), 1))
+        keys = [np.empty(0, U64), *(_unpack(k) for k in mine.column("keys").to_pylist())]
+        values = [np.empty(0), *(np.frombuffer(_grow(v)) for v in mine.column("values").to_pylist())]
+        found[1] = Table(np.concatenate(keys), np.concatenate(values))
+        del keys, values, mine, order
         tokens, known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
         lengths, begin = np.zeros(size, np.int64), 0
         for group in _groups([lower_words(t) for t in texts]):
@@ -361,26 +379,28 @@ def score(
     packed = checkpointed(packed)
     free_shuffles(spark)
     own = packed.filter("kind = 0").groupBy("bucket")
-    fitted = None
+    fitted = pairs = None
     for step in range(2):  # tables at first one a dish, then sampled
         pairs = own.applyInArrow(_tables_up(fitted, seed + step), "pair bigint, c bigint")
         c = np.zeros((256, 256))
         for r in pairs.groupBy("pair").agg(F.sum("c").alias("c")).collect():  # at most 256 * 256
             c[r["pair"] >> 8, r["pair"] & 255] = r["c"]
         fitted = Fitted(upper_restaurants(c, seed + step), seed + 2)
+        free_shuffles(spark)
     replies = packed.groupBy("kind", "bucket").applyInArrow(
-        _answers(fitted), "kind int, chunk int, keys binary, values binary, distinct bigint, total bigint"
+        _answers(fitted), "kind int, bucket int, chunk int, keys binary, values binary, distinct bigint, total bigint"
     )
     replies = checkpointed(replies)
+    del packed, own, pairs
     free_shuffles(spark)
     words = replies.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     n, v = words["n"] or 0, words["v"] or 0
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
     sums = rows.drop("_trains").groupBy("_chunk").cogroup(
-        replies.select(F.col("chunk").alias("_chunk"), "kind", "keys", "values").groupBy("_chunk")
+        replies.select(F.col("chunk").alias("_chunk"), "kind", "bucket", "keys", "values").groupBy("_chunk")
     )
     new = "n_tokens bigint, n_known bigint, n_bytes bigint, _base double, score double"
-    found = sums.applyInArrow(_scored(keep), ", ".join([*fields, new]))
+    found = sums.applyInArrow(_scored(keep, buckets), ", ".join([*fields, new]))
     base = F.col("_base") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
     return found.select(
         *keep, "n_tokens", "n_known", "n_bytes", F.lit(n).cast("bigint").alias("train_tokens"),
