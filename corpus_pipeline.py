@@ -28,9 +28,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3. All rows stay; text loses its recurring lines and n_chars follows it."""
+    """Operator 3, with templates at every scale. All rows stay; text loses its recurring lines
+    and n_chars follows it."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = lines.drop_templates(docs, carry=carried).withColumn("text", F.col("kept"))
+    out = lines.drop_templates(docs, carry=carried, scaled=True).withColumn("text", F.col("kept"))
     if "n_chars" in carried:
         changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)

@@ -6,6 +6,12 @@ documents reach, a token that stands in enough documents at the same place is co
 other is a variable field; a line's template keeps the constants. A template is one if enough
 of its tokens are constant, and it recurs if enough documents hold it. Lines of recurring
 templates are dropped, but for those of the first document that holds the template.
+
+With a fixed number of documents for "enough", the values of a field become constants once the
+table is large. ``scaled`` asks at min_docs, 2, 4, 8, ... times min_docs too: at each level a
+constant and a template need that many documents, so a line that goes at some size of the
+table goes at any larger size with the same distribution, and lines that few documents hold
+are judged as before.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ def _lines(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
 def drop_templates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
     leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT,
+    scaled: bool = False,
 ) -> DataFrame:
     """One row per document row: id, ``carry`` columns, n_lines, n_dropped, kept (the text without
     the dropped lines).
@@ -67,23 +74,29 @@ def drop_templates(
     kinds = checkpointed(texts.join(weights, ["leaf", "shape"]))
     each = kinds.select("leaf", "shape", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
     each = each.withColumn("token", F.xxhash64("token"))
-    constants = each.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs).drop("s")
+    constants = each.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs)
+    # the last level at which the token is constant: log2(s / min_docs), rounded down
+    top = F.length(F.bin((F.col("s") / min_docs).cast("bigint"))) - 1 if scaled else F.lit(0)
+    levels = F.explode(F.sequence(F.lit(0), top)).alias("level")
+    constants = constants.select("leaf", "place", "token", levels)
     templates = (
         each.join(constants, ["leaf", "place", "token"])
-        .groupBy("leaf", "shape")
+        .groupBy("leaf", "shape", "level")
         .agg(F.first("n").alias("n"), F.count("*").alias("kept"), F.bit_xor(F.xxhash64("place", "token")).alias("template"))
         .filter(F.col("kept") >= F.col("n") * F.lit(constant))
-        .select("leaf", "shape", "template")
+        .groupBy("leaf", "shape", "template").agg(F.min("level").alias("level"))
     )
     templates = checkpointed(templates)
     recurring = (
-        held.join(templates, ["leaf", "shape"])
+        held.join(templates.drop("level"), ["leaf", "shape"])
         .groupBy("leaf", "template", "_id").agg(F.lit(1).alias("one"))
         .groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("_id").alias("first_id"))
         .filter(F.col("docs") >= min_docs)
     )
     doomed = checkpointed(
-        templates.join(recurring.select("leaf", "template", "first_id"), ["leaf", "template"]).select("leaf", "shape", "first_id")
+        templates.join(recurring, ["leaf", "template"])
+        .filter(F.col("docs") >= min_docs * F.pow(F.lit(2), F.col("level")))
+        .groupBy("leaf", "shape").agg(F.min("first_id").alias("first_id"))
     )
     gone = (
         lines.join(doomed, ["leaf", "shape"])

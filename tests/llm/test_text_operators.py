@@ -84,6 +84,15 @@ def test_line_dedup_equals_sql(spark):
     assert lines.drop_templates(frame(spark, [], False)).collect() == []
 
 
+@pytest.mark.parametrize("size", [300, 3000])
+def test_fields_stay_fields_in_a_larger_table(spark, size):
+    """20 names and 20 cities: in 3,000 documents each value passes MIN_DOCS, hardly any line does."""
+    rows = [(i, f"the parcel was sent by n{'abcdefghijklmnopqrst'[i % 20]} to c{'abcdefghijklmnopqrst'[i * 7 % 401 % 20]} on time") for i in range(size)]
+    rows += [(size + i, f"the parcel was found again by the river near {w} mill") for i, w in enumerate("abcdefghijkl")]
+    dropped = {r.doc_id for r in lines.drop_templates(frame(spark, rows), scaled=True).collect() if r.n_dropped}
+    assert dropped == set(range(1, size + 12)) - {size}
+
+
 def test_license_places_and_edits(spark):
     rows = [
         (1, "Released Under the MIT License. under the mit license"), (2, "Released under the MTT Licence."),
