@@ -1,5 +1,5 @@
-"""A corpus pipeline: toxic documents go, recurring lines go, near copies go, documents with
-benchmark passages go, and what is left is encoded.
+"""A corpus pipeline: toxic documents go, recurring lines go, near copies and repeated long
+lines go, documents with benchmark passages go, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return
 the columns of docs. ``run`` chains them over ``documents``; a driver may write and reread
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterjobs.llm import bpe, decontaminate, lines, neardup, toxicity
+from rasterjobs.llm.common import checkpointed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Documents that score as much are rejected.
@@ -30,9 +31,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3, with templates at every scale. All rows stay; text loses its recurring lines
     and n_chars follows it."""
-    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = lines.drop_templates(docs, carry=carried, scaled=True).withColumn("text", F.col("kept"))
-    if "n_chars" in carried:
+    return _shortened(docs, lines.drop_templates(docs, carry=_carried(docs), scaled=True))
+
+
+def _carried(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
+
+
+def _shortened(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """cut, of drop_templates or drop_passages, with the columns of docs."""
+    out = cut.withColumn("text", F.col("kept"))
+    if "n_chars" in docs.columns:
         changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed)
     return out.select(*docs.columns)
@@ -40,11 +49,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, five words and similarity 0.8. The document of the least id of each group
-    stays; of equal rows one; rows with a null id stay."""
+    stays; of equal rows one; rows with a null id stay. Of a long line that several of them hold
+    (operator 3's passages) the first document's stays."""
     found = neardup.near_duplicates(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.filter(F.col("doc_id").isNull()).unionByName(kept).select(*docs.columns)
+    first = checkpointed(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = _shortened(docs, lines.drop_passages(kept, carry=_carried(docs)))
+    return docs.filter(F.col("doc_id").isNull()).unionByName(kept)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, free_shuffles
 
+BLANKS = "[ \\t\\r\\f\\x0B]+"
 LEADING, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 3, 10, 0.7
+#: Tokens of a line that counts as a passage: equal ones are dropped from two documents on.
+LONG_TOKENS = 50
 #: Leaves that are broadcast to pick lines; beyond, a shuffle join.
 BROADCAST_LEAVES = 500_000
 
 
 def _tokens(line: Column) -> Column:
     masked = F.regexp_replace(line, "[0-9]+", "#")
-    return F.filter(F.split(masked, "[ \\t\\r\\f\\x0B]+"), lambda x: x != "")
+    return F.filter(F.split(masked, BLANKS), lambda x: x != "")
 
 
 def _lines(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
@@ -106,6 +109,37 @@ def drop_templates(
     )
     gone = checkpointed(gone)
     free_shuffles(spark)
+    return _without(rows, gone)
+
+
+def drop_passages(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, long_tokens: int = LONG_TOKENS,
+) -> DataFrame:
+    """As drop_templates, but what goes are lines of at least ``long_tokens`` tokens that a document
+    of a lesser id holds too, with the same tokens and digits.
+
+    It belongs after near-duplicates: before, it would cut the copies down to what is left of
+    them beside their long lines, and they would no longer be found."""
+    rows = docs.select(
+        F.struct(id_col, *(carry or [])).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
+    )
+    known = rows.filter("_id is not null and _text is not null")
+    cut = known.select("_id", F.xxhash64("_text").alias("_th"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
+    tokens = F.filter(F.split("line", BLANKS), lambda x: x != "")
+    cut = cut.select("_id", "_th", "pos", tokens.alias("tokens")).filter(F.size("tokens") >= long_tokens)
+    lines = checkpointed(cut.select("_id", "_th", "pos", F.xxhash64(F.array_join("tokens", " ")).alias("line")))
+    shared = lines.groupBy("line").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")).filter("first_id < last_id")
+    gone = (
+        lines.join(shared.select("line", "first_id"), "line")
+        .filter(F.col("_id") > F.col("first_id"))
+        .groupBy(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
+    )
+    return _without(rows, checkpointed(gone))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (_row, _id, _text) without the lines at the places in gone (_gone_id, _gone_th, _gone)."""
     met = (F.col("_id") == F.col("_gone_id")) & (F.xxhash64("_text") == F.col("_gone_th"))
     cut = F.split("_text", "\n")
     kept = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("_gone", i)), "\n")

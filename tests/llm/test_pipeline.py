@@ -42,3 +42,15 @@ def test_stages(spark, tmp_path):
     assert set(seen["decontamination"]) == set(groups) - {204}
     assert set(seen["byte_bpe"]) == set(seen["decontamination"])
     assert toxicity.ORDERS == (5, 7)
+
+
+def test_a_long_line_of_few_documents_stays_once(spark):
+    draw = random.Random(1)
+    text = lambda n: " ".join(f"{draw.choice('abcdefgh')}{draw.choice('klmnopqr')}{draw.randint(0, 99)}" for _ in range(n))
+    passage, short, own = text(55), text(20), [text(90) for _ in range(4)]
+    rows = [(i, f"{own[i]}\n{passage}\n{short}", 7) for i in range(3)]
+    rows += [(3, own[3] + "\n" + passage.replace("1", "2"), 7), (4, rows[2][1] + " more", 7), (5, None, None), (None, passage, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.keep_one_copy(spark, docs, "").collect()}
+    cut = {i: f"{own[i]}\n{short}" for i in (1, 2)}
+    assert got == {0: (rows[0][1], 7), **{i: (t, len(t)) for i, t in cut.items()}, 3: (rows[3][1], 7), 5: (None, None), None: (passage, 7)}
