@@ -139,17 +139,20 @@ def _confirm(threshold: float):
 
 
 def _sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, count: int) -> DataFrame:
-    """(cls, sig, items) of the wanted classes, from their least documents' texts."""
+    """(cls, sig, items) of the wanted classes, from the texts of their least documents, or
+    of the rows with a null id where a class has no other."""
     ids = classes.join(wanted, "cls").select(F.col("rep").alias("_id"), F.col("cls").alias("_cls"))
     ids = checkpointed(ids)
-    chosen = ids.select("_id").distinct()
-    chosen = F.broadcast(chosen) if ids.count() <= BROADCAST_IDS else chosen
-    made = rows.join(chosen, "_id", "left_semi").mapInArrow(
+    n, nulls = ids.agg(F.count("*"), F.count_if(F.col("_id").isNull())).first()
+    near = F.broadcast if n <= BROADCAST_IDS else lambda df: df
+    chosen = rows.join(near(ids.select("_id").distinct()), "_id", "left_semi")
+    if nulls:  # classes of rows with null ids only; a null never meets a null in a join
+        chosen = chosen.unionByName(rows.filter("_id is null"))
+    made = chosen.mapInArrow(
         _mapped(size, count, True), "_id string, cls bigint, n bigint, sig binary, items binary".replace(
             "_id string", f"_id {rows.schema['_id'].dataType.simpleString()}")
     )
-    made = made.join(ids.select("_cls").hint("broadcast") if ids.count() <= BROADCAST_IDS else ids.select("_cls"),
-                     made["cls"] == F.col("_cls"), "left_semi")
+    made = made.join(near(ids.select("_cls")), made["cls"] == F.col("_cls"), "left_semi")
     return checkpointed(made.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("items").alias("items")))
 
 

@@ -63,6 +63,24 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, size, 80)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rows_with_null_ids_are_near_others(spark, seed):
+    """Null rows as pivots and as members, and the only link between two others."""
+    draw = random.Random(seed)
+    words = [f"v{seed}_{i}" for i in range(600)]
+    rows = []
+    for k in range(6):
+        body = words[90 * k : 90 * k + 80]
+        turns = [" ".join(body[: 60]), " ".join(body[6:66]), " ".join(body[12:72])]
+        rows += [(10 * k + 1, turns[0]), (None, turns[1]), (10 * k + 2, turns[2])]
+    rows += [(None, " ".join(words[540:590])), (None, " ".join(words[541:591]))]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.near_duplicates(docs.repartition(3), shingle=2).collect()), key=str)
+    assert got == brute_components(rows, 2, 80)
+    assert [r for r in got if r[0] == 12] == [(12, 59, 11)]
+
+
 def test_chains_meet_in_one_component(spark):
     """Neighbours are similar, ends are not: pivots alone would lose links."""
     words = [f"x{i}" for i in range(260)]
