@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import to_byte
 from ..operators import components, pixels, prompts, stats, stencils
+from ..operators.graph import saved
 from .imaging import _DENSE, _DENSITY, _GRAY, _blur_sql, _dilated, _eroded, _offsets, dense, mask_components
 from .registry import KEY, Views, component_sql, digest, digest_sql, query, rounded
 
@@ -208,10 +209,12 @@ def _(v: Views) -> DataFrame:
 
 def segment_slices(
     image: DataFrame, roi: DataFrame, dims: DataFrame, factory=prompts.brightness_predictor, patch: int = 2048, stride: int = 1024,
-    min_size: int = 30,
+    min_size: int = 30, min_region: int = 5000,
 ) -> tuple[DataFrame, DataFrame]:
     """(mask pixels, counters): tiles that hold a prompt are cut out, segmented by the model, cleaned
-    and stitched. Coordinates are those of the full frame."""
+    and stitched. Coordinates are those of the full frame. Slices without a region get an automatic
+    one, of pieces of at least ``min_region`` pixels."""
+    roi = saved(roi.select(*KEY, "y", "x").unionByName(automatic_region(pixels.to_gray(image), roi, dims, min_size=min_region)))
     scaled = stats.min_max_roi(image, stats.roi_stats(image, roi))
     field = stencils.density(pixels.to_gray(scaled), roi, dims)
     points = prompts.density_prompts(field, roi, dims)
@@ -231,13 +234,13 @@ def segment_slices(
 
 @query("segmented_slices", "image", "roi", "slices")
 def _(v: Views) -> DataFrame:
-    mask, _ = segment_slices(v.image, v.roi, v.slices, patch=64, stride=32)
+    mask, _ = segment_slices(v.image, v.roi, v.slices, patch=64, stride=32, min_region=50)
     return mask
 
 
 @query("segmentation_counters", "image", "roi", "slices")
 def _(v: Views) -> DataFrame:
-    _, counts = segment_slices(v.image, v.roi, v.slices, patch=64, stride=32)
+    _, counts = segment_slices(v.image, v.roi, v.slices, patch=64, stride=32, min_region=50)
     return counts
 
 

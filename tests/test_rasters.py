@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterjobs.functions.columns import to_byte
 from rasterjobs.operators import components, kernels, metrics, pixels, prompts, stats, stencils
+from rasterjobs.plans import prompting
 
 KEY = ("subject", "z")
 MKEY = ("model", "subject", "z")
@@ -167,3 +168,39 @@ def test_continuity_limits(spark):
     got = {(r.z, r.area): r.stays for r in components.continuity(px).collect() if r.z != 1}
     one = [(r.area, r.stays) for r in components.continuity(px).collect() if r.z == 1]
     assert got == {(0, 50): True, (3, 30): True} and sorted(one) == [(50, False), (50, True), (1000, True)]
+
+
+def scene(spark, *grids):
+    """Three channels of small arrays, a slice each, and their sizes."""
+    rows = [("S", z, c, y, x, int(v)) for z, a in enumerate(grids) for (y, x), v in np.ndenumerate(a) for c in range(3)]
+    image = spark.createDataFrame(rows, "subject string, z int, c int, y int, x int, v int")
+    return image, sizes(spark, *(np.shape(a) for a in grids))
+
+
+class Reached(Exception):
+    pass
+
+
+def given(monkeypatch, module, name, run):
+    """What the plan gives to an operator; it ends there."""
+    seen = []
+
+    def stop(*args, **named):
+        seen.append((args, named))
+        raise Reached
+
+    with monkeypatch.context() as m, pytest.raises(Reached):
+        m.setattr(module, name, stop)
+        run()
+    return seen[0][0]
+
+
+def test_slices_without_a_region_get_one(spark, monkeypatch):
+    a = np.add.outer(np.arange(24), np.arange(24))
+    a[6:18, 6:18] += 200
+    image, dims = scene(spark, a, a)
+    roi = table(spark, [np.ones((24, 24)), np.zeros((24, 24))]).drop("cls")
+    _, used = given(monkeypatch, stats, "roi_stats", lambda: prompting.segment_slices(image, roi, dims, patch=16, stride=8, min_region=50))
+    found = mask(used)
+    assert len([p for p in found if p[0] == 0]) == 576
+    assert {p for p in found if p[0] == 1} >= {(1, y, x) for y in range(6, 18) for x in range(6, 18)} and (1, 0, 0) not in found
