@@ -415,4 +415,4 @@ def _(v: Views) -> DataFrame:
 
 @query("ridges", "image")
 def _(v: Views) -> DataFrame:
-    return digest(stencils.ridges(pixels.to_gray(v.image), v.slices, sigmas=(1, 2)), *KEY)
+    return digest(stencils.ridges(pixels.to_gray(v.image), v.slices), *KEY)

@@ -244,13 +244,13 @@ def _(v: Views) -> DataFrame:
     return counts
 
 
-def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25) -> DataFrame:
+def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8)) -> DataFrame:
     """Ridge-prompted segmentation: patches with enough of the region get points on ridges, the
     model's masks make a probability map, which is blurred, cut, and filtered by component size,
     shape and continuity along z."""
     scaled = stats.z_score_roi(image, stats.roi_stats(image, roi))
     gray = pixels.to_gray(scaled)
-    ridge = pixels.within(stencils.ridges(gray, dims, (1, 2)), roi)
+    ridge = pixels.within(stencils.ridges(gray, dims, sigmas), roi)
     grid = prompts.patch_grid(dims, patch, overlap=overlap, rule="regular")
     used = prompts.patch_share(grid, roi, patch).filter(F.col("share") >= share).select(grid.columns)
     pkey = (*KEY, "patch_id")

@@ -204,3 +204,14 @@ def test_slices_without_a_region_get_one(spark, monkeypatch):
     found = mask(used)
     assert len([p for p in found if p[0] == 0]) == 576
     assert {p for p in found if p[0] == 1} >= {(1, y, x) for y in range(6, 18) for x in range(6, 18)} and (1, 0, 0) not in found
+
+
+def test_ridge_run_answers_to_wide_ridges(spark, monkeypatch):
+    """Scales 1 and 2 answer only near the edges of a ridge 16 pixels wide, 4 and 8 along its middle."""
+    a = np.zeros((56, 32), int)
+    a[20:36] = 100
+    image, dims = scene(spark, a)
+    roi = table(spark, [np.ones((56, 32))]).drop("cls")
+    args = given(monkeypatch, stencils, "ridges", lambda: prompting.ridge_run(image, roi, dims))
+    middle = [stencils.ridges(table(spark, [a], "v"), dims, *s).filter("y = 28 and x = 16").first().v for s in (args[2:], [(1, 2)])]
+    assert middle[0] > 0.5 and middle[1] < 0.1
