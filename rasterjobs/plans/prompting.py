@@ -182,18 +182,31 @@ def instances(v: Views) -> DataFrame:
     return find_instances(v.image, v.roi, v.slices, min_object=20, min_area=25)
 
 
+def negative_places(inst: DataFrame, roi: DataFrame, dims: DataFrame, steps: int = 14, far: float = 50) -> DataFrame:
+    """The region without the instance dilated by ``steps``; where that is nothing, the points of a
+    5 x 5 grid over the frame that are in the region and over ``far`` from the instance's centroid."""
+    by = (*KEY, "inst_id")
+    away = pixels.without(
+        inst.select(*by).distinct().join(roi, [*KEY]).select(*by, "y", "x"), stencils.dilate_cross(inst, dims, steps, by), by
+    )
+    centre = inst.groupBy(*by).agg(F.avg("y").cast("int").alias("_cy"), F.avg("x").cast("int").alias("_cx"))
+    bare = centre.join(away.select(*by).distinct(), [*by], "left_anti").join(dims.select(*KEY, "h", "w"), [*KEY])
+    marks = lambda n: F.explode(F.expr(f"array_distinct(array(0, {n} div 4, {n} div 2, 3 * {n} div 4, {n} - 1))").cast("array<int>"))
+    grid = bare.withColumn("y", marks("h")).withColumn("x", marks("w"))
+    apart = F.sqrt(F.pow(F.col("y") - F.col("_cy"), 2) + F.pow(F.col("x") - F.col("_cx"), 2))
+    return away.unionByName(pixels.within(grid.filter(apart > far).select(*by, "y", "x"), roi))
+
+
 def instance_prompts(image: DataFrame, roi: DataFrame, dims: DataFrame, inst: DataFrame, seed: int = 0) -> DataFrame:
     """Points of each instance: important pixels spread apart, and two negatives away from it; where
-    nothing is away, the corner."""
+    there is no place for one, the corner."""
     by = (*KEY, "inst_id")
     field = stencils.importance(pixels.to_gray(image), dims, inst)
     limit = field.groupBy(*by).agg(F.percentile("v", 0.9).alias("_t"))
     strong = field.join(limit, [*by]).filter(F.col("v") >= F.col("_t"))
     k = inst.groupBy(*by).agg(prompts.adaptive_count(F.count("*")).alias("k"))
     positive = prompts.farthest_points(strong.select(*by, "y", "x").join(k, [*by]), seed, None, by)
-    away = pixels.without(
-        inst.select(*by).distinct().join(roi, [*KEY]).select(*by, "y", "x"), stencils.dilate_cross(inst, dims, 14, by), by
-    )
+    away = negative_places(inst, roi, dims)
     # two points: the first by hash, then the one farthest from it
     negative = prompts.farthest_points(away, seed + 1, 2, by)
     none = inst.select(*by).distinct().join(negative, [*by], "left_anti")

@@ -215,3 +215,11 @@ def test_ridge_run_answers_to_wide_ridges(spark, monkeypatch):
     args = given(monkeypatch, stencils, "ridges", lambda: prompting.ridge_run(image, roi, dims))
     middle = [stencils.ridges(table(spark, [a], "v"), dims, *s).filter("y = 28 and x = 16").first().v for s in (args[2:], [(1, 2)])]
     assert middle[0] > 0.5 and middle[1] < 0.1
+
+
+def test_negatives_fall_back_to_a_grid(spark):
+    """Instance 1 is long and its dilation covers the region: the grid's far points; 2 has none far enough."""
+    rows = [("S", 0, 1, 40, x) for x in range(120)] + [("S", 1, 2, 8, x) for x in range(20)]
+    inst = spark.createDataFrame(rows, "subject string, z int, inst_id int, y int, x int")
+    roi = spark.createDataFrame([("S", 0, y, x) for y in range(30, 42) for x in range(120)] + [("S", 1, 8, x) for x in range(20)], "subject string, z int, y int, x int")
+    assert mask(prompting.negative_places(inst, roi, sizes(spark, (120, 120), (20, 20)))) == {(0, 30, 0), (0, 30, 119)}
