@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,19 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def byte_slices(batches: Iterable[pa.RecordBatch], place: int, rows: int = 2_000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes in the text or binary column at ``place``
+    (one row at least), so that what is made of a slice stays bounded."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = ends[begin - 1] if begin else 0
+            n = min(rows, max(1, int(np.searchsorted(ends, before + most, "right")) - begin))
+            yield batch.slice(begin, n)
+            begin += n
+
+
 class WordHashes(dict):
     """word -> place in ``values``, an array of 64-bit hashes that grows on demand.
 

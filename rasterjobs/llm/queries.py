@@ -77,8 +77,7 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, back=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
