@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, free_shuffles
 
-BLANKS = "[ \\t\\r\\f\\x0B]+"
+RARE_BLANKS = "[\\t\\r\\f\\x0B]"
 LEADING, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 3, 10, 0.7
 #: Tokens of a line that counts as a passage: equal ones are dropped from two documents on.
 LONG_TOKENS = 50
@@ -29,20 +29,24 @@ LONG_TOKENS = 50
 BROADCAST_LEAVES = 500_000
 
 
-def _tokens(line: Column) -> Column:
-    masked = F.regexp_replace(line, "[0-9]+", "#")
-    return F.filter(F.split(masked, BLANKS), lambda x: x != "")
+def _cut(docs: DataFrame, masks: bool) -> DataFrame:
+    """_id, _th (text hash), pos, tokens of each line. Digits are masked and rare blanks made plain in
+    the whole text, so lines and tokens are cut at single characters."""
+    text = F.regexp_replace("_text", "[0-9]+", "#") if masks else F.col("_text")
+    plain = F.when(F.col("_m").rlike(RARE_BLANKS), F.regexp_replace("_m", RARE_BLANKS, " ")).otherwise(F.col("_m"))
+    cut = docs.select("_id", F.xxhash64("_text").alias("_th"), text.alias("_m"))
+    cut = cut.select("_id", "_th", F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+    return cut.select("_id", "_th", "pos", F.array_remove(F.split("line", " "), "").alias("tokens"))
 
 
 def _lines(docs: DataFrame, leading: int, min_tokens: int) -> DataFrame:
     """_id, _th (text hash), pos, tokens, leaf, shape (hash of the masked line)."""
-    cut = docs.select("_id", F.xxhash64("_text").alias("_th"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    cut = cut.select("_id", "_th", "pos", _tokens(F.col("line")).alias("tokens"))
-    lead = F.transform(F.slice("tokens", 1, leading), lambda x: F.when(x.contains("#"), "<*>").otherwise(x))
-    return cut.filter(F.size("tokens") >= min_tokens).select(
+    token = lambda i: F.get("tokens", F.lit(i))
+    lead = [F.when(token(i).contains("#"), "<*>").otherwise(token(i)) for i in range(leading)]
+    return _cut(docs, True).filter(F.size("tokens") >= min_tokens).select(
         "_id", "_th", "pos", "tokens",
-        F.xxhash64(F.size("tokens"), F.array_join(lead, " ")).alias("leaf"),
-        F.xxhash64(F.array_join("tokens", " ")).alias("shape"),
+        F.xxhash64(F.size("tokens"), *lead).alias("leaf"),
+        F.xxhash64("tokens").alias("shape"),
     )
 
 
@@ -124,10 +128,8 @@ def drop_passages(
         F.struct(id_col, *(carry or [])).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
     )
     known = rows.filter("_id is not null and _text is not null")
-    cut = known.select("_id", F.xxhash64("_text").alias("_th"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    tokens = F.filter(F.split("line", BLANKS), lambda x: x != "")
-    cut = cut.select("_id", "_th", "pos", tokens.alias("tokens")).filter(F.size("tokens") >= long_tokens)
-    lines = checkpointed(cut.select("_id", "_th", "pos", F.xxhash64(F.array_join("tokens", " ")).alias("line")))
+    cut = _cut(known, False).filter(F.size("tokens") >= long_tokens)
+    lines = checkpointed(cut.select("_id", "_th", "pos", F.xxhash64("tokens").alias("line")))
     shared = lines.groupBy("line").agg(F.min("_id").alias("first_id"), F.max("_id").alias("last_id")).filter("first_id < last_id")
     gone = (
         lines.join(shared.select("line", "first_id"), "line")
@@ -142,10 +144,11 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows (_row, _id, _text) without the lines at the places in gone (_gone_id, _gone_th, _gone)."""
     met = (F.col("_id") == F.col("_gone_id")) & (F.xxhash64("_text") == F.col("_gone_th"))
     cut = F.split("_text", "\n")
-    kept = F.array_join(F.filter(cut, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return rows.join(gone, met, "left").select(
+    places = F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "_gone")
+    kept = F.array_join(F.transform(places, lambda i: F.get("_cut", i)), "\n")
+    return rows.join(gone, met, "left").withColumn("_cut", cut).select(
         "_row.*",
-        F.coalesce(F.size(cut), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept).alias("kept"),
     )
