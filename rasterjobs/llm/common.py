@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -97,22 +98,45 @@ def rolling(values: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.nd
     return mix(h)
 
 
+@functools.lru_cache(maxsize=8)
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for factor in (base, pow(base, -1, 1 << 64)):
+        p = np.full(size, factor, U64)
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        out.append(p)
+    return out[0], out[1]
+
+
+def powers(size: int, base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo 2**64, for i below size at least; base is odd."""
+    return _powers(base, 1 << max(16, (size - 1).bit_length()))
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of the stretches start to end of values, at a cost that does not grow with their length: a
+    polynomial modulo 2**64, from one running sum. values are hashes, so chance equality has probability 2**-64."""
+    forth, back = powers(len(values) + 1, base)
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * forth[: len(values)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64))
+
+
 def window_hashes(values: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """As rolling, at a cost that does not grow with n: a polynomial in an odd base modulo 2**64,
-    from one running sum. values are hashes, so chance equality has probability 2**-64."""
-    size = len(values) - n + 1
-    if size <= 0:
-        return np.empty(0, U64)
-    base |= 1
-    back = pow(base, -1, 1 << 64)
-    powers = np.full(len(values), back, U64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)  # base ** -i
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * powers, dtype=U64)])
-    rise = np.full(size, base, U64)
-    rise[0] = pow(base, n - 1, 1 << 64)
-    np.multiply.accumulate(rise, out=rise)  # base ** (i + n - 1)
-    return mix((sums[n:] - sums[:-n]) * rise)
+    """As rolling, at a cost that does not grow with n."""
+    start = np.arange(max(0, len(values) - n + 1))
+    return span_hashes(values, start, start + n, base)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then all second bytes and so on, which compress better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(body: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def fold(id_col: str, parts: int, out: int) -> tuple[Column, Column]:

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import xxhash
 
-from .common import U64, mix
+from .common import U64, mix, span_hashes
 
 #: Bytes handled at a time; it bounds a worker's memory.
 BLOCK = 1 << 20
 #: Words of more bytes are hashed one by one.
 LONG = 64
-#: Odd base of the polynomial that hashes a word, modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: One number for each byte value.
@@ -32,18 +29,6 @@ class Block(NamedTuple):
     hashes: np.ndarray
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i."""
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(size, base, U64)
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-        out.append(p)
-    return out[0], out[1]
-
-
 def block_of(text: bytes) -> Block:
     """The words (runs of anything but ASCII white space) of some bytes."""
     data = np.frombuffer(text, np.uint8)
@@ -51,18 +36,13 @@ def block_of(text: bytes) -> Block:
     np.logical_not(_WHITE[data], out=inside[1:-1].view(bool))
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    forth, back = _powers(BLOCK if len(data) <= BLOCK else 1 << len(data).bit_length())
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * forth[: len(data)], out=sums[1:])
-    size = end - start
-    h = (sums[end] - sums[start]) * back[start] if len(start) else np.empty(0, U64)
-    h = mix(h + size.astype(U64))
-    for i in np.flatnonzero(size > LONG).tolist():
+    h = span_hashes(_BYTE[data], start, end)
+    for i in np.flatnonzero(end - start > LONG).tolist():
         h[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
     return Block(data, start, end, h)
 
 
-def _parts(text: bytes, most: int) -> Iterator[bytes]:
+def parts_of(text: bytes, most: int) -> Iterator[bytes]:
     """text cut before white space into parts of about ``most`` bytes; a longer word is not cut."""
     at = 0
     while at < len(text):
@@ -96,7 +76,7 @@ def hashed(texts: list[bytes | None], change=None, block: int = BLOCK) -> tuple[
         if size + len(text) > block:
             flush()
         if len(text) > block:
-            for part in _parts(text, block):
+            for part in parts_of(text, block):
                 b = block_of(change(part) if change else part)
                 counts[i] += len(b.hashes)
                 found.append(b.hashes)
