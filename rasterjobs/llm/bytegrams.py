@@ -66,6 +66,30 @@ class Table:
         return out
 
 
+class Known:
+    """A number under each of distinct 64-bit keys, for looking up keys that are all among them: most
+    have a slot of their own, which holds the number itself."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        slot = self._slot(keys)
+        self.held = np.zeros(1 << self.bits, np.float32)
+        self.held[slot] = values
+        often = np.bincount(slot, minlength=1 << self.bits) > 1
+        self.held[often] = np.nan
+        crowded = often[slot]
+        self.rest, self.values = Table(keys[crowded], np.arange(crowded.sum())), values[crowded]
+
+    _slot = Table._slot
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out = self.held[self._slot(keys)]
+        crowded = np.flatnonzero(np.isnan(out))
+        at = self.rest.find(keys[crowded])
+        out[crowded] = self.values[self.rest.values[at]] if len(self.values) else np.nan
+        return out
+
+
 def chunks(texts: list[bytes], pad: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes with ``pad`` zero bytes before each text, places, text of each place).
 

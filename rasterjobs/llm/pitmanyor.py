@@ -6,7 +6,8 @@ customer of its parent, the restaurant of the context without its first byte, so
 with the same end share parents, down to the empty context and a uniform base. The seating is
 sampled: in a sweep all customers of a dish are taken out of their restaurant and seated again,
 one after another, given all other dishes' tables and the parent's predictive probability
-(the first few one by one, later ones in blocks of an eighth of those seated). After the burn-in
+(the first SINGLY one by one, later ones in blocks of an eighth of those seated, in which tables are
+as likely as in the block's middle). After the burn-in
 the predictive probabilities of several sweeps are averaged.
 
 In Spark: texts are dealt to chunks; each chunk sends its distinct n-grams, with their counts in
@@ -24,12 +25,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytegrams import Table, chunks, counted, grams
-from .common import U64, WordHashes, checkpointed, free_shuffles, lower_words, partitions
+from .bytegrams import Known, Table, chunks, counted, grams
+from .common import U64, checkpointed, free_shuffles, lower_words, partitions, planes, unplanes
+from .words import hashed
 
 #: Bytes of context, and the discount and strength of restaurants by their context's length.
 ORDER = 6
@@ -38,8 +41,14 @@ STRENGTH = (20.0, 10.0, 4.0, 2.0, 1.0, 1.0, 1.0)
 #: Sweeps before the first kept one, and kept sweeps.
 BURN_IN, KEPT = 3, 4
 #: Customers of a dish that are seated one by one.
-SINGLY = 12
+SINGLY = 64
 END_WORD = b"\n"
+#: Stands for the end among the hashes of words.
+END = U64(xxhash.xxh3_64_intdigest(END_WORD))
+#: Steps of a log10 probability in a bucket's answers.
+STEP = 2.0**-15
+#: Text bytes to a chunk, on average at most.
+CHUNK_BYTES = 32 << 20
 
 
 class Fitted(NamedTuple):
@@ -59,20 +68,21 @@ def seat(c: np.ndarray, strength: np.ndarray, discount: float, parent: np.ndarra
     A new table is taken with weight (strength + discount * tables) * parent, an old one with
     the customers there less a discount."""
     t = np.ones(len(c))
-    for seated in range(1, SINGLY):
-        at = np.flatnonzero(c > seated)
-        if not len(at):
-            return t
-        new = (strength[at] + discount * t[at]) * parent[at]
-        t[at] += draw.random(len(at)) * (seated - discount * t[at] + new) < new
-    at, seated = np.flatnonzero(c > SINGLY), SINGLY
-    while len(at):
-        block = np.minimum(max(1, seated // 8), c[at] - seated)
-        new = (strength[at] + discount * t[at]) * parent[at]
-        share = new / (seated + block / 2 - discount * t[at] + new)
-        t[at] += draw.binomial(block, np.clip(share, 0, 1))
-        seated += max(1, seated // 8)
-        at = at[c[at] > seated]
+    at = np.flatnonzero(c > 1)
+    at = at[np.argsort(-c[at], kind="stable")]  # who has more customers comes first, so the live ones are a prefix
+    own, own_t = c[at], np.ones(len(at))
+    fixed, grows, rise, seated, live = strength[at] * parent[at], discount * parent[at], -c[at], 1, len(at)
+    while live:
+        now, step = own_t[:live], 1 if seated < SINGLY else max(1, seated // 8)
+        new = fixed[:live] + grows[:live] * now
+        if step == 1:
+            now += draw.random(live, dtype=np.float32) * (seated - discount * now + new) < new
+        else:
+            block = np.minimum(step, own[:live] - seated)
+            now += draw.binomial(block, np.minimum(new / (seated + block / 2 - discount * now + new), 1))
+        seated += step
+        live = int(np.searchsorted(rise, -seated))
+    t[at] = own_t
     return t
 
 
@@ -185,15 +195,15 @@ def _grow(body: bytes) -> bytes:
 
 def _pack(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys as compressed differences."""
-    return _shrink(np.diff(keys, prepend=U64(0)).tobytes())
+    return _shrink(planes(np.diff(keys, prepend=U64(0))))
 
 
 def _unpack(body: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(_grow(body), U64), dtype=U64)
+    return np.cumsum(unplanes(_grow(body), U64), dtype=U64)
 
 
-def _line(words: list[bytes]) -> bytes:
-    return b" ".join(words) + END_WORD
+def _line(text: bytes | None) -> bytes:
+    return b" ".join(lower_words(text)) + END_WORD
 
 
 def _bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
@@ -222,15 +232,14 @@ def _gathered(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         chunk, trains = table.column("_chunk")[0].as_py(), table.column("_trains").to_pylist()
-        texts, hashes = table.column("_text").cast(pa.binary()).to_pylist(), WordHashes()
+        texts = table.column("_text").cast(pa.binary()).to_pylist()
         found: dict[int, list] = {0: [], 1: []}
         for mine in (True, False):
-            words = [lower_words(t) for t, x in zip(texts, trains, strict=True) if x is mine]
-            for group in _groups(words):
-                flat = [w for x in group for w in (*x, END_WORD)]
-                h, n = counted(hashes.hashes(flat, len(flat)))
-                found[1].append((h, n * mine))
-            found[0].append(_distinct_grams([_line(x) for x in words], int(mine)))
+            lines = [_line(t) for t, x in zip(texts, trains, strict=True) if x is mine]
+            for group in _groups(lines):
+                h, n = counted(hashed(group)[0])
+                found[1] += [(h, n * mine), (np.array([END]), np.array([len(group) * mine]))]
+            found[0].append(_distinct_grams(lines, int(mine)))
         out = []
         for kind, parts in found.items():
             keys, n = counted(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else (np.empty(0, U64),) * 2
@@ -238,7 +247,7 @@ def _gathered(buckets: int):
             for b in range(buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
-                    out.append((kind, b, chunk, _pack(keys[own]), _shrink(n[own].astype(np.uint32).tobytes())))
+                    out.append((kind, b, chunk, _pack(keys[own]), _shrink(planes(n[own].astype(np.uint32)))))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "bucket", "chunk", "keys", "n"])
@@ -246,11 +255,11 @@ def _gathered(buckets: int):
     return run
 
 
-def _groups(words: list[list[bytes]], most: int = 1 << 20) -> Iterator[list[list[bytes]]]:
+def _groups(lines: list[bytes], most: int = 1 << 23) -> Iterator[list[bytes]]:
     group, size = [], 0
-    for x in words:
+    for x in lines:
         group.append(x)
-        size += len(x) + 1
+        size += len(x)
         if size >= most:
             yield group
             group, size = [], 0
@@ -261,7 +270,7 @@ def _groups(words: list[list[bytes]], most: int = 1 << 20) -> Iterator[list[list
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """(keys seen in training, their counts, keys asked by each chunk)."""
     asked = [(c, _unpack(k)) for c, k in zip(table.column("chunk").to_pylist(), table.column("keys").to_pylist(), strict=True)]
-    n = [np.frombuffer(_grow(x), np.uint32).astype(np.int64) for x in table.column("n").to_pylist()]
+    n = [unplanes(_grow(x), np.uint32).astype(np.int64) for x in table.column("n").to_pylist()]
     keys, n = counted(np.concatenate([k for _, k in asked]), np.concatenate(n))
     return keys[n > 0], n[n > 0], asked
 
@@ -282,7 +291,8 @@ def _tables_up(fitted: Fitted | None, seed: int):
 
 def _answers(fitted: Fitted):
     """Replies (kind, bucket, chunk, keys, values): counts of words by their keys; log10 probabilities
-    of n-grams in the order in which the chunk asked, without keys, which it can make again."""
+    of n-grams, in whole steps of STEP, in the order in which the chunk asked, without keys, which
+    it can make again."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
@@ -290,16 +300,16 @@ def _answers(fitted: Fitted):
         if kind == 0:
             own = Restaurants(keys, n)
             own.sample(fitted.upper, np.random.default_rng([fitted.seed, bucket]))
-            values = [own.log10(k).astype(np.float32) for _, k in asked]
+            values = [planes(np.round(-own.log10(k) / STEP).astype(np.uint32)) for _, k in asked]
         else:
             values = []
             for _, k in asked:
                 at, found = _place(keys, k)
-                values.append(np.where(found, n[at] if len(n) else 0, 0).astype(np.float64))
+                values.append(planes(np.where(found, n[at] if len(n) else 0, 0).astype(np.int64)))
         return pa.table(
             [
                 pa.array([kind] * len(asked), pa.int32()), pa.array([bucket] * len(asked), pa.int32()),
-                pa.array([c for c, _ in asked], pa.int32()), pa.array([_pack(k) if kind else None for _, k in asked], pa.binary()), pa.array([_shrink(v.tobytes()) for v in values], pa.binary()),
+                pa.array([c for c, _ in asked], pa.int32()), pa.array([_pack(k) if kind else None for _, k in asked], pa.binary()), pa.array([_shrink(v) for v in values], pa.binary()),
                 pa.array([len(n) if i == 0 and kind else 0 for i in range(len(asked))], pa.int64()),
                 pa.array([int(n.sum()) if i == 0 and kind else 0 for i in range(len(asked))], pa.int64()),
             ],
@@ -313,37 +323,34 @@ def _scored(names: list[str], buckets: int):
     """A chunk's texts and its replies to sums for each text."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        texts, size, hashes = docs.column("_text").cast(pa.binary()).to_pylist(), docs.num_rows, WordHashes()
-        keys, _ = _distinct_grams([_line(lower_words(t)) for t in texts])
+        size, lines = docs.num_rows, [_line(t) for t in docs.column("_text").cast(pa.binary()).to_pylist()]
+        keys, _ = _distinct_grams(lines)
         order, _ = _by_bucket(keys, 0, buckets)
         mine = replies.filter(pa.compute.equal(replies.column("kind"), 0)).sort_by("bucket").column("values").to_pylist()
-        values = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(_grow(v), np.float32) for v in mine)])
+        values = np.concatenate([np.empty(0, np.uint32), *(unplanes(_grow(v), np.uint32) for v in mine)])
         if len(values) != len(keys):
             raise ValueError("a bucket's answer is missing")
-        found = {0: Table(keys[order], values)}
+        known = Known(keys[order], (values * -STEP).astype(np.float32))
         mine = replies.filter(pa.compute.equal(replies.column("kind"), 1))
-        keys = [np.empty(0, U64), *(_unpack(k) for k in mine.column("keys").to_pylist())]
-        values = [np.empty(0), *(np.frombuffer(_grow(v)) for v in mine.column("values").to_pylist())]
-        found[1] = Table(np.concatenate(keys), np.concatenate(values))
+        keys = np.concatenate([np.empty(0, U64), *(_unpack(k) for k in mine.column("keys").to_pylist())])
+        counts = Table(keys, np.concatenate([np.empty(0, np.int64), *(unplanes(_grow(v), np.int64) for v in mine.column("values").to_pylist())]))
         del keys, values, mine, order
-        tokens, known, base, score = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
-        lengths, begin = np.zeros(size, np.int64), 0
-        for group in _groups([lower_words(t) for t in texts]):
-            flat = [w for x in group for w in (*x, END_WORD)]
-            per = np.array([len(x) + 1 for x in group])
-            c = found[1].values[found[1].find(hashes.hashes(flat, len(flat)))]
-            own = slice(begin, begin + len(group))
-            starts = np.cumsum(per) - per
-            tokens[own], known[own] = per, np.add.reduceat((c > 0).astype(np.int64), starts)
-            base[own] = np.add.reduceat(np.log10(c + 0.5), starts)
-            lines = [_line(x) for x in group]
-            lengths[own] = [len(x) for x in lines]
-            for data, places, owner in chunks(lines, ORDER):
-                p = found[0].values[found[0].find(grams(data, ORDER + 1)[places - ORDER])].astype(np.float64)
+        end = int(counts.values[counts.find(np.array([END]))][0])
+        tokens, n_known, base, score, begin = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size), 0
+        for group in _groups(lines):
+            h, per = hashed(group)
+            c = counts.values[counts.find(h)]
+            own, ends = slice(begin, begin + len(group)), np.cumsum(per)
+            summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])  # noqa: B023, E731
+            tokens[own], n_known[own] = per + 1, summed(c > 0) + (end > 0)
+            base[own] = summed(np.log10(c + 0.5)) + np.log10(end + 0.5)
+            for data, places, owner in chunks(group, ORDER):
+                p = known.find(grams(data, ORDER + 1)[places - ORDER]).astype(np.float64)
                 first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 score[begin + owner[first]] += np.add.reduceat(p, first)
             begin += len(group)
-        new = [pa.array(x) for x in (tokens, known, lengths, base, score)]
+        lengths = np.array([len(x) for x in lines], np.int64)
+        new = [pa.array(x) for x in (tokens, n_known, lengths, base, score)]
         return pa.table(
             [*(docs.column(n) for n in names), *new],
             names=[*names, "n_tokens", "n_known", "n_bytes", "_base", "score"],
@@ -363,11 +370,13 @@ def score(
     ``trains`` tells the rows that are learned from (null: not). Null, empty and blank texts are
     the end token alone. Repeated rows each count. Without training rows the base is uniform over
     bytes. All counts cover all texts; ``chunk_count`` (spark.sql.shuffle.partitions, if not
-    given) sets how many parts the texts are dealt to by hash, not what is counted. The same
-    rows give the same result whatever their order.
+    given, or more for texts of over CHUNK_BYTES each) sets how many parts the texts are dealt to by
+    hash, not what is counted. The same rows give the same result whatever their order.
     """
     spark, keep = docs.sparkSession, keep or [id_col]
-    chunk_count = chunk_count or partitions(spark)
+    if chunk_count is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        chunk_count = max(partitions(spark), -(-size // CHUNK_BYTES))
     buckets = 2 * chunk_count
     rows = docs.select(
         *keep, F.col(text_col).alias("_text"), F.coalesce(trains, F.lit(False)).alias("_trains"),
