@@ -67,8 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8. doc_id, n_tokens, ids (packed little-endian 32-bit), and digests of the ids and
     of what they decode to."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, back=True).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
