@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, texts_of
+from .common import byte_slices, fold, texts_of
 
 #: Lengths of the n-grams in bytes, and the bits of a bucket.
 ORDERS, BITS = (5, 7), 18
@@ -25,7 +25,7 @@ LENGTH = 4
 #: At most so many labelled documents are fitted on (those of least id hash).
 MAX_TRAIN = 4_000
 #: Bytes (and documents, so that both fit 32 bits) hashed at a time.
-CHUNK, MOST_DOCS = 1 << 22, 1 << 13
+CHUNK, MOST_DOCS = 1 << 20, 1 << 13
 
 
 def _buckets(data: np.ndarray, n: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def _together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             whole = doc[n - 1 :] == doc[: len(doc) - n + 1]
             parts.append((_buckets(data, n) | (doc[: len(whole)] << np.uint32(BITS)))[whole])
     key = _distinct(np.concatenate(parts))
-    return (key >> np.uint32(BITS)).astype(np.int64), (key & np.uint32((1 << BITS) - 1)).astype(np.int64)
+    return (key >> np.uint32(BITS)).astype(np.int32), (key & np.uint32((1 << BITS) - 1)).astype(np.int32)
 
 
 def features(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,22 +74,24 @@ def features(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray,
             over, text = max(ORDERS) - 1, b" %b " % text.lower()
             found = [_together([text[k : k + CHUNK + over]])[1] for k in range(0, len(text), CHUNK)]
             found = _distinct(np.concatenate(found))
-            yield i, 1, np.zeros(len(found), np.int64), found
+            yield i, 1, np.zeros(len(found), np.int32), found
             begin = i + 1
         else:
             size += length
 
 
-def _weights(
-    row: np.ndarray, flat: np.ndarray, labels: np.ndarray, n: int, rounds: int
-) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(ratio, weight, bias, least norm): logistic loss by Nesterov's steps from 0."""
+def _weights(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(ratio, weight, bias, least norm): logistic loss by Nesterov's steps from 0.
+
+    found: (document, bucket) in pieces; only features with a ratio are put together."""
     size = 1 << BITS
-    counts = [np.bincount(flat[labels[row] == k], minlength=size) + 1.0 for k in (0, 1)]
+    counts = [1.0 + sum(np.bincount(flat[labels[row] == k], minlength=size) for row, flat in found) for k in (0, 1)]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[(counts[0] + counts[1] < min(7, 4 + n / 100)) | (np.abs(ratio) < 0.7)] = 0
-    live = ratio[flat] != 0
-    row, flat = row[live], flat[live]
+    live = [ratio[flat] != 0 for _, flat in found]
+    row = np.concatenate([row[x] for (row, _), x in zip(found, live, strict=True)])
+    flat = np.concatenate([flat[x] for (_, flat), x in zip(found, live, strict=True)])
+    del live
     norm = np.sqrt(np.bincount(row, ratio[flat] ** 2, minlength=n))
     least = float(max(np.median(norm), 1e-3))
     value = ratio[flat] * (LENGTH / np.maximum(norm, least))[row]
@@ -106,10 +108,11 @@ def _weights(
     return ratio, w, bias, least
 
 
-def _margins(row: np.ndarray, flat: np.ndarray, n: int, model: tuple) -> np.ndarray:
+def _margins(found: list[tuple[np.ndarray, np.ndarray]], n: int, model: tuple) -> np.ndarray:
     ratio, weight, bias, least = model[:4]
-    norm = np.sqrt(np.bincount(row, (ratio**2)[flat], minlength=n))
-    return np.bincount(row, (ratio * weight)[flat], minlength=n) * LENGTH / np.maximum(norm, least) + bias
+    square, product = ratio**2, ratio * weight
+    norm = np.sqrt(sum(np.bincount(row, square[flat], minlength=n) for row, flat in found))
+    return sum(np.bincount(row, product[flat], minlength=n) for row, flat in found) * LENGTH / np.maximum(norm, least) + bias
 
 
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, float, float]:
@@ -121,15 +124,14 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 60) -> tuple[np.nd
     share = (labels.sum() + 0.5) / (n + 1)
     if not n or any(not labels[half == k].any() or labels[half == k].all() for k in (0, 1)):
         return np.zeros(1 << BITS), np.zeros(1 << BITS), float(np.log(share / (1 - share))), 1.0, float(share)
-    found = [(doc + first, bucket) for first, _, doc, bucket in features(texts)]
-    row, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+    found = [(doc + np.int32(first), bucket) for first, _, doc, bucket in features(texts)]
     across = np.empty(n)
     for k in (0, 1):
-        own = half[row] == k
-        model = _weights(row[own] // 2, flat[own], labels[half == k], (half == k).sum(), rounds)
-        across[half != k] = _margins(row[~own] // 2, flat[~own], (half != k).sum(), model)
+        own, other = ([(row[x] // 2, flat[x]) for row, flat in found for x in [(half[row] == k) == same]] for same in (True, False))
+        across[half != k] = _margins(other, (half != k).sum(), _weights(own, labels[half == k], (half == k).sum(), rounds))
+    del own, other
     slope, base = _line(across, labels)
-    ratio, weight, bias, least = _weights(row, flat, labels, n, rounds)
+    ratio, weight, bias, least = _weights(found, labels, n, rounds)
     return ratio, weight * slope, float(bias * slope + base), least, float(share)
 
 
@@ -151,7 +153,7 @@ def scores(texts: list[bytes | None], model: tuple[np.ndarray, np.ndarray, float
     """Probabilities of label 1; of texts without a weighted feature no more than its share in training."""
     out, live = np.empty(len(texts)), model[0] != 0
     for first, n, doc, bucket in features(texts):
-        p = 1 / (1 + np.exp(-np.clip(_margins(doc, bucket, n, model), -700, 700)))
+        p = 1 / (1 + np.exp(-np.clip(_margins([(doc, bucket)], n, model), -700, 700)))
         bare = np.bincount(doc[live[bucket]], minlength=n) == 0
         out[first : first + n] = np.where(bare, np.minimum(p, model[4]), p)
     return out
@@ -185,7 +187,7 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
-        for b in batches:
+        for b in batches:  # at most max_train rows
             texts += texts_of(b, "_text")
             marks += b.column(1).to_pylist()
         model = fit(texts, np.array(marks, np.int64))
@@ -211,13 +213,26 @@ def score(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in byte_slices(batches, len(keep)):
             out = pa.array(scores(texts_of(b, "_text"), model))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], [*keep, score_col])
 
     return rows.mapInArrow(run, ", ".join([*fields, f"{score_col} double"]))
 
 
+def rejected(text: Column, model: tuple[np.ndarray, np.ndarray, float, float, float], least: float) -> Column:
+    """Whether a text's score is at least ``least``; only the text goes to Python and a flag comes back."""
+
+    @F.arrow_udf("boolean")
+    def flag(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            batch = pa.RecordBatch.from_arrays([array], ["_text"])
+            parts = [scores(texts_of(b, "_text"), model) >= least for b in byte_slices([batch], 0)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0, bool))
+
+    return flag(text)
+
+
 def held_out(id_col: str = "doc_id"):
     """(held out, trains) of the quarter of ids that the query op1 sets aside."""
     return fold(id_col, 4, 2)
