@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterjobs.llm import bpe, decontaminate, lines, neardup, toxicity
-from rasterjobs.llm.common import checkpointed
+from rasterjobs.llm.common import checkpointed, free_shuffles
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Documents that score as much are rejected.
@@ -24,8 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Operator 1. Learns from the labelled documents among docs; null and empty texts have the
     score of an empty one."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, keep=docs.columns, score_col="_toxicity")
-    return scored.filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return docs.filter(~toxicity.rejected(F.col("text"), model, TOXIC))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,6 +84,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not STAGES[-1][1]:
+            docs = checkpointed(docs)  # the next stage reads it several times
+            free_shuffles(spark)
     return docs
 
 
