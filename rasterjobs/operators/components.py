@@ -1,9 +1,9 @@
 """Connected components of masks: labels, properties, filters, merging and continuity.
 
 A mask is cut into row runs. Runs are labelled inside bands of rows (one task a band, linear in
-the runs); pieces that touch across a band border are then joined by a small link table. The
-labels do not depend on the band height: components are numbered 1..n by their first pixel in
-scan order.
+the runs); pieces that touch across a band border are then joined by a small link table, of which
+one task takes a slice's. No job runs while a plan is built. The labels do not depend on the band
+height: components are numbered 1..n by their first pixel in scan order.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import pixels as px_ops
-from .graph import least_reachable, saved
+from .graph import saved
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -71,20 +71,37 @@ def label_runs(runs: DataFrame, by: Key = KEY, connectivity: int = 8, band: int
     fields = _fields(runs, (*by, "y", "x0", "x1"))
     banded = runs.select(*by, "y", "x0", "x1", F.floor(F.col("y") / band).cast("int").alias("_band"))
     pieces = banded.groupBy(*by, "_band").applyInPandas(one, f"{fields}, _band int, _first bigint")
-    if banded.groupBy(*by).agg(F.max("_band").alias("a"), F.min("_band").alias("b")).filter("a > b").isEmpty():
-        named = pieces.withColumn("_root", F.col("_first"))
-    else:
-        pieces = saved(pieces)
-        below = pieces.filter(F.col("y") % band == 0).select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("_first").alias("v"))
-        above = pieces.filter(F.col("y") % band == band - 1)
-        links = above.join(below, [*by, "y"]).filter((F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach))
-        roots = least_reachable(links.select(*by, F.col("_first").alias("u"), "v"), by)
-        named = pieces.join(roots.withColumnsRenamed({"u": "_first", "root": "_root"}), [*by, "_first"], "left")
-        named = named.withColumn("_root", F.coalesce("_root", "_first"))
+    below = pieces.filter(F.col("y") % band == 0).select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("_first").alias("v"))
+    above = pieces.filter(F.col("y") % band == band - 1)
+    links = above.join(below, [*by, "y"]).filter((F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach))
+    roots = joined(links.select(*by, F.col("_first").alias("u"), "v").distinct(), by).withColumnRenamed("u", "_first")
+    named = pieces.join(roots, [*by, "_first"], "left").withColumn("_root", F.coalesce("_root", "_first"))
     rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("_root")).cast("bigint")
     return named.select(*by, "y", "x0", "x1", rank.alias("comp_id"))
 
 
+def joined(links: DataFrame, by: Key) -> DataFrame:
+    """(by, u, _root) for every node of links (by, u, v): the least node that it is linked to, directly
+    or not. Links only stand for pieces that meet at band borders, so a slice's fit one task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, ends = np.unique(pdf[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+        ends, root = ends.reshape(-1, 2), list(range(len(nodes)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, j in ends.tolist():
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+        key = {n: pdf[n].iloc[0] for n in by}
+        return pd.DataFrame({**key, "u": nodes, "_root": nodes[[find(i) for i in range(len(nodes))]]})
+
+    return links.groupBy(*by).applyInPandas(one, f"{_fields(links, by)}, u bigint, _root bigint")
+
+
 def label(px: DataFrame, by: Key = KEY, connectivity: int = 8, band: int = BAND) -> DataFrame:
     """Labelled runs of a mask of distinct pixels."""
     return label_runs(px_ops.runs(px, by), by, connectivity, band)
@@ -202,38 +219,42 @@ def touched(labelled: DataFrame, mask: DataFrame, by: Key = KEY) -> DataFrame:
 
 
 def continuity(
-    px: DataFrame, subject: Key = ("subject",), order: str = "z", min_share: float = 0.02, min_area: int = 1000
+    px: DataFrame, subject: Key = ("subject",), order: str = "z", min_share: float = 0.02, min_area: int = 1000,
+    slices: DataFrame | None = None, labelled: DataFrame | None = None,
 ) -> DataFrame:
     """Per component (8-connected) of each slice: area and whether it stays.
 
     A component goes if it shares less than min_share of its pixels with what stayed in the slice
-    before (the nearest earlier one that has rows) and is smaller than min_area; nothing goes where
-    that slice kept nothing. Overlaps between all components of consecutive slices are joined
-    first; the chain along z then runs over this small table, one group a subject.
+    before and is smaller than min_area; nothing goes where that slice kept nothing. ``slices``: the
+    slices that were processed; one without pixels keeps nothing, one that is not in the table was
+    skipped and does not count (without the table: those that have pixels). ``labelled``: the mask's
+    labelled runs, if they are known. Overlaps between all components of consecutive slices are
+    joined first; the chain along z then runs over this small table, one group a subject.
     """
     by = (*subject, order)
-    labelled = saved(label(px, by, 8))
-    steps = labelled.select(*by).distinct().withColumn("_next", F.lead(order).over(Window.partitionBy(*subject).orderBy(order)))
+    labelled = saved(label(px, by, 8)) if labelled is None else labelled
+    every = (labelled if slices is None else slices).select(*by).distinct()
+    steps = every.withColumn("_next", F.lead(order).over(Window.partitionBy(*subject).orderBy(order)))
     earlier = labelled.join(steps, [*by]).filter(F.col("_next").isNotNull())
     earlier = earlier.select(*subject, F.col("_next").alias(order), "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("comp_id").alias("prev"))
     met = labelled.join(earlier, [*by, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
     shared = met.groupBy(*by, "comp_id", "prev").agg(F.sum(F.least("x1", "_b") - F.greatest("x0", "_a") + 1).alias("shared"))
     shared = shared.groupBy(*by, "comp_id").agg(F.collect_list(F.struct("prev", "shared")).alias("_met"))
-    table = areas(labelled, by).join(shared, [*by, "comp_id"], "left")
+    table = every.join(areas(labelled, by).join(shared, [*by, "comp_id"], "left"), [*by], "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         stays, before = {}, None
         for z, now in pdf.sort_values([order, "comp_id"]).groupby(order):
-            kept = set()
+            now, kept = now[now["comp_id"].notna()], set()
             for comp, area, met in zip(now["comp_id"], now["area"], now["_met"], strict=True):
                 both = sum(m["shared"] for m in (met if met is not None else ()) if m["prev"] in (before or ()))
                 if not before or both / area >= min_share or area >= min_area:
                     kept.add(comp)
                 stays[z, comp] = comp in kept
             before = kept
-        out = pdf.drop(columns="_met")
-        out["stays"] = [stays[k] for k in zip(pdf[order], pdf["comp_id"], strict=True)]
-        return out
+        out = pdf[pdf["comp_id"].notna()].drop(columns="_met")
+        out["stays"] = [stays[k] for k in zip(out[order], out["comp_id"], strict=True)]
+        return out.astype({"comp_id": "int64", "area": "int64", "stays": bool})
 
     fields = _fields(px, by)
     return table.select(*by, "comp_id", F.col("area").cast("bigint").alias("area"), "_met").groupBy(*subject).applyInPandas(

@@ -1,36 +1,19 @@
-"""Least reachable label over a link table, for component pieces that meet at band borders."""
+"""Steps of a job that are computed once."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once into spark.checkpoint.dir (a temporary folder only where none is set)."""
+    """df, computed once into spark.checkpoint.dir. Only a session on one machine (master local) gets a
+    temporary folder where none is set; on a cluster that is an error, as machines share no such folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
-
-
-def least_reachable(links: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """(by, u, root) for every node of ``links`` (by, u, v): the least node that can be reached.
-
-    Each round every node takes the least root among its neighbours' and then its root's root
-    (pointer jumping), so long chains need few rounds. Rounds are checkpointed."""
-    both = links.select(*by, "u", "v").unionAll(links.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = saved(both)
-    now = saved(both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("root")))
-    while True:
-        far = both.join(now.withColumnRenamed("u", "v"), [*by, "v"]).groupBy(*by, "u").agg(F.min("root").alias("_near"))
-        step = now.join(far, [*by, "u"]).select(*by, "u", "root", F.least("root", "_near").alias("_low"))
-        jump = now.select(*by, F.col("u").alias("_low"), F.col("root").alias("_jump"))
-        new = saved(step.join(jump, [*by, "_low"], "left").select(*by, "u", "root", F.least("_low", "_jump").alias("_new")))
-        changed = not new.filter("_new < root").isEmpty()
-        now = new.select(*by, "u", F.col("_new").alias("root"))
-        if not changed:
-            return now

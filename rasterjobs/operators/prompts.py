@@ -160,11 +160,12 @@ def probability_map(candidates: DataFrame, by: Key = KEY) -> DataFrame:
     return candidates.groupBy(*by, "y", "x").agg(F.max(F.coalesce("score", F.lit(1.0))).alias("p"))
 
 
-def threshold_map(prob: DataFrame, blurred: DataFrame, slices: DataFrame, by: Key = KEY, cap: int = 2_000_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def threshold_map(prob: DataFrame, blurred: DataFrame, slices: DataFrame, by: Key = KEY, cap: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(limits, pixels): max(p95, 0.2) of the non-zero probabilities, or max(p80, 0.05) where that
-    leaves nothing of the blurred map, or 1 without probabilities. Percentiles are exact up to
-    ``cap`` values a slice and those of a fixed sample of that many beyond."""
-    held = stats.sample(prob.filter(F.col("p") > 0), cap, seed, by)
+    leaves nothing of the blurred map, or 1 without probabilities. Percentiles are exact (equal values
+    are counted first); only if ``cap`` is given are they those of a fixed sample of that many values."""
+    held = prob.filter(F.col("p") > 0)
+    held = held if cap is None else stats.sample(held, cap, seed, by)
     limit = stats.percentiles(held, {"p95": 95, "p80": 80}, "p", by)
     first, second = F.greatest("p95", F.lit(0.2)), F.greatest("p80", F.lit(0.05))
     top = blurred.groupBy(*by).agg(F.max("v").alias("_top"))
@@ -194,7 +195,7 @@ def brightness_predictor() -> Predictor:
     return predict
 
 
-def segment_patches(patches: DataFrame, factory: Callable[[], Predictor], by: Key = (*KEY, "patch_id"), cls: bool = False) -> DataFrame:
+def segment_patches(patches: DataFrame, factory: Callable[[], Predictor], by: Key = (*KEY, "patch_id")) -> DataFrame:
     """Candidate pixels (by, cand, score, y, x in full-frame places) from a model.
 
     patches: (by, y0, x0, h, w, data binary of h*w*3 bytes, prompts array<struct<y,x,label>> in

@@ -128,11 +128,11 @@ def ridges(
     return by_max(out.groupBy(*by, "y", "x").agg(F.max("v").alias("v")), by)
 
 
-def _widened(mask: DataFrame, spans: list[tuple[int, int]], dims: DataFrame, by: Key) -> DataFrame:
-    """The union of a mask's runs moved by dy and widened by r for each (dy, r), as runs."""
+def _widened(runs: DataFrame, spans: list[tuple[int, int]], dims: DataFrame, by: Key) -> DataFrame:
+    """The union of runs moved by dy and widened by r for each (dy, r), as runs."""
     offsets = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(r).alias("r")) for d, r in spans])).alias("_o")
     size = [*(c for c in by if c in dims.columns)]
-    moved = px_ops.runs(mask, by).select(*by, "y", "x0", "x1", offsets).join(dims.select(*size, "h", "w"), size)
+    moved = runs.select(*by, "y", "x0", "x1", offsets).join(dims.select(*size, "h", "w"), size)
     moved = moved.select(
         *by, (F.col("y") + F.col("_o.d")).alias("y"), F.greatest(F.lit(0), F.col("x0") - F.col("_o.r")).alias("x0"),
         F.least(F.col("w") - 1, F.col("x1") + F.col("_o.r")).alias("x1"), "h",
@@ -150,20 +150,18 @@ def _disk(radius: int) -> list[tuple[int, int]]:
 
 def dilate_cross(mask: DataFrame, dims: DataFrame, steps: int, by: Key = KEY) -> DataFrame:
     """n dilations by the 4-neighbour cross: all pixels within n steps."""
-    return px_ops.pixels_of(_widened(mask, [(d, steps - abs(d)) for d in range(-steps, steps + 1)], dims, by))
+    return px_ops.pixels_of(_widened(px_ops.runs(mask, by), [(d, steps - abs(d)) for d in range(-steps, steps + 1)], dims, by))
 
 
 def dilate_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:
-    return px_ops.pixels_of(_widened(mask, _disk(radius), dims, by))
+    return px_ops.pixels_of(_widened(px_ops.runs(mask, by), _disk(radius), dims, by))
 
 
-def _complement(mask: DataFrame, dims: DataFrame, by: Key) -> DataFrame:
-    """Background pixels within the mask's rows and columns plus a margin are not enough for
-    erosion of a full frame, so all of the frame's are made, row by row as runs."""
+def _complement(runs: DataFrame, keys: DataFrame, dims: DataFrame, by: Key) -> DataFrame:
+    """What runs leave of the frames of keys, as runs: a row of the frame at a time."""
     size = [*(c for c in by if c in dims.columns)]
-    keys = mask.select(*by).distinct().join(dims.select(*size, "h", "w"), size)
-    rows = keys.select(*by, "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    filled = px_ops.runs(mask, by).groupBy(*by, "y").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("_r"))
+    rows = keys.join(dims.select(*size, "h", "w"), size).select(*by, "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
+    filled = runs.groupBy(*by, "y").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("_r"))
     both = rows.join(filled, [*by, "y"], "left").withColumn("_r", F.coalesce("_r", F.expr("cast(array() as array<struct<x0:int,x1:int>>)")))
     starts = F.concat(F.array(F.lit(0)), F.transform("_r", lambda r: r["x1"] + 1))
     ends = F.concat(F.transform("_r", lambda r: r["x0"] - 1), F.array(F.col("w") - 1))
@@ -171,18 +169,23 @@ def _complement(mask: DataFrame, dims: DataFrame, by: Key) -> DataFrame:
     return both.select(*by, "y", gap).select(*by, "y", F.col("_g.a").alias("x0"), F.col("_g.b").alias("x1"))
 
 
+def _eroded(runs: DataFrame, dims: DataFrame, radius: int, by: Key) -> DataFrame:
+    """The background widened, and what that leaves: no pixel of it is made."""
+    keys = runs.select(*by).distinct()
+    return _complement(_widened(_complement(runs, keys, dims, by), _disk(radius), dims, by), keys, dims, by)
+
+
 def erode_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:
     """Pixels whose disk lies in the mask; what is outside the frame doesn't count."""
-    background = px_ops.pixels_of(_complement(mask, dims, by))
-    return px_ops.without(mask.select(*by, "y", "x"), dilate_disk(background, dims, radius, by), by)
+    return px_ops.pixels_of(_eroded(px_ops.runs(mask, by), dims, radius, by))
 
 
 def close_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:
-    return erode_disk(dilate_disk(mask, dims, radius, by), dims, radius, by)
+    return px_ops.pixels_of(_eroded(_widened(px_ops.runs(mask, by), _disk(radius), dims, by), dims, radius, by))
 
 
 def open_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:
-    return dilate_disk(erode_disk(mask, dims, radius, by), dims, radius, by)
+    return px_ops.pixels_of(_widened(_eroded(px_ops.runs(mask, by), dims, radius, by), _disk(radius), dims, by))
 
 
 def ring(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:

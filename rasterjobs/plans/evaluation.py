@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import class_rgb, prediction_file, slice_name
+from ..functions.columns import class_rgb, slice_name
 from ..operators import components, metrics, pixels, stencils
 from .registry import KEY, MKEY, TRUTH, Views, component_sql, query, rounded
 
@@ -34,9 +34,9 @@ def evaluate_masks(slices: DataFrame, pred: DataFrame, truth: DataFrame) -> Data
     lines = metrics.centerline_dice(slices, pred, truth)
     out = objects.join(pixel, [*MKEY]).join(lines, [*MKEY])
     return out.select(
-        *MKEY, slice_name(F.col("z")).alias("slice"), prediction_file(F.col("z")).alias("file"),
-        "sensitivity_dense", "sensitivity_moderate", "sensitivity_light", F.col("fp").alias("false_positives"),
-        F.col("tp").alias("true_positives"), "fdr", F.col("dice").alias("dice_score"), F.col("iou").alias("iou_score"),
+        *MKEY, F.col("z").alias("slice"), slice_name(F.col("z")).alias("file"),
+        "sensitivity_dense", "sensitivity_moderate", "sensitivity_light", F.col("fp").alias("false_positives_vaan_fun"),
+        F.col("tp").alias("true_positives_vaan_fun"), "fdr", F.col("dice").alias("dice_score"), F.col("iou").alias("iou_score"),
         "iou_dense", "iou_moderate", "iou_light", "cldice",
     )
 
@@ -54,17 +54,22 @@ def evaluate_in_box(slices: DataFrame, pred: DataFrame, truth: DataFrame, roi: D
     return objects.withColumnsRenamed(names).join(pixel, [*MKEY]).join(lines, [*MKEY])
 
 
-def skip_report(slices: DataFrame, models: DataFrame, roi: DataFrame, predicted: DataFrame, sizes: DataFrame) -> DataFrame:
+def skip_report(slices: DataFrame, models: DataFrame, roi: DataFrame, predicted: DataFrame, sizes: DataFrame, brain: DataFrame | None = None) -> DataFrame:
     """status of each slice and model: the first reason for which it is not scored, or ok.
 
-    sizes: (model, subject, z, h, w) of the predictions."""
+    sizes: (model, subject, z, h, w) of the predictions. brain: pixels of a mask of the whole brain, if
+    the predictions are to be cut to it; a slice without any is not scored."""
     every = slices.select(*KEY, "h", "w").crossJoin(F.broadcast(models))  # a handful of models
     have = predicted.select(*MKEY, F.lit(True).alias("_file"))
     mask = roi.select(*KEY).distinct().withColumn("_roi", F.lit(True))
     shape = sizes.select(*MKEY, F.col("h").alias("_h"), F.col("w").alias("_w"))
     rows = every.join(mask, [*KEY], "left").join(have, [*MKEY], "left").join(shape, [*MKEY], "left")
+    held = F.lit(True)
+    if brain is not None:
+        rows = rows.join(brain.select(*KEY).distinct().withColumn("_brain", F.lit(True)), [*KEY], "left")
+        held = F.col("_brain").isNotNull()
     status = (
-        F.when(F.col("_roi").isNull(), "empty region").when(F.col("_file").isNull(), "no prediction")
+        F.when(F.col("_roi").isNull(), "empty region").when(~held, "brain mask empty").when(F.col("_file").isNull(), "no prediction")
         .when((F.col("_h") != F.col("h")) | (F.col("_w") != F.col("w")), "shape mismatch").otherwise("ok")
     )
     return rows.select(*MKEY, status.alias("status"))
@@ -88,20 +93,20 @@ counts AS (
   FROM pairs GROUP BY ALL),
 pm AS (
   SELECT model, subject, z,
-    round(CASE WHEN coalesce(np + nt - nb, 0) = 0 THEN 1.0 ELSE nb / (np + nt - nb) END, 6) AS iou,
-    round(CASE WHEN coalesce(np + nt, 0) = 0 THEN 1.0 ELSE 2 * nb / (np + nt) END, 6) AS dice,
-    round(CASE WHEN coalesce(a1, 0) = 0 THEN 1.0 ELSE h1 / a1 END, 6) AS iou_light,
-    round(CASE WHEN coalesce(a2, 0) = 0 THEN 1.0 ELSE 0.0 END, 6) AS iou_moderate,
-    round(CASE WHEN coalesce(a3, 0) = 0 THEN 1.0 ELSE 0.0 END, 6) AS iou_dense,
-    round(h1 / nullif(n1, 0), 6) AS pixel_recall_light, round(h2 / nullif(n2, 0), 6) AS pixel_recall_moderate,
-    round(h3 / nullif(n3, 0), 6) AS pixel_recall_dense
+    CASE WHEN coalesce(np + nt - nb, 0) = 0 THEN 1.0 ELSE nb / (np + nt - nb) END AS iou,
+    CASE WHEN coalesce(np + nt, 0) = 0 THEN 1.0 ELSE 2 * nb / (np + nt) END AS dice,
+    CASE WHEN coalesce(a1, 0) = 0 THEN 1.0 ELSE h1 / a1 END AS iou_light,
+    CASE WHEN coalesce(a2, 0) = 0 THEN 1.0 ELSE 0.0 END AS iou_moderate,
+    CASE WHEN coalesce(a3, 0) = 0 THEN 1.0 ELSE 0.0 END AS iou_dense,
+    h1 / nullif(n1, 0) AS pixel_recall_light, h2 / nullif(n2, 0) AS pixel_recall_moderate,
+    h3 / nullif(n3, 0) AS pixel_recall_dense
   FROM scored LEFT JOIN counts USING (model, subject, z))"""
 
 
 @query("pixel_metrics", *EVAL, sql=TRUTH + _PIXEL + " SELECT * FROM pm")
 def pixel_metrics(v: Views) -> DataFrame:
     slices, pred, truth = evaluation_inputs(v)
-    return rounded(metrics.pixel_metrics(metrics.pixel_counts(slices, metrics.paired(pred, truth))))
+    return metrics.pixel_metrics(metrics.pixel_counts(slices, metrics.paired(pred, truth)))
 
 
 def _objects(empty: str) -> str:
@@ -117,8 +122,8 @@ pn AS (SELECT model, subject, z, count(DISTINCT comp_id) AS n FROM pc GROUP BY A
 ph AS (SELECT p.model, p.subject, p.z, count(DISTINCT p.comp_id) AS n FROM ppx p JOIN truth t USING (subject, z, y, x) GROUP BY ALL),
 om AS (
   SELECT s.model, s.subject, s.z, coalesce(ph.n, 0) AS tp, coalesce(pn.n, 0) - coalesce(ph.n, 0) AS fp,
-    round(CASE WHEN coalesce(pn.n, 0) = 0 THEN 0.0 ELSE (pn.n - coalesce(ph.n, 0)) / pn.n END, 6) AS fdr,
-    {", ".join(f"round(CASE WHEN n{k}.n IS NULL THEN {empty} ELSE coalesce(h{k}.n, 0) / n{k}.n END, 6) AS sensitivity_{c}" for k, c in metrics.CLASSES)}
+    CASE WHEN coalesce(pn.n, 0) = 0 THEN 0.0 ELSE (pn.n - coalesce(ph.n, 0)) / pn.n END AS fdr,
+    {", ".join(f"CASE WHEN n{k}.n IS NULL THEN {empty} ELSE coalesce(h{k}.n, 0) / n{k}.n END AS sensitivity_{c}" for k, c in metrics.CLASSES)}
   FROM scored s LEFT JOIN pn USING (model, subject, z) LEFT JOIN ph USING (model, subject, z)
   {" ".join(f"LEFT JOIN tn n{k} ON n{k}.subject = s.subject AND n{k}.z = s.z AND n{k}.cls = {k} LEFT JOIN th h{k} ON h{k}.model = s.model AND h{k}.subject = s.subject AND h{k}.z = s.z AND h{k}.cls = {k}" for k, _ in metrics.CLASSES)})"""
 
@@ -126,7 +131,7 @@ om AS (
 @query("object_metrics", *EVAL, sql=TRUTH + _objects("1.0") + " SELECT * FROM om")
 def _(v: Views) -> DataFrame:
     slices, pred, truth = evaluation_inputs(v)
-    return rounded(metrics.object_metrics(slices, pred, truth))
+    return metrics.object_metrics(slices, pred, truth)
 
 
 def skeleton_sql(source: str, keys: str, name: str, steps: int = 40) -> str:
@@ -176,12 +181,12 @@ def _(v: Views) -> DataFrame:
 @query(
     "evaluation_table", *EVAL,
     sql=TRUTH + _PIXEL + _objects("1.0") + _LINES + """
-SELECT model, subject, z, printf('%03d', z) AS slice, 'slice_' || printf('%03d', z) || '_pred.png' AS file, sensitivity_dense,
-  sensitivity_moderate, sensitivity_light, fp AS false_positives, tp AS true_positives, fdr, dice AS dice_score, iou AS iou_score,
+SELECT model, subject, z, z AS slice, printf('%03d', z) AS file, sensitivity_dense,
+  sensitivity_moderate, sensitivity_light, fp AS false_positives_vaan_fun, tp AS true_positives_vaan_fun, fdr, dice AS dice_score, iou AS iou_score,
   iou_dense, iou_moderate, iou_light, cldice FROM om JOIN pm USING (model, subject, z) JOIN cl USING (model, subject, z)""",
 )
 def evaluation_table(v: Views) -> DataFrame:
-    return rounded(evaluate_masks(*evaluation_inputs(v)))
+    return evaluate_masks(*evaluation_inputs(v)).withColumn("cldice", F.round("cldice", 6))
 
 
 @query(
@@ -193,7 +198,7 @@ SELECT model, subject, z, sensitivity_light AS obj_sens_light, sensitivity_moder
 WHERE (subject, z) IN (SELECT (subject, z) FROM roi)""",
 )
 def _(v: Views) -> DataFrame:
-    return rounded(evaluate_in_box(*evaluation_inputs(v), v.roi))
+    return evaluate_in_box(*evaluation_inputs(v), v.roi).withColumn("pixel_cldice", F.round("pixel_cldice", 6))
 
 
 _NAMES = ["iou", "dice", "pixel_recall_light", "pixel_recall_moderate", "pixel_recall_dense"]

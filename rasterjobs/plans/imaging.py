@@ -152,24 +152,24 @@ def _(v: Views) -> DataFrame:
     return components.touched(components.label(v.pred, by, 8), masks, by)
 
 
-@query("continuity", "pred", sql=f"""p AS (SELECT m AS model, subject, z, y, x FROM pred), {component_sql("p", "model, subject, z", 8, "c")},
+@query("continuity", "pred", "predicted", sql=f"""p AS (SELECT m AS model, subject, z, y, x FROM pred), {component_sql("p", "model, subject, z", 8, "c")},
 ar AS (SELECT model, subject, z, comp_id, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area FROM c GROUP BY ALL),
-st AS (SELECT model, subject, z, dense_rank() OVER (PARTITION BY model, subject ORDER BY z) AS k FROM (SELECT DISTINCT model, subject, z FROM c)),
+st AS (SELECT m AS model, subject, z, dense_rank() OVER (PARTITION BY m, subject ORDER BY z) AS k FROM predicted),
 px AS (SELECT model, subject, k, comp_id, y, unnest(range(x0, x1 + 1)) AS x FROM c JOIN st USING (model, subject, z)),
 ov AS (SELECT a.model, a.subject, a.k, a.comp_id, b.comp_id AS prev, count(*) AS n FROM px a
   JOIN px b ON b.model = a.model AND b.subject = a.subject AND b.k = a.k - 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL),
 go AS (
-  SELECT model, subject, k, comp_id, area, true AS stays FROM ar JOIN st USING (model, subject, z) WHERE k = 1
+  SELECT st.model, st.subject, k, comp_id, area, comp_id IS NOT NULL AS stays FROM st LEFT JOIN ar USING (model, subject, z) WHERE k = 1
   UNION ALL
-  SELECT model, subject, k, comp_id, area, shared / area >= 0.02 OR area >= 1000 OR NOT any_kept FROM (
+  SELECT model, subject, k, comp_id, area, comp_id IS NOT NULL AND (shared / area >= 0.02 OR area >= 1000 OR NOT any_kept) FROM (
     SELECT t.model, t.subject, t.k, t.comp_id, t.area, coalesce(sum(CASE WHEN g.stays THEN ov.n END), 0) AS shared, coalesce(bool_or(g.stays), false) AS any_kept
-    FROM (SELECT * FROM ar JOIN st USING (model, subject, z)) t
+    FROM (SELECT st.model, st.subject, st.k, comp_id, area FROM st LEFT JOIN ar USING (model, subject, z)) t
     JOIN go g ON g.model = t.model AND g.subject = t.subject AND g.k = t.k - 1
     LEFT JOIN ov ON ov.model = t.model AND ov.subject = t.subject AND ov.k = t.k AND ov.comp_id = t.comp_id AND ov.prev = g.comp_id
     GROUP BY t.model, t.subject, t.k, t.comp_id, t.area))
-SELECT model, subject, z, comp_id, area, stays FROM go JOIN st USING (model, subject, k)""")
+SELECT model, subject, z, comp_id, area, stays FROM go JOIN st USING (model, subject, k) WHERE comp_id IS NOT NULL""")
 def _(v: Views) -> DataFrame:
-    return components.continuity(v.pred, ("model", "subject"))
+    return components.continuity(v.pred, ("model", "subject"), slices=v.predicted)
 
 
 for _rule, _src in (("half_even", "round_even(i * (63.0 / 127.0), 0)"), ("floor", "floor(i * 64 / 128)")):

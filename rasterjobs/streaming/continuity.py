@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,7 +14,8 @@ def continuity_stream(
     components: DataFrame, subject: str = "subject", min_share: float = 0.02, min_area: int = 1000
 ) -> DataFrame:
     """(subject, z, comp_id, area, stays) for a stream of (subject, z, comp_id, area, met), where met
-    is an array of (prev, shared): overlaps with the components of the slice before.
+    is an array of (prev, shared): overlaps with the components of the slice before. A processed slice
+    without components is one row whose comp_id is null; after it nothing goes.
 
     Slices of a subject must arrive in order of z, each whole in one batch; the state is the list
     of components that stayed in the last slice. Same rule as operators.components.continuity."""
@@ -23,12 +25,12 @@ def continuity_stream(
         pdf = pd.concat(list(frames))
         out = []
         for z, now in pdf.sort_values(["z", "comp_id"]).groupby("z"):
-            stays = []
+            now, stays = now[now["comp_id"].notna()], []
             for area, met in zip(now["area"], now["met"], strict=True):
                 both = sum(m["shared"] for m in (met if met is not None else ()) if m["prev"] in (before or ()))
                 stays.append(bool(not before or both / area >= min_share or area >= min_area))
             before = set(now["comp_id"][stays])
-            out.append(pd.DataFrame({subject: key[0], "z": z, "comp_id": now["comp_id"], "area": now["area"], "stays": stays}))
+            out.append(pd.DataFrame({subject: key[0], "z": z, "comp_id": now["comp_id"].astype("int64"), "area": now["area"].astype("int64"), "stays": np.array(stays, bool)}))
         state.update((sorted(int(c) for c in before or ()),))
         yield pd.concat(out)
 
