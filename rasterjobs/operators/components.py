@@ -1,9 +1,10 @@
 """Connected components of masks: labels, properties, filters, merging and continuity.
 
 A mask is cut into row runs. Runs are labelled inside bands of rows (one task a band, linear in
-the runs); pieces that touch across a band border are then joined by a small link table, of which
-one task takes a slice's. No job runs while a plan is built. The labels do not depend on the band
-height: components are numbered 1..n by their first pixel in scan order.
+the runs); a slice's pieces then meet in one task, which joins those that touch across a band border
+and numbers the components 1..n by their first pixel in scan order. That task holds the runs of one
+slice (24 bytes each), never its pixels. What comes before is computed once, and no job runs while a
+plan is built. The labels do not depend on the band height.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def link_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.n
 def label_runs(runs: DataFrame, by: Key = KEY, connectivity: int = 8, band: int = BAND) -> DataFrame:
     """runs (by, y, x0, x1) with comp_id, from 1 in scan order of the first pixels."""
     reach = {4: 0, 8: 1}[connectivity]
-    names = [*by, "y", "x0", "x1", "_band", "_first"]
+    names = [*by, "y", "x0", "x1", "_first"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
@@ -68,38 +69,30 @@ def label_runs(runs: DataFrame, by: Key = KEY, connectivity: int = 8, band: int
         pdf["_first"] = (pdf["y"].to_numpy().astype(np.int64) << 32)[first] + pdf["x0"].to_numpy()[first]
         return pdf[names]
 
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces, of = np.unique(pdf["_first"].to_numpy(), return_inverse=True)
+        root, y = list(range(len(pieces))), pdf["y"].to_numpy()
+        for border in np.unique(y[(y % band == 0) & (y > 0)]).tolist():
+            # the rows on either side of a border; a link of runs is one of their pieces
+            near = np.flatnonzero((y == border - 1) | (y == border))
+            near = near[np.lexsort((pdf["x0"].to_numpy()[near], y[near]))]
+            link = link_runs(y[near], pdf["x0"].to_numpy()[near], pdf["x1"].to_numpy()[near], reach)
+            for i, j in zip(of[near].tolist(), of[near[link]].tolist(), strict=True):
+                i, j = _top(root, i), _top(root, j)
+                root[max(i, j)] = min(i, j)
+        number = np.unique([_top(root, i) for i in range(len(pieces))], return_inverse=True)[1] + 1
+        return pdf[[*by, "y", "x0", "x1"]].assign(comp_id=number[of])
+
     fields = _fields(runs, (*by, "y", "x0", "x1"))
     banded = runs.select(*by, "y", "x0", "x1", F.floor(F.col("y") / band).cast("int").alias("_band"))
-    pieces = banded.groupBy(*by, "_band").applyInPandas(one, f"{fields}, _band int, _first bigint")
-    below = pieces.filter(F.col("y") % band == 0).select(*by, (F.col("y") - 1).alias("y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("_first").alias("v"))
-    above = pieces.filter(F.col("y") % band == band - 1)
-    links = above.join(below, [*by, "y"]).filter((F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach))
-    roots = joined(links.select(*by, F.col("_first").alias("u"), "v").distinct(), by).withColumnRenamed("u", "_first")
-    named = pieces.join(roots, [*by, "_first"], "left").withColumn("_root", F.coalesce("_root", "_first"))
-    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy("_root")).cast("bigint")
-    return named.select(*by, "y", "x0", "x1", rank.alias("comp_id"))
-
-
-def joined(links: DataFrame, by: Key) -> DataFrame:
-    """(by, u, _root) for every node of links (by, u, v): the least node that it is linked to, directly
-    or not. Links only stand for pieces that meet at band borders, so a slice's fit one task."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, ends = np.unique(pdf[["u", "v"]].to_numpy(np.int64), return_inverse=True)
-        ends, root = ends.reshape(-1, 2), list(range(len(nodes)))
+    pieces = banded.groupBy(*by, "_band").applyInPandas(one, f"{fields}, _first bigint")
+    return pieces.groupBy(*by).applyInPandas(whole, f"{fields}, comp_id bigint")
 
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
 
-        for i, j in ends.tolist():
-            i, j = find(i), find(j)
-            root[max(i, j)] = min(i, j)
-        key = {n: pdf[n].iloc[0] for n in by}
-        return pd.DataFrame({**key, "u": nodes, "_root": nodes[[find(i) for i in range(len(nodes))]]})
-
-    return links.groupBy(*by).applyInPandas(one, f"{_fields(links, by)}, u bigint, _root bigint")
+def _top(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = i = root[root[i]]
+    return i
 
 
 def label(px: DataFrame, by: Key = KEY, connectivity: int = 8, band: int = BAND) -> DataFrame:
@@ -148,20 +141,23 @@ def keep(labelled: DataFrame, chosen: DataFrame, by: Key = KEY) -> DataFrame:
     return labelled.join(chosen.select(*by, "comp_id"), [*by, "comp_id"], "left_semi")
 
 
+def _sized(px: DataFrame, by: Key, connectivity: int, band: int) -> DataFrame:
+    """Labelled runs with the area of their component."""
+    size = F.sum(F.col("x1") - F.col("x0") + 1).over(Window.partitionBy(*by, "comp_id"))
+    return label(px, by, connectivity, band).withColumn("area", size)
+
+
 def remove_small(px: DataFrame, min_size: int, by: Key = KEY, connectivity: int = 4, band: int = BAND) -> DataFrame:
     """Pixels of components of at least min_size pixels."""
-    labelled = label(px, by, connectivity, band)
-    return pixels(keep(labelled, areas(labelled, by).filter(F.col("area") >= min_size), by)).select(*by, "y", "x")
+    return pixels(_sized(px, by, connectivity, band).filter(F.col("area") >= min_size)).select(*by, "y", "x")
 
 
 def largest(px: DataFrame, k: int, by: Key = KEY, connectivity: int = 4, band: int = BAND) -> DataFrame:
     """Pixels of the k largest components of each slice; ties in scan order; k <= 0: all."""
     if k <= 0:
         return px.select(*by, "y", "x")
-    labelled = label(px, by, connectivity, band)
-    order = Window.partitionBy(*by).orderBy(F.desc("area"), "comp_id")
-    best = areas(labelled, by).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    return pixels(keep(labelled, best, by)).select(*by, "y", "x")
+    place = F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("area"), "comp_id"))
+    return pixels(_sized(px, by, connectivity, band).withColumn("_r", place).filter(F.col("_r") <= k)).select(*by, "y", "x")
 
 
 def top_instances(props: DataFrame, k: int = 4, by: Key = KEY) -> DataFrame:
@@ -172,7 +168,7 @@ def top_instances(props: DataFrame, k: int = 4, by: Key = KEY) -> DataFrame:
 
 def fibres(px: DataFrame, by: Key = KEY, min_area: int = 25, min_major: float = 50, min_ecc: float = 0.8) -> DataFrame:
     """Pixels of long thin 8-connected components."""
-    labelled = label(px, by, 8)
+    labelled = saved(label(px, by, 8))
     long = properties(labelled, by).filter((F.col("area") >= min_area) & (F.col("major_axis") >= min_major) & (F.col("eccentricity") >= min_ecc))
     return pixels(keep(labelled, long, by)).select(*by, "y", "x")
 

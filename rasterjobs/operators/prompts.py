@@ -107,6 +107,17 @@ def farthest_points(px: DataFrame, seed: int = 0, k: int | None = None, by: Key
     return rows.groupBy(*by).applyInPandas(one, f"{_fields(px, by)}, ord int, y int, x int")
 
 
+def two_apart(px: DataFrame, seed: int = 0, by: Key = KEY) -> DataFrame:
+    """As farthest_points with k = 2, by aggregates only: no group comes together in one task."""
+    rows = px.select(*by, "y", "x")
+    first = rows.groupBy(*by).agg(F.min_by(F.struct("y", "x"), F.struct(shuffled(seed, *by, "y", "x"), "y", "x")).alias("_f"))
+    gap = F.pow(F.col("y") - F.col("_f.y"), 2) + F.pow(F.col("x") - F.col("_f.x"), 2)
+    far = rows.join(first, [*by]).withColumn("_gap", gap).filter(F.col("_gap") > 0)
+    far = far.groupBy(*by).agg(F.max_by(F.struct("y", "x"), F.struct("_gap", -F.col("y"), -F.col("x"))).alias("_f"))
+    point = lambda df, n: df.select(*by, F.lit(n).alias("ord"), "_f.y", "_f.x")
+    return point(first, 1).unionAll(point(far, 2))
+
+
 def ridge_prompts(ridge: DataFrame, roi: DataFrame, dims: DataFrame, seed: int = 0, p: float = 97, n_pos: int = 20, n_neg: int = 10, radius: int = 5, by: Key = KEY) -> DataFrame:
     """Positives on the skeleton of strong ridges in the region, negatives on the ring around them;
     ``by`` may hold a patch. Groups without positives have no points."""
@@ -179,18 +190,24 @@ Predictor = Callable[[np.ndarray, np.ndarray, np.ndarray, tuple[int, int, int, i
 
 
 def brightness_predictor() -> Predictor:
-    """A stand-in for a network: masks of what is at least as bright as the k-th positive point."""
+    """A stand-in for a network: masks of what is, over 5 x 5 pixels, at least as bright as the k-th
+    positive point (without points, as the mean); the brighter the image, the surer it is."""
+
+    def smooth(gray: np.ndarray) -> np.ndarray:
+        sums = np.pad(gray, 2, mode="edge").cumsum(axis=0).cumsum(axis=1)
+        sums = np.pad(sums, ((1, 0), (1, 0)))
+        return (sums[5:, 5:] - sums[:-5, 5:] - sums[5:, :-5] + sums[:-5, :-5]) / 25
 
     def predict(image: np.ndarray, points: np.ndarray, labels: np.ndarray, box=None) -> tuple[np.ndarray, np.ndarray]:
-        gray = image.mean(axis=2)
-        values = np.sort(gray[points[labels == 1][:, 1], points[labels == 1][:, 0]]) if (labels == 1).any() else np.array([gray.max()])
+        gray = smooth(image.mean(axis=2))
+        values = np.sort(gray[points[labels == 1][:, 1], points[labels == 1][:, 0]]) if (labels == 1).any() else np.array([gray.mean()])
         limits = [values[0], values[len(values) // 2], values[-1]]
         masks = np.stack([gray >= v for v in limits])
         if box is not None:
             inside = np.zeros_like(masks[0])
             inside[box[1] : box[3] + 1, box[0] : box[2] + 1] = True
             masks &= inside
-        return masks, np.array([0.6, 0.9, 0.7])
+        return masks, np.array([0.6, 0.9, 0.7]) * np.clip((gray.mean() - 48) / 80, 0.1, 1)
 
     return predict
 
@@ -242,6 +259,12 @@ def patch_images(rgb: DataFrame, patches: DataFrame, cell: int, by: Key = KEY) -
     return sized.groupBy(*by, "patch_id").applyInPandas(one, f"{fields}, patch_id int, y0 int, x0 int, h int, w int, data binary")
 
 
+def slice_images(rgb: DataFrame, dims: DataFrame, by: Key = KEY) -> DataFrame:
+    """Whole slices (by, h, w, data) as bytes; dims tells which."""
+    frames = dims.select(*by, F.lit(0).alias("patch_id"), F.lit(0).alias("y0"), F.col("h").cast("int").alias("y1"), F.lit(0).alias("x0"), F.col("w").cast("int").alias("x1"))
+    return patch_images(rgb, frames, 4096, by).select(*by, "h", "w", "data")
+
+
 def padded(patches: DataFrame, size: int) -> DataFrame:
     """Patch images shorter than size x size filled with zeros at their ends."""
 

@@ -156,30 +156,58 @@ def _(v: Views) -> DataFrame:
 def automatic_region(gray: DataFrame, roi: DataFrame, dims: DataFrame, p: float = 60, min_size: int = 5000, radius: int = 2) -> DataFrame:
     """A region for the slices that have none: what is brighter than a percentile, without small
     pieces, closed."""
-    bare = gray.join(roi.select(*KEY).distinct(), [*KEY], "left_anti")
+    bare = saved(gray.join(roi.select(*KEY).distinct(), [*KEY], "left_anti"))
     scaled = stats.min_max(bare).withColumn("v", F.round("v", 9))
+    scaled = saved(scaled)
     limit = stats.percentiles(scaled, {"_t": p})
     high = scaled.join(limit, [*KEY]).filter(F.col("v") > F.col("_t")).select(*KEY, "y", "x")
     return stencils.close_disk(components.remove_small(high, min_size), dims, radius)
 
 
-def find_instances(image: DataFrame, roi: DataFrame, dims: DataFrame, min_object: int = 200, min_area: int = 250, margin: int = 10, distance: float = 30, k: int = 4) -> DataFrame:
+def find_instances(image: DataFrame, roi: DataFrame, dims: DataFrame, min_object: int = 200, min_area: int = 250, margin: int = 10, distance: float = 30, k: int = 4, percentile: float = 98, radius: int = 2) -> DataFrame:
     """Pixels of the k largest bright structures in the region, by inst_id (1: the largest)."""
-    scaled = stats.min_max(pixels.to_gray(image))
-    bright = stats.above_percentile(scaled, roi, 98, True).select(*KEY, "y", "x")
-    opened = stencils.open_disk(components.remove_small(bright, min_object), dims, 2)
-    labelled = components.label(opened, KEY, 4)
-    props = components.properties(labelled).filter(F.col("area") >= min_area)
-    merged = components.merge_near(props, distance)
+    scaled = stats.min_max(saved(pixels.to_gray(image)))
+    bright = stats.above_percentile(saved(pixels.within(scaled, roi)), roi, percentile, True).select(*KEY, "y", "x")
+    opened = stencils.open_disk(components.remove_small(bright, min_object), dims, radius)
+    labelled = saved(components.label(opened, KEY, 4))
+    props = saved(components.properties(labelled).filter(F.col("area") >= min_area))
+    merged = saved(components.merge_near(props, distance))
     area = merged.join(props.select(*KEY, "comp_id", "area"), [*KEY, "comp_id"]).groupBy(*KEY, F.col("inst").alias("comp_id")).agg(F.sum("area").alias("area"))
     top = components.top_instances(area, k).select(*KEY, F.col("comp_id").alias("inst"), "inst_id")
     owner = merged.join(top, [*KEY, "inst"]).select(*KEY, "comp_id", "inst_id")
     return components.pixels(labelled.join(owner, [*KEY, "comp_id"])).select(*KEY, "inst_id", "y", "x")
 
 
-@query("instances", "image", "roi", "slices")
+#: What the small frames of the raster views need to hold instances.
+_SMALL = {"min_object": 20, "min_area": 25, "percentile": 80, "radius": 1}
+_INSTANCES = f"""{_GRAY}, sc AS (SELECT g.subject, g.z, g.y, g.x, (g.v - lo) / (hi - lo + 1e-8) AS v FROM g JOIN (SELECT subject, z, min(v) AS lo, max(v) AS hi FROM g GROUP BY ALL) USING (subject, z)),
+ins AS (SELECT * FROM sc SEMI JOIN roi USING (subject, z, y, x)),
+br AS (SELECT subject, z, y, x FROM ins JOIN (SELECT subject, z, quantile_cont(v, 0.8) AS t FROM ins GROUP BY ALL) USING (subject, z) WHERE v > t),
+{component_sql("br", "subject, z", 4, "bc")}, bo AS (SELECT subject, z, comp_id FROM bc GROUP BY ALL HAVING sum(x1 - x0 + 1) >= 20),
+bp AS (SELECT subject, z, y, unnest(range(x0, x1 + 1)) AS x FROM bc SEMI JOIN bo USING (subject, z, comp_id)),
+{_offsets("dy * dy + dx * dx <= 1", 1)}, {_eroded("bp", "er")}, {_dilated("er", "op")},
+{component_sql("op", "subject, z", 4, "c")},
+props AS (SELECT *, row_number() OVER (PARTITION BY subject, z ORDER BY comp_id) AS k FROM (
+  SELECT subject, z, comp_id, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area, CAST(floor(sum((x1 - x0 + 1) * y) / sum(x1 - x0 + 1)) AS INT) AS cy,
+    CAST(floor(sum((x0 + x1) * (x1 - x0 + 1) / 2.0) / sum(x1 - x0 + 1)) AS INT) AS cx FROM c GROUP BY ALL HAVING sum(x1 - x0 + 1) >= 25)),
+near AS (SELECT a.subject, a.z, a.k AS i, b.k AS j FROM props a JOIN props b ON a.subject = b.subject AND a.z = b.z AND a.k < b.k
+  AND sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) < 30),
+go AS (
+  SELECT subject, z, k, CAST(0 AS BIGINT) AS inst, CAST(0 AS BIGINT) AS step FROM props
+  UNION ALL
+  SELECT g.subject, g.z, g.k,
+    CASE WHEN g.inst = 0 AND max(CASE WHEN g.k = g.step + 1 THEN g.inst END) OVER (PARTITION BY g.subject, g.z) = 0
+      AND (g.k = g.step + 1 OR n.j IS NOT NULL) THEN g.step + 1 ELSE g.inst END, g.step + 1
+  FROM go g LEFT JOIN near n ON n.subject = g.subject AND n.z = g.z AND n.i = g.step + 1 AND n.j = g.k
+  WHERE g.step < (SELECT max(k) FROM props)),
+owned AS (SELECT p.*, inst FROM go JOIN props p USING (subject, z, k) WHERE step = (SELECT max(k) FROM props)),
+tops AS (SELECT subject, z, inst, CAST(row_number() OVER (PARTITION BY subject, z ORDER BY sum(area) DESC, inst) AS INT) AS inst_id FROM owned GROUP BY subject, z, inst),
+inst_px AS (SELECT subject, z, inst_id, y, CAST(unnest(range(x0, x1 + 1)) AS INT) AS x FROM c JOIN owned USING (subject, z, comp_id) JOIN tops USING (subject, z, inst) WHERE inst_id <= 4)"""
+
+
+@query("instances", "image", "roi", "slices", sql=_INSTANCES + " SELECT * FROM inst_px")
 def instances(v: Views) -> DataFrame:
-    return find_instances(v.image, v.roi, v.slices, min_object=20, min_area=25)
+    return find_instances(v.image, v.roi, v.slices, **_SMALL)
 
 
 def negative_places(inst: DataFrame, roi: DataFrame, dims: DataFrame, steps: int = 14, far: float = 50) -> DataFrame:
@@ -201,14 +229,15 @@ def instance_prompts(image: DataFrame, roi: DataFrame, dims: DataFrame, inst: Da
     """Points of each instance: important pixels spread apart, and two negatives away from it; where
     there is no place for one, the corner."""
     by = (*KEY, "inst_id")
-    field = stencils.importance(pixels.to_gray(image), dims, inst)
+    inst, roi = saved(inst), saved(roi.select(*KEY, "y", "x"))
+    field = saved(stencils.importance(pixels.to_gray(image), dims, inst))
     limit = field.groupBy(*by).agg(F.percentile("v", 0.9).alias("_t"))
     strong = field.join(limit, [*by]).filter(F.col("v") >= F.col("_t"))
     k = inst.groupBy(*by).agg(prompts.adaptive_count(F.count("*")).alias("k"))
     positive = prompts.farthest_points(strong.select(*by, "y", "x").join(k, [*by]), seed, None, by)
     away = negative_places(inst, roi, dims)
     # two points: the first by hash, then the one farthest from it
-    negative = prompts.farthest_points(away, seed + 1, 2, by)
+    negative = saved(prompts.two_apart(saved(away), seed + 1, by))
     none = inst.select(*by).distinct().join(negative, [*by], "left_anti")
     corner = none.select(*by, F.lit(1).alias("ord"), F.lit(0).alias("y"), F.lit(0).alias("x"))
     label = lambda df, n: df.select(*by, "ord", "y", "x", F.lit(n).alias("label"))
@@ -220,29 +249,80 @@ def _(v: Views) -> DataFrame:
     return instance_prompts(v.image, v.roi, v.slices, instances(v))
 
 
+@query("multi_instance_segmentation", "image", "roi", "slices")
+def _(v: Views) -> DataFrame:
+    return multi_instance_run(v.image, v.roi, v.slices, min_box=8, find=_SMALL)
+
+
+@query("box_only_segmentation", "image", "roi", "slices")
+def _(v: Views) -> DataFrame:
+    return multi_instance_run(v.image, v.roi, v.slices, min_box=8, find=_SMALL, use_points=False)
+
+
+def multi_instance_run(
+    image: DataFrame, roi: DataFrame, dims: DataFrame, factory=prompts.brightness_predictor, use_points: bool = True, how: str = "best",
+    margin: int = 10, min_box: int = 40, min_size: int = 15, radius: int = 2, top: int = 3, seed: int = 0, find: dict | None = None,
+) -> DataFrame:
+    """Mask pixels of each slice: its bright instances are found, each is segmented by the model with its
+    points (or, without ``use_points``, its box alone) on the whole slice, cleaned on its own, and the
+    ``top`` largest components of their union stay. Slices without a region or an instance have no pixels."""
+    by, pkey = (*KEY, "inst_id"), (*KEY, "patch_id")
+    roi = saved(roi.select(*KEY, "y", "x"))
+    image = saved(stats.robust(image))
+    inst = saved(find_instances(image, roi, dims, margin=margin, **(find or {})))
+    ids = inst.select(*by).distinct()
+    sized = ids.join(dims.select(*KEY, "h", "w"), [*KEY])
+    boxes = prompts_box(pixels.enforce_min_box(pixels.bbox_with_margin(inst, sized, margin, by), sized, min_box, by), sized, by)
+    frames = sized.select(*KEY, F.col("inst_id").cast("int").alias("patch_id"), F.lit(0).alias("y0"), F.col("h").alias("y1"), F.lit(0).alias("x0"), F.col("w").alias("x1"))
+    rgb = pixels.to_rgb(image.withColumn("v", to_byte(F.col("v"))), 3)
+    # one image a slice, met by its few instances
+    whole = prompts.slice_images(rgb, dims.join(ids.select(*KEY).distinct(), [*KEY], "left_semi"))
+    rows = frames.select(*pkey, "y0", "x0").join(whole, [*KEY]).join(boxes.withColumnRenamed("inst_id", "patch_id"), [*pkey])
+    if use_points:
+        points = instance_prompts(image, roi, dims, inst, seed)
+        held = points.groupBy(*KEY, F.col("inst_id").alias("patch_id")).agg(F.collect_list(F.struct("y", "x", "label")).alias("prompts"))
+        rows = rows.join(held, [*pkey])
+    else:
+        rows = rows.withColumn("prompts", F.lit(None).cast("array<struct<y:int,x:int,label:int>>"))
+    made = saved(prompts.segment_patches(rows, factory))
+    mask = prompts.combine(made, made.select(*pkey, "cand", "score").distinct(), how, pkey)
+    clean = prompts.clean_instances(mask, roi, dims, min_size, radius, pkey)
+    return components.largest(pixels.union_masks(clean), top)
+
+
+def prompts_box(boxes: DataFrame, sized: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Boxes as one column, with ends inside the frame."""
+    last = lambda c, n: F.least(F.col(c), F.col(n) - 1).cast("int").alias(c)
+    whole = F.struct(F.col("x_min").cast("int").alias("x_min"), F.col("y_min").cast("int").alias("y_min"), last("x_max", "w"), last("y_max", "h"))
+    return boxes.join(sized.select(*by, "h", "w"), [*by]).select(*by, whole.alias("box"))
+
+
 def segment_slices(
     image: DataFrame, roi: DataFrame, dims: DataFrame, factory=prompts.brightness_predictor, patch: int = 2048, stride: int = 1024,
     min_size: int = 30, min_region: int = 5000,
 ) -> tuple[DataFrame, DataFrame]:
     """(mask pixels, counters): tiles that hold a prompt are cut out, segmented by the model, cleaned
     and stitched. Coordinates are those of the full frame. Slices without a region get an automatic
-    one, of pieces of at least ``min_region`` pixels."""
+    one, of pieces of at least ``min_region`` pixels. Each step that several others read is computed
+    once, into the checkpoint folder."""
+    image = saved(image)
     roi = saved(roi.select(*KEY, "y", "x").unionByName(automatic_region(pixels.to_gray(image), roi, dims, min_size=min_region)))
-    scaled = stats.min_max_roi(image, stats.roi_stats(image, roi))
+    scaled = saved(stats.min_max_roi(image, stats.roi_stats(image, roi)))
     field = stencils.density(pixels.to_gray(scaled), roi, dims)
-    points = prompts.density_prompts(field, roi, dims)
-    grid = prompts.patch_grid(dims, patch, stride)
+    points = saved(prompts.density_prompts(saved(field), roi, dims))
+    grid = saved(prompts.patch_grid(dims, patch, stride))
     held = prompts.in_patches(points, grid, patch).groupBy(*KEY, "patch_id").agg(F.collect_list(F.struct("y", "x", "label")).alias("prompts"))
+    held = saved(held)
     inside = prompts.patch_share(grid, roi, patch).filter(F.col("n_roi") > 0)
-    used = inside.join(held, [*KEY, "patch_id"], "left_semi").dropDuplicates([*KEY, "y0", "x0"]).select(grid.columns)
+    used = saved(inside.join(held, [*KEY, "patch_id"], "left_semi").dropDuplicates([*KEY, "y0", "x0"]).select(grid.columns))
     rgb = pixels.to_rgb(scaled.withColumn("v", to_byte(F.col("v"))), 3)
     images = prompts.padded(prompts.patch_images(rgb, used, patch), min(patch, 64)).join(held, [*KEY, "patch_id"])
-    made = prompts.segment_patches(images, factory)
     pkey = (*KEY, "patch_id")
+    made = saved(prompts.segment_patches(images, factory))
     best = prompts.combine(made, made.select(*pkey, "cand", "score").distinct(), "best", pkey)
-    clean = prompts.clean_instances(best, roi, dims, min_size, 1, pkey)
-    counts = stats.counters(dims, {"n_points": points, "n_patches": grid, "n_used": used, "n_pixels": pixels.union_masks(clean)})
-    return pixels.union_masks(clean), counts
+    mask = saved(pixels.union_masks(prompts.clean_instances(best, roi, dims, min_size, 1, pkey)))
+    counts = stats.counters(dims, {"n_points": points, "n_patches": grid, "n_used": used, "n_pixels": mask})
+    return mask, counts
 
 
 @query("segmented_slices", "image", "roi", "slices")
@@ -257,37 +337,47 @@ def _(v: Views) -> DataFrame:
     return counts
 
 
-def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8)) -> DataFrame:
-    """Ridge-prompted segmentation: patches with enough of the region get points on ridges, the
+def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8), z_score: bool = False, crop: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(mask pixels, counters). Ridge-prompted segmentation: patches with enough of the region get points on ridges, the
     model's masks make a probability map, which is blurred, cut, and filtered by component size,
-    shape and continuity along z."""
-    scaled = stats.z_score_roi(image, stats.roi_stats(image, roi))
-    gray = pixels.to_gray(scaled)
-    ridge = pixels.within(stencils.ridges(gray, dims, sigmas), roi)
+    shape and continuity along z. Images are cropped to what is not black (``crop``) and brought to the
+    region's extremes, or to its z-scores. Counters: patches, points, pixels, components before and after
+    continuity, the threshold, and the greatest and mean probability of a pixel with one."""
+    roi = saved(roi.select(*KEY, "y", "x"))
+    if crop:
+        image = saved(image)
+        image = saved(pixels.crop(image, pixels.tight_crop_bounds(image, dims)))
+    known = stats.roi_stats(image, roi)
+    scaled = saved(stats.z_score_roi(image, known) if z_score else stats.min_max_roi(image, known))
+    ridge = saved(pixels.within(stencils.ridges(saved(pixels.to_gray(scaled)), dims, sigmas), roi))
     grid = prompts.patch_grid(dims, patch, overlap=overlap, rule="regular")
-    used = prompts.patch_share(grid, roi, patch).filter(F.col("share") >= share).select(grid.columns)
+    used = saved(prompts.patch_share(grid, roi, patch).filter(F.col("share") >= share).select(grid.columns))
     pkey = (*KEY, "patch_id")
     local = lambda px, keep: prompts.in_patches(px, used, patch).select(*pkey, "y", "x", *keep)
-    high = local(ridge, ["v"])
-    limit = high.groupBy(*pkey).agg(F.percentile("v", 0.97).alias("_t"))
-    lines = stencils.skeleton(high.join(limit, [*pkey]).filter(F.col("v") >= F.col("_t")).select(*pkey, "y", "x"), pkey)
-    positive = stats.sample(lines, 20, 0, pkey)
-    around = pixels.within(stencils.ring(lines, dims, 5, pkey), local(roi, []), pkey)
-    points = positive.withColumn("label", F.lit(1)).unionByName(stats.sample(around, 10, 1, pkey).withColumn("label", F.lit(0)))
+    points = saved(prompts.ridge_prompts(local(ridge, ["v"]), local(roi, []), dims, by=pkey))
     held = points.groupBy(*pkey).agg(F.collect_list(F.struct("y", "x", "label")).alias("prompts"))
     rgb = pixels.to_rgb(scaled.withColumn("v", to_byte(F.col("v"))), 3)
     images = prompts.patch_images(rgb, used.join(held, [*pkey], "left_semi"), patch).join(held, [*pkey])
-    made = prompts.segment_patches(images, factory)
+    made = saved(prompts.segment_patches(images, factory))
     best = made.join(prompts.best_candidate(made.select(*pkey, "cand", "score").distinct(), pkey), [*pkey, "cand"], "left_semi")
-    prob = prompts.probability_map(best)
-    blurred = stencils.gaussian(prob.withColumnRenamed("p", "v"), dims, 1)
-    _, found = prompts.threshold_map(prob, blurred, dims)
-    kept = components.fibres(components.remove_small(found, min_size, KEY, 8), KEY, min_area, long)
-    stays = components.continuity(kept).filter("stays")
-    labelled = components.label(kept, KEY, 8)
-    return pixels.within(components.pixels(components.keep(labelled, stays)).select(*KEY, "y", "x"), roi)
+    prob = saved(prompts.probability_map(best))
+    blurred = saved(stencils.gaussian(prob.withColumnRenamed("p", "v"), dims, 1))
+    limits, found = prompts.threshold_map(prob, blurred, dims)
+    kept = saved(components.fibres(components.remove_small(found, min_size, KEY, 8), KEY, min_area, long))
+    labelled = saved(components.label(kept, KEY, 8))
+    stays = saved(components.continuity(kept, slices=dims, labelled=labelled))
+    mask = saved(pixels.within(components.pixels(components.keep(labelled, stays.filter("stays"))).select(*KEY, "y", "x"), roi))
+    counts = stats.counters(dims, {"n_patches": used, "n_points": points, "n_pixels": mask, "n_before": stays, "n_after": stays.filter("stays")})
+    top = prob.groupBy(*KEY).agg(F.max("p").alias("p_max"), F.avg("p").alias("p_mean"))
+    counts = counts.withColumn("n_removed", F.col("n_before") - F.col("n_after")).join(limits, [*KEY], "left").join(top, [*KEY], "left")
+    return mask, counts
 
 
 @query("ridge_segmentation", "image", "roi", "slices")
 def _(v: Views) -> DataFrame:
-    return ridge_run(v.image, v.roi, v.slices, patch=64, long=10)
+    return ridge_run(v.image, v.roi, v.slices, patch=32, long=10)[0]
+
+
+@query("ridge_counters", "image", "roi", "slices")
+def _(v: Views) -> DataFrame:
+    return ridge_run(v.image, v.roi, v.slices, patch=32, long=10)[1]

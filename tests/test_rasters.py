@@ -170,6 +170,38 @@ def test_continuity_limits(spark):
     assert got == {(0, 50): True, (3, 30): True} and sorted(one) == [(50, False), (50, True), (1000, True)]
 
 
+def test_an_empty_processed_slice_resets_continuity(spark):
+    rows = [("S", 0, 0, x) for x in range(50)] + [("S", 2, 9, x) for x in range(50)]
+    px = spark.createDataFrame(rows, "subject string, z int, y int, x int")
+    stays = lambda zs: [r.stays for r in components.continuity(px, slices=spark.createDataFrame([("S", z) for z in zs], "subject string, z int")).orderBy("z").collect()]
+    assert stays([0, 2]) == [True, False]  # slice 1 was skipped
+    assert stays([0, 1, 2]) == [True, True]
+
+
+def test_components_across_bands_and_two_points_apart(spark):
+    draw = np.random.default_rng(3)
+    rows = [("S", z, int(y), int(x)) for z in range(3) for y, x in np.argwhere(draw.random((40, 30)) < 0.45)]
+    px = spark.createDataFrame(rows, "subject string, z int, y int, x int")
+    for n in (4, 8):
+        one, many = (sorted(map(tuple, components.label(px, ("subject", "z"), n, band).collect())) for band in (64, 3))
+        assert one == many and max(r[-1] for r in one) > 5
+    far = sorted(map(tuple, prompts.farthest_points(px, 5, 2).collect()))
+    assert far == sorted(map(tuple, prompts.two_apart(px, 5).collect())) and len(far) == 6
+
+
+def test_instances_are_segmented_each_and_united(spark):
+    a = np.full((60, 60), 10)
+    a[5:25, 5:25], a[35:55, 30:55] = 200, 220
+    image, dims = scene(spark, a, np.full((60, 60), 10))
+    roi = dims.selectExpr("subject", "z", "explode(sequence(0, h - 1)) AS y", "w").selectExpr("subject", "z", "y", "explode(sequence(0, w - 1)) AS x")
+    find = {"min_object": 20, "min_area": 25, "percentile": 60}
+    for points in (True, False):
+        mask = prompting.multi_instance_run(image, roi, dims, min_box=8, find=find, use_points=points)
+        got = {(r.z, r.y, r.x) for r in mask.collect()}
+        assert {z for z, _, _ in got} == {0}  # no instance in the flat slice
+        assert {(0, 15, 15), (0, 45, 45)} <= got and (0, 30, 5) not in got
+
+
 def scene(spark, *grids):
     """Three channels of small arrays, a slice each, and their sizes."""
     rows = [("S", z, c, y, x, int(v)) for z, a in enumerate(grids) for (y, x), v in np.ndenumerate(a) for c in range(3)]
