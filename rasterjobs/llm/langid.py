@@ -138,7 +138,8 @@ def train(
     kept = F.lit(False)
     for r in size:
         part = min(1.0, share / max(1, r["_bytes"]))
-        draw = F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(part * 1_000_000)
+        most = (1 << 63) - 1
+        draw = F.xxhash64("_text").bitwiseAND(F.lit(most)) <= min(int(part * 2.0**63), most)  # never 0 for a rare share
         kept = kept | ((F.col("_lang") == r["_lang"]) & draw)
     found = (
         rows.filter(kept)
