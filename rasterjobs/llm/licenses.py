@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -82,11 +83,13 @@ class Scanner:
         if not words:
             return 0, [], []
         line = b" %b " % b" ".join(words)
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
+        before = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731  blanks in front of a place
         exact, fuzzy = [], {}
         for phrase, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                exact.append({"label": label, "first": line.count(b" ", 0, at)})
+                exact.append({"label": label, "first": before(at)})
                 at = line.find(phrase, at + 1)
         wide, tried = line.decode("latin-1"), set()
         for end, (size, owners) in self.seeds.iter(wide):
@@ -103,7 +106,7 @@ class Scanner:
                     # an edit may take in the blanks at the ends
                     a = found.start() + (wide[found.start()] == " ")
                     b = found.end() - (wide[found.end() - 1] == " ")
-                    first, last = line.count(b" ", 0, a) - 1, line.count(b" ", 0, b)
+                    first, last = before(a) - 1, before(b)
                     errors = sum(found.fuzzy_counts)
                     key = (notice.label, first, last)
                     if key not in fuzzy or errors < fuzzy[key]["errors"]:
