@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, alnum_words, list_array, ragged, rolling, texts_of
+from .common import U64, alnum_words, checkpointed, list_array, ragged, rolling, texts_of
 
 #: Item words in one broadcast block; larger benchmarks go in several blocks.
 BLOCK_WORDS = 4_000_000
@@ -139,9 +139,11 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of any item.
 
-    Cases as for find_contamination; rows without words stay. A map for each block of items."""
-    for items in list(_blocks(benchmark, item_col, item_text_col, block_words)):
+    Cases as for find_contamination; rows without words stay. A map for each block of items; of several
+    blocks, one at a time is on the driver, and what it keeps is checkpointed before the next."""
+    for items, more in _blocks(benchmark, item_col, item_text_col, block_words):
         docs = docs.mapInArrow(_clean(_Index(items, window, gram), text_col), docs.schema)
+        docs = checkpointed(docs) if more else docs
     return docs
 
 
@@ -184,7 +186,8 @@ def _scan(index: _Index, id_col: str, text_col: str):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """Lists of (item id as text, words), each bounded by about block_words words."""
+    """(items, whether there are several blocks); items: a list of (id as text, words), bounded by about
+    block_words words. A block is fetched when it is asked for."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     items = items.filter("i is not null and t is not null")
     # a word has a byte at least, and a separator
@@ -192,7 +195,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     count = max(1, -(-size // (2 * block_words)))
     for b in range(count):
         part = items if count == 1 else items.filter(F.pmod(F.xxhash64("i"), F.lit(count)) == b)
-        yield [(r.i, alnum_words(r.t.encode())) for r in part.toLocalIterator()]
+        yield [(r.i, alnum_words(r.t.encode())) for r in part.toLocalIterator()], count > 1
 
 
 def _merged(spans: Column) -> Column:
@@ -233,23 +236,21 @@ def find_contamination(
     Null or empty text: no words, no spans. An item of fewer than ``window`` words but not
     none is one window of its own length; null item ids or texts take no part; repeated items
     count once; equal document rows give equal result rows. The benchmark is broadcast in
-    blocks of bounded size: one scan of the documents for each block, merged by document.
+    blocks of bounded size: one scan of the documents for each block, merged by document. Of several
+    blocks, one at a time is on the driver, and its hits are checkpointed before the next.
     """
-    rows = docs.select(
-        F.col(id_col), F.col(text_col), F.lit(None).cast("string").alias("_key")
-    )
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    plain = rows.withColumn("_key", F.lit(None).cast("string"))
+    keyed = rows.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"`{id_col}` {kind}, n_words bigint, spans array<struct<first:bigint,end:bigint>>, "
         "items array<string>, _key string"
     )
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_words))
-    if len(blocks) > 1:
-        rows = rows.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    parts = [
-        rows.mapInArrow(_scan(_Index(items, window, gram), id_col, text_col), schema)
-        for items in blocks
-    ]
+    parts = []
+    for items, more in _blocks(benchmark, item_col, item_text_col, block_words):
+        hits = (keyed if more else plain).mapInArrow(_scan(_Index(items, window, gram), id_col, text_col), schema)
+        parts.append(checkpointed(hits) if more else hits)
     if len(parts) == 1:
         found = parts[0]
         return found.select(
