@@ -150,14 +150,15 @@ def fold(id_col: str, parts: int, out: int) -> tuple[Column, Column]:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once into the shared folder of spark.checkpoint.dir.
 
-    That folder is read from the session; only where none is set (tests on one
-    machine) a temporary one is taken."""
+    That folder is read from the session. Only a session on one machine (master local, as in tests) gets a
+    temporary one where none is set; on a cluster that is an error, as machines share no such folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

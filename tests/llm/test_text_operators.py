@@ -219,6 +219,44 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(table.limit(0), table).collect() == []
 
 
+def test_a_full_shard_finds_nine_tenths_by_a_fifth_of_its_rows():
+    x = np.random.default_rng(1).standard_normal((neighbours.SHARD, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest, n = neighbours.Forest(x, 1.0, 7), len(x)
+    gathered, compared = int(neighbours.REACH * neighbours.TREES * n), int(neighbours.COMPARED * n)
+    met = list(forest.candidates(x[:60], gathered, compared))
+    hits = sum(len(np.intersect1d(m, np.argsort(-(x @ x[i]))[1:21])) for i, m in enumerate(met))
+    assert hits / (60 * 20) >= 0.9
+    assert sum(len(m) for m in met) / (60 * n) < 0.2
+
+
+def test_neighbours_with_repeated_rows_clashing_columns_and_several_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist(), 1.0, 2, 3) for i, v in enumerate(rng.standard_normal((200, 4)))]
+    kinds = "vec_id long, embedding array<double>, score double, rank int, query_id long"
+    once, twice = spark.createDataFrame(rows, kinds), spark.createDataFrame(rows + rows[:50], kinds)
+    own = lambda t, **more: sorted(map(tuple, neighbours.nearest(t, t.filter("vec_id % 20 = 0"), k=5, compared=1.0, **more).collect()))
+    found = own(once)
+    assert len(found) == 50 and own(twice) == found and own(once, shard=40, block=3) == found
+    assert neighbours.nearest(once, once.limit(0)).collect() == []
+
+
+def test_licenses_of_long_texts_repeated_rows_and_empty_tables(spark):
+    body = "Under the MIT License, " * 20_000
+    got = licenses.scan_licenses(frame(spark, [(1, body), (1, body), *ODD])).collect()
+    long = [r for r in got if r.doc_id == 1]
+    assert len(long) == 2 and all(r.n_words == 80_000 and [x["first"] for x in r.exact] == list(range(0, 80_000, 4)) for r in long)
+    assert licenses.scan_licenses(frame(spark, ODD).limit(0)).collect() == []
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, items = frame(spark, [(1, "a b c"), *ODD]), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontaminate.find_contamination(docs.limit(0), items).collect() == []
+    assert all(r.spans == [] and r["items"] == [] for r in decontaminate.find_contamination(docs, items.limit(0)).collect())
+    assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 6
+    assert decontaminate.drop_contaminated(docs, items).count() == 5
+
+
 def test_scoring_sums_and_probabilities(spark):
     rows = toxic_rows()[:120] + ODD
     docs = frame(spark, rows)
