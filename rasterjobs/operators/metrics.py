@@ -1,7 +1,9 @@
 """Agreement of predicted masks and class maps with ground truth, one row a slice and model.
 
 ``slices`` lists what is scored (the ``by`` columns), so slices without any pixel keep their row.
-``pred`` and ``truth`` are pixel tables inside the region of interest; truth has cls 1, 2, 3.
+``pred`` and ``truth`` are pixel tables inside the region of interest; truth has cls 1, 2, 3. For
+objects and centre lines truth may lack columns of ``by`` (the model): it is then labelled and thinned
+once a slice, whatever the number of models.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components
+from .graph import saved
 from .pixels import within
 
 KEY = ("model", "subject", "z")
@@ -54,23 +57,36 @@ def pixel_metrics(counts: DataFrame, by: Key = KEY) -> DataFrame:
     return counts.select(*by, *out)
 
 
+def labelled_sides(pred: DataFrame, truth: DataFrame, by: Key = KEY, band: int = 256) -> DataFrame:
+    """Labelled runs (8-connected) by ``by`` and _side: 0 predictions, 1 to 3 the target's classes, 4 all
+    of them. Columns of ``by`` that truth lacks are null for it."""
+    kinds = dict(pred.select(*by).dtypes)
+    target = [F.col(n) if n in truth.columns else F.lit(None).cast(kinds[n]).alias(n) for n in by]
+    masks = pred.select(*by, F.lit(0).alias("_side"), "y", "x")
+    masks = masks.unionAll(truth.select(*target, F.explode(F.array(F.col("cls").cast("int"), F.lit(4))).alias("_side"), "y", "x"))
+    return components.label(masks, (*by, "_side"), 8, band)
+
+
 def object_metrics(
-    slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, empty: float | None = 1.0, band: int = 256
+    slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, empty: float | None = 1.0, band: int = 256,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """Per class the share of target components that the prediction touches (``empty`` where there
-    are none), and touched (tp), untouched (fp) and all prediction components, 8-connected."""
-    masks = truth.select(*by, F.col("cls"), "y", "x").unionAll(pred.select(*by, F.lit(0).alias("cls"), "y", "x"))
-    labelled = components.label(masks, (*by, "cls"), 8, band)
-    other = pred.select(*by, F.lit(True).alias("_p"), "y", "x").unionAll(truth.select(*by, F.lit(False).alias("_p"), "y", "x")).distinct()
-    px = components.pixels(labelled)
-    met = px.join(other, [*by, "y", "x"]).filter((F.col("cls") > 0) == F.col("_p"))
-    met = met.select(*by, "cls", "comp_id").distinct().groupBy(*by).agg(
-        *[F.count(F.when(F.col("cls") == k, 1)).alias(f"_hit{k}") for k in range(4)]
-    )
-    every = labelled.select(*by, "cls", "comp_id").distinct().groupBy(*by).agg(
-        *[F.count(F.when(F.col("cls") == k, 1)).alias(f"_n{k}") for k in range(4)]
-    )
-    rows = slices.select(*by).join(every, [*by], "left").join(met, [*by], "left").fillna(0)
+    are none), and touched (tp), untouched (fp) and all prediction components, 8-connected. Runs meet
+    runs of the same row. ``labelled``: labelled_sides of the masks, if they are known."""
+    own = [n for n in by if n in truth.columns]
+    labelled = saved(labelled_sides(pred, truth, by, band)) if labelled is None else labelled
+    found, target = labelled.filter("_side = 0"), labelled.filter("_side between 1 and 3")
+    other = target.select(*own, "y", F.col("_side").alias("_k"), F.col("comp_id").alias("_t"), F.col("x0").alias("_a"), F.col("x1").alias("_b"))
+    met = found.join(other, [*own, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
+    both = F.array(F.struct(F.col("_side").alias("k"), F.col("comp_id").alias("i")), F.struct(F.col("_k").alias("k"), F.col("_t").alias("i")))
+    met = met.select(*by, F.explode(both).alias("_c")).distinct()
+    number = lambda df, key, k, name, of: df.groupBy(*key).agg(*[F.count(F.when(k == j, 1)).alias(f"{name}{j}") for j in of])
+    parts = lambda df, key: df.select(*key, "_side", "comp_id").distinct()
+    rows = slices.select(*by).join(number(parts(found, by), by, F.col("_side"), "_n", (0,)), [*by], "left")
+    rows = rows.join(number(parts(target, own), own, F.col("_side"), "_n", (1, 2, 3)), own, "left")
+    rows = rows.join(number(met, by, F.col("_c.k"), "_hit", range(4)), [*by], "left")
+    rows = rows.fillna(0, [f"{n}{k}" for n in ("_n", "_hit") for k in range(4)])
     recall = [ratio(F.col(f"_hit{k}"), F.col(f"_n{k}"), empty).alias(f"sensitivity_{n}") for k, n in CLASSES]
     fp = F.col("_n0") - F.col("_hit0")
     return rows.select(
@@ -78,19 +94,23 @@ def object_metrics(
     )
 
 
-def centerline_dice(slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, smooth: float = 1e-6) -> DataFrame:
-    """cldice: harmonic mean of the shares of either skeleton that lie in the other mask."""
+def centerline_dice(
+    slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, smooth: float = 1e-6, labelled: DataFrame | None = None
+) -> DataFrame:
+    """cldice: harmonic mean of the shares of either skeleton that lie in the other mask. ``labelled``:
+    labelled_sides of the masks, if they are known."""
     from .stencils import skeleton
 
-    own = pred.select(*by, F.lit(0).alias("_side"), "y", "x")
-    other = truth.select(*by, F.lit(1).alias("_side"), "y", "x").distinct()
-    lines = skeleton(own.unionAll(other), (*by, "_side"))
-    masks = own.unionAll(other).select(*by, (1 - F.col("_side")).alias("_side"), "y", "x")
-    n = lines.groupBy(*by).agg(*[F.count(F.when(F.col("_side") == k, 1)).alias(f"_s{k}") for k in (0, 1)])
-    hit = within(lines, masks, (*by, "_side")).groupBy(*by).agg(
-        *[F.count(F.when(F.col("_side") == k, 1)).alias(f"_h{k}") for k in (0, 1)]
-    )
-    rows = slices.select(*by).join(n, [*by], "left").join(hit, [*by], "left").fillna(0)
+    own = [n for n in by if n in truth.columns]
+    if labelled is None:
+        labelled = labelled_sides(pred, truth if "cls" in truth.columns else truth.withColumn("cls", F.lit(1)), by)
+    lines = saved(skeleton(None, (*by, "_side"), labelled.filter("_side in (0, 4)")))
+    found, target = lines.filter("_side = 0"), lines.filter("_side = 4").select(*own, "y", "x")
+    count = lambda df, key, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    rows = slices.select(*by).join(count(found, by, "_s0"), [*by], "left").join(count(target, own, "_s1"), own, "left")
+    rows = rows.join(count(within(found, truth, tuple(own)), by, "_h0"), [*by], "left")
+    rows = rows.join(count(pred.select(*by, "y", "x").distinct().join(target, [*own, "y", "x"]), by, "_h1"), [*by], "left")
+    rows = rows.fillna(0, ["_s0", "_s1", "_h0", "_h1"])
     part = lambda k: (F.col(f"_h{k}") + smooth) / (F.col(f"_s{k}") + smooth)
     value = F.when((F.col("_s0") == 0) & (F.col("_s1") == 0), 1.0).otherwise(2 * part(0) * part(1) / (part(0) + part(1)))
     return rows.select(*by, value.alias("cldice"))

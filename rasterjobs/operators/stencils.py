@@ -198,18 +198,49 @@ def outside(roi: DataFrame, mask: DataFrame, dims: DataFrame, steps: int, by: Ke
     return px_ops.without(roi, dilate_cross(mask, dims, steps, by), by)
 
 
-def skeleton(mask: DataFrame, by: Key = KEY) -> DataFrame:
-    """One-pixel centre lines (Zhang-Suen), component by component: 8-connected components never
-    change each other, and each is cut out by its box."""
-    labelled = components.label(mask, by, 8)
+#: Components of a group, and cells of a sheet, of which a larger component has one of its own.
+THINNED, SHEET = 64, 1 << 20
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, a, b = (pdf[c].to_numpy() for c in ("y", "x0", "x1"))
-        top, left = y.min(), a.min()
-        grid = np.zeros((y.max() - top + 1, b.max() - left + 1), bool)
-        for row, first, last in zip(y - top, a - left, b - left, strict=True):
-            grid[row, first : last + 1] = True
-        ys, xs = np.nonzero(kernels.thin(grid))
-        return pd.DataFrame({**{n: pdf[n].iloc[0] for n in by}, "y": (ys + top).astype(np.int32), "x": (xs + left).astype(np.int32)})
-
-    return labelled.groupBy(*by, "comp_id").applyInPandas(one, f"{_fields(mask, by)}, y int, x int")
+
+def _sheets(h: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Boxes (by place) that are stacked on a sheet, one blank row between; boxes of like widths meet."""
+    out, rows = [], 0
+    for i in np.argsort(w, kind="stable"):
+        if not out or (rows + h[i] + 1) * w[i] > SHEET:
+            out.append([])
+            rows = 0
+        out[-1].append(i)
+        rows += h[i] + 1
+    return [np.array(x) for x in out]
+
+
+def skeleton(mask: DataFrame | None, by: Key = KEY, labelled: DataFrame | None = None) -> DataFrame:
+    """One-pixel centre lines (Zhang-Suen), component by component: 8-connected components never
+    change each other, so each is cut out by its box, and small ones are thinned on one sheet.
+    ``labelled``: the mask's labelled runs (8-connected), if they are known."""
+    labelled = components.label(mask, by, 8) if labelled is None else labelled
+
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, a, b = (pdf[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        ids, of = np.unique(pdf["comp_id"].to_numpy(), return_inverse=True)
+        top, left = np.full(len(ids), y.max()), np.full(len(ids), a.max())
+        h, w = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        np.minimum.at(top, of, y)
+        np.minimum.at(left, of, a)
+        np.maximum.at(h, of, y - top[of] + 1)
+        np.maximum.at(w, of, b - left[of] + 1)
+        ys, xs = [], []
+        for sheet in _sheets(h, w):
+            at = np.concatenate([[0], np.cumsum(h[sheet] + 1)])
+            grid, place = np.zeros((at[-1], w[sheet].max()), bool), np.full(len(ids), -1)
+            place[sheet] = at[:-1]
+            for r in np.flatnonzero(place[of] >= 0):
+                grid[place[of[r]] + y[r] - top[of[r]], a[r] - left[of[r]] : b[r] - left[of[r]] + 1] = True
+            row, column = np.nonzero(kernels.thin(grid))
+            k = np.searchsorted(at, row, "right") - 1
+            ys.append(row - at[k] + top[sheet[k]])
+            xs.append(column + left[sheet[k]])
+        return pd.DataFrame({**{n: pdf[n].iloc[0] for n in by}, "y": np.concatenate(ys).astype(np.int32), "x": np.concatenate(xs).astype(np.int32)})
+
+    grouped = labelled.withColumn("_group", F.floor(F.col("comp_id") / THINNED)).groupBy(*by, "_group")
+    return grouped.applyInPandas(many, f"{_fields(labelled, by)}, y int, x int")

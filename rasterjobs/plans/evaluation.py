@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import class_rgb, slice_name
 from ..operators import components, metrics, pixels, stencils
+from ..operators.graph import saved
 from .registry import KEY, MKEY, TRUTH, Views, component_sql, query, rounded
 
 EVAL = ("masks", "roi", "pred", "predicted")
@@ -19,19 +20,23 @@ def truth_of(v: Views) -> DataFrame:
 
 
 def evaluation_inputs(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(slices that have a prediction, predictions in the region, truth in the region by model)."""
-    roi, slices = v.roi, v.predicted
-    pred = pixels.within(v.pred, roi)
-    truth = pixels.within(truth_of(v), roi).join(slices, [*KEY]).select(*MKEY, "y", "x", "cls")
-    return slices, pred, truth
+    """(slices that have a prediction, predictions in the region, truth in the region, once a slice)."""
+    return v.predicted, pixels.within(v.pred, v.roi), pixels.within(truth_of(v), v.roi)
+
+
+def pixel_counts(slices: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """The counts of the pixel metrics; here each model meets the truth of its slices."""
+    return metrics.pixel_counts(slices, metrics.paired(pred, truth.join(slices, [*KEY]).select(*MKEY, "y", "x", "cls")))
 
 
 def evaluate_masks(slices: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
     """One row a slice and model with all pixel, object and centre-line metrics."""
-    counts = metrics.pixel_counts(slices, metrics.paired(pred, truth))
+    pred, truth = saved(pred), saved(truth)
+    labelled = saved(metrics.labelled_sides(pred, truth))
+    counts = pixel_counts(slices, pred, truth)
     pixel = metrics.pixel_metrics(counts).select(*MKEY, "dice", "iou", "iou_dense", "iou_moderate", "iou_light")
-    objects = metrics.object_metrics(slices, pred, truth)
-    lines = metrics.centerline_dice(slices, pred, truth)
+    objects = metrics.object_metrics(slices, pred, truth, labelled=labelled)
+    lines = metrics.centerline_dice(slices, pred, truth, labelled=labelled)
     out = objects.join(pixel, [*MKEY]).join(lines, [*MKEY])
     return out.select(
         *MKEY, F.col("z").alias("slice"), slice_name(F.col("z")).alias("file"),
@@ -45,12 +50,13 @@ def evaluate_in_box(slices: DataFrame, pred: DataFrame, truth: DataFrame, roi: D
     """The second table: cropped to the region's inclusive box; classes without pixels are null."""
     box = pixels.bounds(roi).select(*KEY, F.col("y_min").alias("y0"), (F.col("y_max") - F.col("y_min") + 1).alias("h"), F.col("x_min").alias("x0"), (F.col("x_max") - F.col("x_min") + 1).alias("w"))
     kept = slices.join(box, [*KEY], "left_semi")
-    pred, truth = (pixels.within(pixels.crop(t, box), roi) for t in (pred, truth))
-    counts = metrics.pixel_counts(kept, metrics.paired(pred, truth))
+    pred, truth = (saved(pixels.within(pixels.crop(t, box), roi)) for t in (pred, truth))
+    labelled = saved(metrics.labelled_sides(pred, truth))
+    counts = pixel_counts(kept, pred, truth)
     pixel = metrics.pixel_metrics(counts).select(*MKEY, F.col("dice").alias("pixel_dice"), F.col("iou").alias("pixel_iou"), *[f"pixel_recall_{n}" for _, n in metrics.CLASSES])
-    objects = metrics.object_metrics(kept, pred, truth, empty=None)
+    objects = metrics.object_metrics(kept, pred, truth, empty=None, labelled=labelled)
     names = {**{f"sensitivity_{n}": f"obj_sens_{n}" for _, n in metrics.CLASSES}, "tp": "obj_tp", "fp": "obj_fp", "fdr": "obj_fdr"}
-    lines = metrics.centerline_dice(kept, pred, truth).withColumnRenamed("cldice", "pixel_cldice")
+    lines = metrics.centerline_dice(kept, pred, truth, labelled=labelled).withColumnRenamed("cldice", "pixel_cldice")
     return objects.withColumnsRenamed(names).join(pixel, [*MKEY]).join(lines, [*MKEY])
 
 
@@ -105,8 +111,7 @@ pm AS (
 
 @query("pixel_metrics", *EVAL, sql=TRUTH + _PIXEL + " SELECT * FROM pm")
 def pixel_metrics(v: Views) -> DataFrame:
-    slices, pred, truth = evaluation_inputs(v)
-    return metrics.pixel_metrics(metrics.pixel_counts(slices, metrics.paired(pred, truth)))
+    return metrics.pixel_metrics(pixel_counts(*evaluation_inputs(v)))
 
 
 def _objects(empty: str) -> str:

@@ -11,7 +11,7 @@ NAMES = [
     "component_properties", "merge_instances", "continuity", "resize_half_even", "percentiles", "z_score_roi",
     "probability_histogram", "dilate_cross", "close_disk", "gaussian_1", "patch_grid_clamped", "points_in_patches",
     "combine_weighted", "farthest_points", "store_level_preferred", "subject_catalogue",
-    "evaluation_in_box", "instances", "open_disk", "instance_clean_up",
+    "evaluation_table", "centerline_dice", "skeleton", "evaluation_in_box", "instances", "open_disk", "instance_clean_up",
 ]
 
 

@@ -255,3 +255,22 @@ def test_negatives_fall_back_to_a_grid(spark):
     inst = spark.createDataFrame(rows, "subject string, z int, inst_id int, y int, x int")
     roi = spark.createDataFrame([("S", 0, y, x) for y in range(30, 42) for x in range(120)] + [("S", 1, 8, x) for x in range(20)], "subject string, z int, y int, x int")
     assert mask(prompting.negative_places(inst, roi, sizes(spark, (120, 120), (20, 20)))) == {(0, 30, 0), (0, 30, 119)}
+
+
+def test_truth_without_model_gives_the_same_as_truth_by_model(spark):
+    draw = np.random.default_rng(4)
+    p = [[(draw.random((9, 11)) < 0.4).astype(int).tolist() for _ in range(3)] for _ in range(2)]
+    t = [draw.integers(0, 4, (9, 11)).tolist() for _ in range(3)]
+    slices = spark.createDataFrame([(m, "S", z) for m in (0, 1) for z in range(3)], "model int, subject string, z int")
+    pred = table(spark, p[0], model=0).unionAll(table(spark, p[1], model=1)).drop("cls")
+    both, once = table(spark, t, model=0).unionAll(table(spark, t, model=1)), table(spark, t, model=0).drop("model")
+    for score in (metrics.object_metrics, metrics.centerline_dice):
+        assert sorted(score(slices, pred, both).collect()) == sorted(score(slices, pred, once).collect())
+
+
+def test_thinning_of_components_on_one_sheet(spark):
+    from rasterjobs.operators import kernels, stencils
+
+    grid = np.random.default_rng(5).random((60, 70)) < 0.35
+    got = stencils.skeleton(table(spark, [grid.astype(int).tolist()], model=0).drop("cls"), ("subject", "z")).collect()
+    assert {(r.y, r.x) for r in got} == set(zip(*map(list, map(np.ndarray.tolist, np.nonzero(kernels.thin(grid)))), strict=True))
