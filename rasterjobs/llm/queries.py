@@ -1,13 +1,15 @@
-"""The queries of the ten operators: opN_<name>(spark, sf_dir)."""
+"""The queries of the thirteen operators: opN_<name>(spark, sf_dir)."""
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, lines, neardup, neighbours, pitmanyor, substrings, toxicity
-from .common import fold
+from . import bpe, codes, decontaminate, langid, licenses, lines, neardup, neardup_vectors, negatives, neighbours, pitmanyor, substrings, toxicity
+from .common import checkpointed, fold
 from .sql import ORACLES
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -107,6 +109,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(_table(spark, sf_dir, "embeddings"))
+    rows = checkpointed(coded.select("vec_id", "label", codes.hexadecimal(F.col("codes")).alias("code"), "error"))
+    told = ",".join(str(x) for book in books for x in book.ravel().tolist())
+    return codes.with_group_totals(rows, "label", "error", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(told.encode()).hexdigest()).alias("codebooks_sha256")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -119,6 +140,9 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_language_id": op9_language_id,
         "op10_decontamination": op10_decontamination,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_vector_near_duplicates": op13_vector_near_duplicates,
     }
 
 
