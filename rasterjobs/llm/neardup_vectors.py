@@ -44,7 +44,7 @@ def chance(cosine: float, tables: int = TABLES, projections: int = PROJECTIONS,
 
 
 def _hashed(tables: int, projections: int, width: float, seed: int):
-    """(cls, _label64, v) to (cls, keys, sketch): a 64-bit bucket name a table, and the packed signs."""
+    """(cls, _label64, v) to (cls, keys, sketch, w): a 64-bit bucket name a table, the packed signs, and v of length 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple] = {}
@@ -65,17 +65,15 @@ def _hashed(tables: int, projections: int, width: float, seed: int):
                     key = mix(key ^ cells[:, :, p])
                 sketch = np.packbits(v @ signs > 0, axis=1)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * tables), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0), keys, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["cls", "keys", "sketch"])
+                unit = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * int(dim)), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), keys, pa.array([s.tobytes() for s in sketch], pa.binary()), unit], names=["cls", "keys", "sketch", "w"])
 
     return run
 
 
 def _cosine(x: str, y: str) -> Column:
-    """Of two vectors of one length that are not zero; scaled first, so that squares neither vanish nor overflow."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    scaled = lambda n: F.transform(n, lambda c: c / F.array_max(F.transform(n, F.abs)))
-    a, b = scaled(x), scaled(y)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Of two vectors of one length whose norm is 1."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
 
 
 def _pairs(most: int):
@@ -159,24 +157,27 @@ def near_duplicates(
     same = ["_label", "_h1", "_h2"]
     classes = rows.filter("_h1 is not null").groupBy(*same).agg(F.count("*").alias("n"), F.min("_id").alias("least"), F.first("_v").alias("v"))
     classes = checkpointed(classes.withColumn("cls", F.monotonically_increasing_id()))
-    hashed = classes.select("cls", F.xxhash64("_label").alias("_label64"), "v").mapInArrow(_hashed(tables, projections, width, seed), "cls bigint, keys array<bigint>, sketch binary")
+    hashed = classes.select("cls", F.xxhash64("_label").alias("_label64"), "v").mapInArrow(_hashed(tables, projections, width, seed), "cls bigint, keys array<bigint>, sketch binary, w array<double>")
     hashed = checkpointed(hashed)
+    vector = hashed.select("cls", F.col("w").alias("v"))
+    classes = classes.drop("v")
 
     # balls around the pivots of crowded buckets
     theta = acos(cosine)
     crowded = hashed.select("cls", F.explode("keys").alias("key"))
     pivots = checkpointed(crowded.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).filter(F.col("n") > heavy).select("key", "pivot"))
-    centre = classes.select(F.col("cls").alias("pivot"), F.col("v").alias("pv"), F.col("_label").alias("pl")).join(pivots.select("pivot").distinct(), "pivot")
-    near = crowded.join(pivots, "key").select("cls", "pivot").distinct().join(classes.select("cls", "v", "_label", "n"), "cls").join(centre, "pivot")
+    told = classes.select("cls", "_label", "n").join(vector, "cls")
+    centre = told.select(F.col("cls").alias("pivot"), F.col("v").alias("pv"), F.col("_label").alias("pl")).join(pivots.select("pivot").distinct(), "pivot")
+    near = crowded.join(pivots, "key").select("cls", "pivot").distinct().join(told, "cls").join(centre, "pivot")
     near = near.filter((F.col("_label") == F.col("pl")) & (F.size("v") == F.size("pv")))
-    near = near.withColumn("angle", F.acos(F.least(F.lit(1.0), _cosine("v", "pv")))).filter(F.col("angle") <= theta / 2 - SLACK)
+    near = near.withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _cosine("v", "pv"))))).filter(F.col("angle") <= theta / 2 - SLACK)
     balls = checkpointed(near.groupBy("cls").agg(F.min(F.struct("pivot", "angle", "n")).alias("b")).select("cls", "b.*"))
     ball = balls.groupBy(F.col("pivot").alias("unit")).agg(F.max("angle").alias("reach"), F.sum("n").alias("weight"))
 
     # units: balls by their pivot's class (a pivot is never a unit of its own), and the other classes
     alone = classes.join(balls.select("cls"), "cls", "left_anti")
-    plain = classes.select(F.col("cls").alias("unit"), "v", F.col("_label").alias("label"))
-    units = alone.select(F.col("cls").alias("unit"), "v", F.col("_label").alias("label"), F.lit(0.0).alias("reach"), F.col("n").alias("weight"))
+    plain = told.select(F.col("cls").alias("unit"), "v", F.col("_label").alias("label"))
+    units = alone.join(vector, "cls").select(F.col("cls").alias("unit"), "v", F.col("_label").alias("label"), F.lit(0.0).alias("reach"), F.col("n").alias("weight"))
     units = checkpointed(units.unionByName(plain.join(ball, "unit")))
     unit_of = checkpointed(alone.select("cls", F.col("cls").alias("unit"), F.lit(0).cast("bigint").alias("inside"), "n", "least").unionByName(
         balls.select("cls", F.col("pivot").alias("unit"), "n").join(ball.select("unit", "weight"), "unit").join(classes.select("cls", "least"), "cls")
@@ -200,7 +201,7 @@ def near_duplicates(
     whole, some = met.filter("verdict = 'all'"), met.filter("verdict = 'some'").select("u", "v")
     # the rest of pairs with balls: members against members, where the pivot's angle does not tell
     of = lambda x: unit_of.select(F.col("unit").alias(x), F.col("cls").alias(f"{x}_cls"), F.col("n").alias(f"{x}_n"))
-    body = lambda x: classes.select(F.col("cls").alias(f"{x}_cls"), F.col("v").alias(f"{x}_v"))
+    body = lambda x: vector.select(F.col("cls").alias(f"{x}_cls"), F.col("v").alias(f"{x}_v"))
     links = some.join(of("u"), "u").join(of("v"), "v").join(body("u"), "u_cls").join(body("v"), "v_cls").filter(_cosine("u_v", "v_v") >= cosine)
     links = checkpointed(links.select("u", "v", "u_cls", "v_cls", "u_n", "v_n"))
 
@@ -213,7 +214,7 @@ def near_duplicates(
     zero = lambda c: F.coalesce(c, F.lit(0))
     n_links = F.col("n") - 1 + F.col("inside") + zero("to_units") + zero("to_classes")
     placed = placed.join(lowest, "component").join(by_unit, "unit", "left").join(by_class, "cls", "left").select("cls", n_links.alias("n_links"), "component_id")
-    told = classes.select("cls", *same).join(placed, "cls").drop("cls")
-    linked = rows.filter("_h1 is not null").select("_id", *same).join(told, same).select("_id", "n_links", "component_id")
+    by_row = classes.select("cls", *same).join(placed, "cls").drop("cls")
+    linked = rows.filter("_h1 is not null").select("_id", *same).join(by_row, same).select("_id", "n_links", "component_id")
     apart = rows.filter("_h1 is null").select("_id", F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"))
     return linked.unionByName(apart).withColumnRenamed("_id", id_col)
