@@ -1,11 +1,10 @@
 """Chunked volumes and mask images as tables, and results as files.
 
-Stores are listed through the file system that Spark uses, so any store that it reads will do.
+Stores are listed and read by the data sources of ``chunks``.
 """
 
 from __future__ import annotations
 
-import gzip
 import json
 import struct
 import zlib
@@ -17,138 +16,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import pixels
-from ..schemas import STORE_ARRAYS, TILES
-
-
-def _files(spark: SparkSession, root: str) -> Iterator[tuple[str, object, object]]:
-    """(path, file system, path object) of all files below root, hidden ones too."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(conf)
-    stack = [top]
-    while stack:
-        for status in fs.listStatus(stack.pop()):
-            path = status.getPath()
-            if not status.isDirectory():
-                yield path.toString(), fs, path
-            elif not path.getName().isdigit() or fs.exists(jvm.org.apache.hadoop.fs.Path(path, ".zarray")) or fs.exists(jvm.org.apache.hadoop.fs.Path(path, "zarr.json")):
-                stack.append(path)  # chunk folders hold no metadata
-
-
-def _text(spark: SparkSession, fs, path) -> str:
-    stream = fs.open(path)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _described(text: str) -> dict | None:
-    meta = json.loads(text)
-    if "zarr_format" in meta and meta["zarr_format"] == 3:
-        if meta.get("node_type") != "array":
-            return None
-        codecs = [c["name"] for c in meta.get("codecs", []) if c["name"] not in ("bytes", "transpose")]
-        encoding = meta.get("chunk_key_encoding", {}).get("configuration", {})
-        return {
-            "shape": meta["shape"], "chunks": meta["chunk_grid"]["configuration"]["chunk_shape"], "dtype": np.dtype(meta["data_type"]).str,
-            "compressor": codecs[0] if codecs else None, "order": "C", "separator": encoding.get("separator", "/"),
-            "fill": float(meta.get("fill_value") or 0), "version": 3,
-        }
-    if "chunks" not in meta:
-        return None
-    return {
-        "shape": meta["shape"], "chunks": meta["chunks"], "dtype": meta["dtype"], "compressor": (meta.get("compressor") or {}).get("id"),
-        "order": meta.get("order", "C"), "separator": meta.get("dimension_separator", "."), "fill": float(meta.get("fill_value") or 0), "version": 2,
-    }
-
-
-def list_store_arrays(spark: SparkSession, root: str) -> DataFrame:
-    """The arrays of a store (one row each) without reading any data: only metadata is opened."""
-    rows, root = [], root.rstrip("/")
-    for name, fs, path in _files(spark, root):
-        if name.rsplit("/", 1)[-1] in (".zarray", "zarr.json") and (found := _described(_text(spark, fs, path))):
-            folder = name.rsplit("/", 1)[0]
-            rows.append({"store": root, "path": folder, "level": folder[folder.find(root) + len(root) :].strip("/"), **found})
-    return spark.createDataFrame([tuple(r[f.split()[0]] for f in _names()) for r in rows], STORE_ARRAYS).orderBy("store", "path")
-
-
-def _names() -> list[str]:
-    return ["store", "path", "level", "shape", "chunks", "dtype", "compressor", "order", "separator", "fill", "version"]
-
-
-def _decoded(body: bytes, codec: str | None) -> bytes:
-    if not codec:
-        return body
-    if codec in ("gzip", "zlib"):
-        return gzip.decompress(body) if body[:2] == b"\x1f\x8b" else zlib.decompress(body)
-    if codec == "zstd":
-        import zstandard
+from . import chunks
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
-    if codec == "lz4":
-        import pyarrow as pa
 
-        (size,) = struct.unpack("<I", body[:4])
-        return pa.decompress(body[4:], size, codec="lz4_raw", asbytes=True)
-    if codec == "blosc":
-        try:
-            import numcodecs
-        except ImportError as e:
-            raise ValueError("blosc chunks need the numcodecs package") from e
-        return bytes(numcodecs.Blosc().decode(body))
-    raise ValueError(f"no decoder for {codec}")
-
-
-def axes_of(shape: list[int]) -> str:
-    """Which axes an array has: see functions.columns.axis_order."""
-    if len(shape) == 4:
-        return "CZYX" if 1 <= shape[0] <= 4 else "ZYXC"
-    return {3: "ZYX", 5: "TCZYX"}[len(shape)]
+def list_store_arrays(spark: SparkSession, *roots: str) -> DataFrame:
+    """The arrays of stores (one row each) without reading any data: only metadata is opened, one task a store."""
+    spark.dataSource.register(chunks.StoreArrays)
+    return spark.read.format("store_arrays").option("stores", json.dumps([r.rstrip("/") for r in roots])).load().orderBy("store", "path")
 
 
 def read_zarr_tiles(
-    spark: SparkSession, root: str, level: str, subject: str, modality: str, z_range: tuple[int, int] | None = None, axes: str | None = None
+    spark: SparkSession, root: str, level: str, subject: str, modality: str, z_range: tuple[int, int] | None = None, axes: str | None = None,
+    y_range: tuple[int, int] | None = None, x_range: tuple[int, int] | None = None, channels: tuple[int, int] | None = None, dense: bool = False,
 ) -> DataFrame:
-    """One row a chunk, z and channel (dense bytes in C order). Absent chunks are absent rows; only
-    chunks that hold wanted slices are opened."""
+    """One row a chunk, z and channel (dense bytes in C order), of the tiles that meet the ranges (first, past the
+    last). Absent chunks have the store's fill value; where that is 0 they are absent rows unless ``dense``.
+
+    Chunks outside the ranges are not opened, nor are those that filters on z, c, y0 and x0 leave out, where the
+    session has spark.sql.python.filterPushdown.enabled. Of a time axis the first step is read."""
+    spark.dataSource.register(chunks.ChunkedVolume)
     meta = list_store_arrays(spark, root).filter(F.col("level") == level).first()
     if meta is None:
         raise ValueError(f"{root} has no array {level!r}")
-    shape, chunks = list(meta["shape"]), list(meta["chunks"])
-    axes = axes or axes_of(shape)
-    joiner = "/" if meta["separator"] == "/" else "\\."
-    number = joiner.join([r"(\d+)"] * len(shape))
-    place = F.substring(F.col("path"), F.instr("path", f"/{level}/") + len(level) + 2, F.lit(1 << 20)) if level else F.col("path")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(meta["path"])
-    at = [F.regexp_extract(place, f"(?:^|/|c/){number}$", i + 1) for i in range(len(shape))]
-    files = files.select("path", "content", F.array(*[a.cast("int") for a in at]).alias("at")).filter(at[0] != "")
-    if z_range:
-        k = axes.index("Z")
-        files = files.filter((F.col("at")[k] * chunks[k] < z_range[1]) & ((F.col("at")[k] + 1) * chunks[k] > z_range[0]))
-    dtype, codec, order = meta["dtype"], meta["compressor"], meta["order"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for at, body in zip(pdf["at"], pdf["content"], strict=True):
-                a = np.frombuffer(_decoded(body, codec), dtype).reshape(chunks, order=order)
-                base = dict(zip(axes, (i * c for i, c in zip(at, chunks, strict=True)), strict=True))
-                end = dict(zip(axes, shape, strict=True))
-                for axis in "TC":
-                    if axis not in axes:
-                        a, base, end = a[None], base | {axis: 0}, end | {axis: 1}
-                now = "".join(x for x in "CT" if x not in axes) + axes
-                a = np.transpose(a, [now.index(x) for x in "TCZYX"])
-                h, w = min(a.shape[3], end["Y"] - base["Y"]), min(a.shape[4], end["X"] - base["X"])
-                for c in range(min(a.shape[1], end["C"] - base["C"])):
-                    for z in range(min(a.shape[2], end["Z"] - base["Z"])):
-                        if z_range is None or z_range[0] <= base["Z"] + z < z_range[1]:
-                            out.append((subject, modality, 0, base["Z"] + z, base["C"] + c, base["Y"], base["X"], h, w, dtype, a[0, c, z, :h, :w].tobytes()))
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in TILES.split(", ")])
-
-    return files.select("at", "content").mapInPandas(run, TILES)
+    axes = axes or chunks.axes_of(meta["shape"])
+    size = dict(zip(axes, meta["chunks"], strict=True))
+    # a tile meets a range of pixels from one chunk before it
+    near = lambda r, axis: [r[0] - size[axis] + 1, r[1]]
+    ranges = {"z": z_range, "c": channels, "y0": y_range and near(y_range, "Y"), "x0": x_range and near(x_range, "X")}
+    options = {
+        "array": json.dumps(meta.asDict()), "axes": axes, "subject": subject, "modality": modality, "dense": str(dense).lower(),
+        "ranges": json.dumps({k: r for k, r in ranges.items() if r}), "pushdown": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"),
+    }
+    return spark.read.format("chunked_volume").options(**options).load()
 
 
 def tile_pixels(tiles: DataFrame) -> DataFrame:
