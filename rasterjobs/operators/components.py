@@ -1,10 +1,10 @@
 """Connected components of masks: labels, properties, filters, merging and continuity.
 
-A mask is cut into row runs. Runs are labelled inside bands of rows (one task a band, linear in
-the runs); a slice's pieces then meet in one task, which joins those that touch across a band border
-and numbers the components 1..n by their first pixel in scan order. That task holds the runs of one
-slice (24 bytes each), never its pixels. What comes before is computed once, and no job runs while a
-plan is built. The labels do not depend on the band height.
+A mask is cut into row runs. Runs are labelled inside bands of rows, many bands of a partition at
+once in numpy. Only runs on either side of a band border leave their band: pieces that touch there
+are the links of a small graph, solved by star rounds, and its roots are joined back. Components
+are numbered 1..n by their first pixel in scan order, band by band. No group or task holds a
+slice, and the labels do not depend on the band height.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import pixels as px_ops
-from .graph import saved
+from .graph import least_reached, saved
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -29,70 +30,105 @@ def _fields(df: DataFrame, names: Key) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def link_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
-    """The first run (by place) of each run's component; runs are sorted by y, x0. ``reach`` is 1
-    where diagonal neighbours touch, else 0."""
-    root = list(range(len(y)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    starts = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])).tolist() + [len(y)]
-    x0, x1 = x0.tolist(), x1.tolist()
-    for k in range(1, len(starts) - 1):
-        if y[starts[k]] != y[starts[k - 1]] + 1:
-            continue
-        i, j, i_end, j_end = starts[k - 1], starts[k], starts[k], starts[k + 1]
-        while i < i_end and j < j_end:
-            if x0[i] <= x1[j] + reach and x0[j] <= x1[i] + reach:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-            if x1[i] < x1[j]:
-                i += 1
-            else:
-                j += 1
-    return np.array([find(i) for i in range(len(y))], np.int64)
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that links a-b reach from each: roots are hung under lower roots, then paths are cut."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        live = low < high
+        a, b = a[live], b[live]
+        np.minimum.at(root, high[live], low[live])
+        while True:
+            further = root[root]
+            if np.array_equal(further, root):
+                break
+            root = further
+    return root
+
+
+def link_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int, group: np.ndarray | None = None) -> np.ndarray:
+    """The first run (by place) of each run's component; runs are sorted by group, y, x0. ``reach`` is 1
+    where diagonal neighbours touch, else 0. Runs of different groups never touch."""
+    if not len(y):
+        return np.empty(0, np.int64)
+    # rows of all groups one after the other, two apart where they do not follow each other
+    step = np.diff(y.astype(np.int64))
+    step = np.where(step == 1, 1, np.where(step == 0, 0, 2))
+    if group is not None:
+        step = np.where(np.diff(group) != 0, 2, step)
+    row = np.concatenate([[1], 1 + np.cumsum(step)])
+    wide = int(x1.max()) + 4
+    start, end = row * wide + x0, row * wide + x1
+    # what touches a run in the row below lies together
+    first = np.searchsorted(end, start + wide - reach)
+    count = np.maximum(0, np.searchsorted(start, end + wide + reach, "right") - first)
+    above = np.repeat(np.arange(len(y)), count)
+    below = np.repeat(first, count) + np.arange(len(above)) - np.repeat(np.cumsum(count) - count, count)
+    fine = row[below] == row[above] + 1
+    return _least(len(y), above[fine], below[fine])
+
+
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Numbers of groups of equal neighbours."""
+    moved = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        code = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        moved |= np.diff(code) != 0
+    return np.concatenate([[0], np.cumsum(moved)])
+
+
+def _banded(keys: int, reach: int):
+    """Batches (by, _band, y, x0, x1) sorted by them to the same with _piece, the first pixel of the run's piece,
+    and _k, the place of the piece among its band's."""
+
+    def pieces(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        y, x0, x1 = (table.column(keys + i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+        root = link_runs(y, x0, x1, reach, group)
+        heads = np.cumsum(root == np.arange(len(root)))
+        before = (heads - (root == np.arange(len(root))))[np.searchsorted(group, group)]
+        out = table.append_column("_piece", pa.array((y[root] << 32) + x0[root])).append_column("_k", pa.array(heads[root] - before))
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            group = _changes([table.column(i).combine_chunks() for i in range(keys + 1)])
+            cut = int(np.searchsorted(group, group[-1]))  # the last band may go on in the next batch
+            held = table.slice(cut)
+            if cut:
+                yield pieces(table.slice(0, cut), group[:cut])
+        if held is not None:
+            yield pieces(held, np.zeros(held.num_rows, np.int64))
+
+    return run
 
 
 def label_runs(runs: DataFrame, by: Key = KEY, connectivity: int = 8, band: int = BAND) -> DataFrame:
-    """runs (by, y, x0, x1) with comp_id, from 1 in scan order of the first pixels."""
+    """runs (by, y, x0, x1) with comp_id, from 1 in scan order of the first pixels. Computed once, at once."""
     reach = {4: 0, 8: 1}[connectivity]
-    names = [*by, "y", "x0", "x1", "_first"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
-        first = link_runs(pdf["y"].to_numpy(), pdf["x0"].to_numpy(), pdf["x1"].to_numpy(), reach)
-        # a piece is named by its first pixel
-        pdf["_first"] = (pdf["y"].to_numpy().astype(np.int64) << 32)[first] + pdf["x0"].to_numpy()[first]
-        return pdf[names]
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces, of = np.unique(pdf["_first"].to_numpy(), return_inverse=True)
-        root, y = list(range(len(pieces))), pdf["y"].to_numpy()
-        for border in np.unique(y[(y % band == 0) & (y > 0)]).tolist():
-            # the rows on either side of a border; a link of runs is one of their pieces
-            near = np.flatnonzero((y == border - 1) | (y == border))
-            near = near[np.lexsort((pdf["x0"].to_numpy()[near], y[near]))]
-            link = link_runs(y[near], pdf["x0"].to_numpy()[near], pdf["x1"].to_numpy()[near], reach)
-            for i, j in zip(of[near].tolist(), of[near[link]].tolist(), strict=True):
-                i, j = _top(root, i), _top(root, j)
-                root[max(i, j)] = min(i, j)
-        number = np.unique([_top(root, i) for i in range(len(pieces))], return_inverse=True)[1] + 1
-        return pdf[[*by, "y", "x0", "x1"]].assign(comp_id=number[of])
-
-    fields = _fields(runs, (*by, "y", "x0", "x1"))
-    banded = runs.select(*by, "y", "x0", "x1", F.floor(F.col("y") / band).cast("int").alias("_band"))
-    pieces = banded.groupBy(*by, "_band").applyInPandas(one, f"{fields}, _first bigint")
-    return pieces.groupBy(*by).applyInPandas(whole, f"{fields}, comp_id bigint")
-
-
-def _top(root: list[int], i: int) -> int:
-    while root[i] != i:
-        root[i] = i = root[root[i]]
-    return i
+    banded = runs.select(*by, F.floor(F.col("y") / band).cast("int").alias("_band"), "y", "x0", "x1")
+    dealt = banded.repartition(*by, "_band").sortWithinPartitions(*by, "_band", "y", "x0")
+    pieces = saved(dealt.mapInArrow(_banded(len(by), reach), f"{_fields(banded, (*by, '_band', 'y', 'x0', 'x1'))}, _piece bigint, _k bigint"))
+    if not pieces.agg(F.max("_band")).first()[0]:  # no slice is higher than a band
+        return pieces.select(*by, "y", "x0", "x1", F.col("_k").alias("comp_id"))
+    upper = pieces.filter((F.col("y") + 1) % band == 0).select(*by, (F.col("y") + 1).alias("y"), F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("_piece").alias("u"))
+    lower = pieces.filter((F.col("y") % band == 0) & (F.col("y") > 0)).select(*by, "y", "x0", "x1", F.col("_piece").alias("v"))
+    touching = (F.col("x0") <= F.col("_b") + reach) & (F.col("_a") <= F.col("x1") + reach)
+    links = lower.join(upper.withColumnsRenamed({n: f"_{n}" for n in (*by, "y")}), [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in (*by, "y")])
+    links = links.filter(touching).select(*by, "u", "v")
+    roots = least_reached(links.select(F.struct(*by).alias("_at"), "u", "v"), ("_at",))
+    rooted = pieces.withColumn("_at", F.struct(*by)).join(roots.withColumnRenamed("node", "_piece"), ["_at", "_piece"], "left")
+    rooted = rooted.withColumn("_root", F.coalesce("root", "_piece"))
+    # a component's first run is its root: these are numbered within their bands, after those of the bands above
+    heads = rooted.filter((F.col("y").cast("bigint") * (1 << 32) + F.col("x0")) == F.col("_root")).select("_at", "_band", "_root")
+    above = Window.partitionBy("_at").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = heads.groupBy("_at", "_band").agg(F.count("*").alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_at", "_band").orderBy("_root"))
+    numbers = heads.withColumn("_r", place).join(sizes, ["_at", "_band"]).select("_at", "_root", (F.col("_above") + F.col("_r")).alias("comp_id"))
+    return saved(rooted.join(numbers, ["_at", "_root"]).select(*by, "y", "x0", "x1", "comp_id"))
 
 
 def label(px: DataFrame, by: Key = KEY, connectivity: int = 8, band: int = BAND) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterjobs.functions.columns import to_byte
-from rasterjobs.operators import components, kernels, metrics, pixels, prompts, stats, stencils
+from rasterjobs.operators import components, graph, kernels, metrics, pixels, prompts, stats, stencils
 from rasterjobs.plans import prompting
 
 KEY = ("subject", "z")
@@ -76,6 +76,35 @@ def test_labels_do_not_depend_on_bands(spark, band):
         assert got == {(int(y), int(x)): n for (y, x), n in seen.items()}
 
 
+def test_labels_of_winding_pieces_and_null_keys(spark):
+    """A comb and a spiral that pass every band border many times, a slice without a subject, and slices of different
+    heights: labels of any band height are those of one band."""
+    rng = np.random.default_rng(6)
+    comb, spiral = np.zeros((40, 33), int), np.zeros((31, 31), int)
+    comb[:, ::2], comb[39, :], comb[20, 3] = 1, 1, 1
+    top, left, bottom, right = 0, 0, 30, 30
+    while top <= bottom and left <= right:
+        spiral[top, left : right + 1] = spiral[top : bottom + 1, right] = spiral[bottom, left + 2 : right + 1] = spiral[top + 2 : bottom + 1, left + 2 - 2 if left == 0 else left] = 1
+        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    grids = [comb, spiral, rng.random((50, 9)) < 0.6, np.ones((3, 3), int)]
+    px = table(spark, [np.asarray(g, int) for g in grids])
+    px = px.withColumn("subject", F.when(F.col("z") != 2, F.col("subject")))
+    for connectivity in (4, 8):
+        one, two, seven = (sorted(map(tuple, components.label(px, KEY, connectivity, b).collect()), key=str) for b in (256, 2, 7))
+        assert one == two == seven and len(one) > 100
+
+
+def test_least_reached_nodes(spark):
+    """Stars, a long path and a ring, each by key; equal nodes of different keys are different."""
+    rng = np.random.default_rng(1)
+    path = rng.permutation(200).tolist()
+    links = [("a", u, v) for u, v in zip(path, path[1:])] + [("b", 7, i) for i in range(300, 400)] + [("b", 5, 6), ("b", 6, 5), ("b", 9, 9), ("c", 0, 1)]
+    got = graph.least_reached(spark.createDataFrame(links, "k string, u long, v long"), ("k",)).collect()
+    want = {("a", i): 0 for i in range(1, 200)} | {("b", i): 7 for i in range(300, 400)} | {("b", 6): 5, ("c", 1): 0}
+    assert {(r.k, r.node): r.root for r in got} == want
+    assert graph.least_reached(spark.createDataFrame([], "k string, u long, v long"), ("k",)).collect() == []
+
+
 def test_properties_of_a_line(spark):
     row = components.properties(components.label(table(spark, [[[1] * 9]]), KEY, 8)).first()
     assert (row.area, row.cx, row.cy, row.eccentricity) == (9, 4, 0, 1.0)
