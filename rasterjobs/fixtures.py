@@ -66,6 +66,25 @@ VIEWS = {
         SELECT subject, z, CAST(y AS INT) AS y, CAST(x AS INT) AS x
         FROM (SELECT *, SPAN(0, 63) AS x FROM (SELECT *, SPAN(0, 63) AS y FROM slices))
         WHERE (y - 32) * (y - 32) + (x - 32) * (x - 32) <= 900""",
+    # the same masks as row runs: what the pixel views above hold, before a pixel is made of it
+    "mask_runs": """
+        SELECT s.subject, s.z, CAST(cls AS INT) AS cls, CAST(y AS INT) AS y, CAST(x0 AS INT) AS x0, CAST(least(x0 + p.w - 1, 127) AS INT) AS x1
+        FROM (SELECT *, SPAN(y0, least(y0 + h - 1, 127)) AS y FROM box) p JOIN slices s ON s.zg = p.zg""",
+    "roi_runs": """
+        SELECT subject, z, CAST(y AS INT) AS y, CAST(64 - r AS INT) AS x0, CAST(64 + r AS INT) AS x1
+        FROM (SELECT *, floor(sqrt(3600 - (y - 64) * (y - 64))) AS r FROM (SELECT *, SPAN(4, 124) AS y FROM slices WHERE zg % 11 <> 10))""",
+    "pred_runs": """
+        SELECT CAST(p.m AS INT) AS m, s.subject, s.z, CAST(y AS INT) AS y, CAST(greatest(xa, 0) AS INT) AS x0, CAST(least(xb, 127) AS INT) AS x1
+        FROM (SELECT m, zg, xa, xb, SPAN(greatest(ya, 0), least(yb, 127)) AS y
+              FROM (SELECT m, zg, y0 + k % 3 - 1 AS ya, y0 + k % 3 - 1 + h - 1 AS yb,
+                           x0 + (k * (m + 1)) % 5 - 2 AS xa, x0 + (k * (m + 1)) % 5 - 2 + w - 1 AS xb
+                    FROM (SELECT *, SPAN(0, 3) AS m FROM box) WHERE (k + m) % (3 + m) <> 0
+                    UNION ALL
+                    SELECT m, s_suppkey ~/ 2, (s_suppkey * 53) % 128, (s_suppkey * 53) % 128 + 3,
+                           (s_suppkey * 29 + m * 31) % 128, (s_suppkey * 29 + m * 31) % 128 + 6
+                    FROM (SELECT s_suppkey, SPAN(0, 3) AS m FROM supplier)) WHERE greatest(ya, 0) <= least(yb, 127)) p
+        JOIN predicted s ON s.zg = p.zg AND s.m = p.m
+        WHERE greatest(xa, 0) <= least(xb, 127)""",
     "prob": "SELECT subject, z, y, x, max(score) AS p FROM candidates GROUP BY subject, z, y, x",
 }
 TABLES = ("part", "supplier")

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import components
+from . import components, runs
 from .graph import saved
-from .pixels import within
+from .pixels import runs as px_runs
 
 KEY = ("model", "subject", "z")
 Key = tuple[str, ...]
@@ -46,6 +46,19 @@ def pixel_counts(slices: DataFrame, pairs: DataFrame, by: Key = KEY) -> DataFram
     return slices.select(*by).join(pairs.groupBy(*by).agg(*sums), [*by], "left").fillna(0)
 
 
+def run_counts(slices: DataFrame, found: DataFrame, by: Key = KEY) -> DataFrame:
+    """As pixel_counts, from segments (by, y, x0, x1) with p (predicted, a boolean) and cls (null: none): lengths
+    are summed, no pixel is made."""
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, runs.length())), F.lit(0)).cast("bigint")
+    p, t = F.col("p"), F.col("cls").isNotNull()
+    sums = [n(p).alias("n_p"), n(t).alias("n_t"), n(p & t).alias("n_both")]
+    for k, name in CLASSES:
+        # a prediction without classes counts as the first one
+        mine, its = p if k == 1 else F.lit(False), F.col("cls").eqNullSafe(k)
+        sums += [n(its).alias(f"n_{name}"), n(its & p).alias(f"hit_{name}"), n(its & mine).alias(f"both_{name}"), n(its | mine).alias(f"any_{name}")]
+    return slices.select(*by).join(found.groupBy(*by).agg(*sums), [*by], "left").fillna(0)
+
+
 def pixel_metrics(counts: DataFrame, by: Key = KEY) -> DataFrame:
     """iou, dice, and per class iou and pixel recall (null without target pixels)."""
     out = [
@@ -57,14 +70,26 @@ def pixel_metrics(counts: DataFrame, by: Key = KEY) -> DataFrame:
     return counts.select(*by, *out)
 
 
-def labelled_sides(pred: DataFrame, truth: DataFrame, by: Key = KEY, band: int = 256) -> DataFrame:
-    """Labelled runs (8-connected) by ``by`` and _side: 0 predictions, 1 to 3 the target's classes, 4 all
-    of them. Columns of ``by`` that truth lacks are null for it."""
+def sides(pred: DataFrame, truth: DataFrame, by: Key = KEY) -> DataFrame:
+    """Runs by ``by`` and _side from disjoint runs: 0 predictions, 1 to 3 the target's classes, 4 all of them.
+    Columns of ``by`` that truth lacks are null for it."""
     kinds = dict(pred.select(*by).dtypes)
     target = [F.col(n) if n in truth.columns else F.lit(None).cast(kinds[n]).alias(n) for n in by]
-    masks = pred.select(*by, F.lit(0).alias("_side"), "y", "x")
-    masks = masks.unionAll(truth.select(*target, F.explode(F.array(F.col("cls").cast("int"), F.lit(4))).alias("_side"), "y", "x"))
-    return components.label(masks, (*by, "_side"), 8, band)
+    own = tuple(n for n in by if n in truth.columns)
+    one = lambda df, cols, side: df.select(*cols, side.alias("_side"), "y", "x0", "x1")
+    parts = [one(pred, by, F.lit(0)), one(truth, target, F.col("cls").cast("int")), one(runs.merged(truth, own), target, F.lit(4))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def _as_runs(pred: DataFrame, truth: DataFrame, by: Key) -> tuple[DataFrame, DataFrame]:
+    """Pixel tables as runs."""
+    own = tuple(n for n in by if n in truth.columns)
+    return px_runs(pred.select(*by, "y", "x").distinct(), by), px_runs(truth.select(*own, "cls", "y", "x"), (*own, "cls"))
+
+
+def labelled_sides(pred: DataFrame, truth: DataFrame, by: Key = KEY, band: int = 256) -> DataFrame:
+    """Labelled runs (8-connected) of ``sides`` of two pixel tables."""
+    return components.label_runs(sides(*_as_runs(pred, truth, by), by), (*by, "_side"), 8, band)
 
 
 def object_metrics(
@@ -75,7 +100,7 @@ def object_metrics(
     are none), and touched (tp), untouched (fp) and all prediction components, 8-connected. Runs meet
     runs of the same row. ``labelled``: labelled_sides of the masks, if they are known."""
     own = [n for n in by if n in truth.columns]
-    labelled = saved(labelled_sides(pred, truth, by, band)) if labelled is None else labelled
+    labelled = labelled_sides(pred, truth, by, band) if labelled is None else labelled
     found, target = labelled.filter("_side = 0"), labelled.filter("_side between 1 and 3")
     other = target.select(*own, "y", F.col("_side").alias("_k"), F.col("comp_id").alias("_t"), F.col("x0").alias("_a"), F.col("x1").alias("_b"))
     met = found.join(other, [*own, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
@@ -98,19 +123,21 @@ def centerline_dice(
     slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, smooth: float = 1e-6, labelled: DataFrame | None = None
 ) -> DataFrame:
     """cldice: harmonic mean of the shares of either skeleton that lie in the other mask. ``labelled``:
-    labelled_sides of the masks, if they are known."""
+    labelled_sides of the masks, if they are known. Lines and masks meet in one sweep over their rows."""
     from .stencils import skeleton
 
     own = [n for n in by if n in truth.columns]
     if labelled is None:
         labelled = labelled_sides(pred, truth if "cls" in truth.columns else truth.withColumn("cls", F.lit(1)), by)
     lines = saved(skeleton(None, (*by, "_side"), labelled.filter("_side in (0, 4)")))
-    found, target = lines.filter("_side = 0"), lines.filter("_side = 4").select(*own, "y", "x")
-    count = lambda df, key, name: df.groupBy(*key).agg(F.count("*").alias(name))
-    rows = slices.select(*by).join(count(found, by, "_s0"), [*by], "left").join(count(target, own, "_s1"), own, "left")
-    rows = rows.join(count(within(found, truth, tuple(own)), by, "_h0"), [*by], "left")
-    rows = rows.join(count(pred.select(*by, "y", "x").distinct().join(target, [*own, "y", "x"]), by, "_h1"), [*by], "left")
-    rows = rows.fillna(0, ["_s0", "_s1", "_h0", "_h1"])
+    lines = lines.select(*by, "_side", "y", F.col("x").alias("x0"), F.col("x").alias("x1"))
+    found = lambda df: df.filter("_side = 0").select(*by, "y", "x0", "x1")
+    # the truth, once a slice, for each model that is scored there
+    target = lambda df: df.filter("_side = 4").select(*own, "y", "x0", "x1").join(slices.select(*by), own).select(*by, "y", "x0", "x1")
+    met = runs.segments({"l0": found(lines), "l1": target(lines), "m0": found(labelled), "m1": target(labelled)}, by)
+    n = lambda cond, name: F.coalesce(F.sum(F.when(F.expr(cond), runs.length())), F.lit(0)).alias(name)
+    sums = met.groupBy(*by).agg(n("l0", "_s0"), n("l1", "_s1"), n("l0 and m1", "_h0"), n("l1 and m0", "_h1"))
+    rows = slices.select(*by).join(sums, [*by], "left").fillna(0, ["_s0", "_s1", "_h0", "_h1"])
     part = lambda k: (F.col(f"_h{k}") + smooth) / (F.col(f"_s{k}") + smooth)
     value = F.when((F.col("_s0") == 0) & (F.col("_s1") == 0), 1.0).otherwise(2 * part(0) * part(1) / (part(0) + part(1)))
     return rows.select(*by, value.alias("cldice"))

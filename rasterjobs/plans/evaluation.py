@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import class_rgb, slice_name
-from ..operators import components, metrics, pixels, stencils
+from ..operators import components, metrics, pixels, runs, stencils
 from ..operators.graph import saved
 from .registry import KEY, MKEY, TRUTH, Views, component_sql, query, rounded
 
@@ -19,24 +19,44 @@ def truth_of(v: Views) -> DataFrame:
     return pixels.class_map(part(1), part(2), part(3))
 
 
-def evaluation_inputs(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(slices that have a prediction, predictions in the region, truth in the region, once a slice)."""
-    return v.predicted, pixels.within(v.pred, v.roi), pixels.within(truth_of(v), v.roi)
+def truth_runs(v: Views, within: DataFrame | None = None) -> DataFrame:
+    """The same as class-coded runs."""
+    return runs.class_map(**runs.by_class(v.mask_runs), within=within)
 
 
-def pixel_counts(slices: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """The counts of the pixel metrics; here each model meets the truth of its slices."""
-    return metrics.pixel_counts(slices, metrics.paired(pred, truth.join(slices, [*KEY]).select(*MKEY, "y", "x", "cls")))
+class Sides:
+    """Predictions and truth inside the region as runs, for the metrics.
 
+    masks: runs with cls that may overlap. met: segments by model and slice with p and cls, of which all pixel counts
+    are sums; pred: its predicted runs; truth: class-coded runs, once a slice whatever the number of models. Computed
+    once where ``keep``."""
 
-def evaluate_masks(slices: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row a slice and model with all pixel, object and centre-line metrics."""
-    pred, truth = saved(pred), saved(truth)
-    labelled = saved(metrics.labelled_sides(pred, truth))
-    counts = pixel_counts(slices, pred, truth)
-    pixel = metrics.pixel_metrics(counts).select(*MKEY, "dice", "iou", "iou_dense", "iou_moderate", "iou_light")
-    objects = metrics.object_metrics(slices, pred, truth, labelled=labelled)
-    lines = metrics.centerline_dice(slices, pred, truth, labelled=labelled)
+    def __init__(self, slices: DataFrame, pred: DataFrame, masks: DataFrame, roi: DataFrame, keep: bool = True):
+        per_model = lambda df: df.join(slices.select(*MKEY), [*KEY])
+        once = saved if keep else lambda df: df
+        self.slices, self.truth = slices, once(runs.class_map(**runs.by_class(masks), within=roi))
+        met = runs.segments({"p": pred, "inside": per_model(roi)} | runs.by_class(per_model(masks)), MKEY).withColumn("cls", runs.class_of())
+        self.met = once(met.filter("inside and (p or cls is not null)").select(*MKEY, "y", "x0", "x1", "p", "cls"))
+
+    def counts(self) -> DataFrame:
+        return metrics.run_counts(self.slices, self.met)
+
+    def labelled(self) -> DataFrame:
+        pred = runs.merged(self.met.filter("p"), MKEY)
+        return components.label_runs(metrics.sides(pred, self.truth, MKEY), (*MKEY, "_side"), 8)
+
+
+def evaluation_sides(v: Views, keep: bool = True) -> Sides:
+    """The slices that have a prediction, with predictions and truth in the region."""
+    return Sides(v.predicted.select(*MKEY), v.pred_runs, v.mask_runs, v.roi_runs, keep)
+
+
+def evaluate_masks(at: Sides) -> DataFrame:
+    """One row a slice and model with all pixel, object and centre-line metrics. Nothing but thinning makes pixels."""
+    labelled = at.labelled()
+    pixel = metrics.pixel_metrics(at.counts()).select(*MKEY, "dice", "iou", "iou_dense", "iou_moderate", "iou_light")
+    objects = metrics.object_metrics(at.slices, at.met, at.truth, labelled=labelled)
+    lines = metrics.centerline_dice(at.slices, at.met, at.truth, labelled=labelled)
     out = objects.join(pixel, [*MKEY]).join(lines, [*MKEY])
     return out.select(
         *MKEY, F.col("z").alias("slice"), slice_name(F.col("z")).alias("file"),
@@ -46,17 +66,20 @@ def evaluate_masks(slices: DataFrame, pred: DataFrame, truth: DataFrame) -> Data
     )
 
 
-def evaluate_in_box(slices: DataFrame, pred: DataFrame, truth: DataFrame, roi: DataFrame) -> DataFrame:
-    """The second table: cropped to the region's inclusive box; classes without pixels are null."""
-    box = pixels.bounds(roi).select(*KEY, F.col("y_min").alias("y0"), (F.col("y_max") - F.col("y_min") + 1).alias("h"), F.col("x_min").alias("x0"), (F.col("x_max") - F.col("x_min") + 1).alias("w"))
-    kept = slices.join(box, [*KEY], "left_semi")
-    pred, truth = (saved(pixels.within(pixels.crop(t, box), roi)) for t in (pred, truth))
-    labelled = saved(metrics.labelled_sides(pred, truth))
-    counts = pixel_counts(kept, pred, truth)
-    pixel = metrics.pixel_metrics(counts).select(*MKEY, F.col("dice").alias("pixel_dice"), F.col("iou").alias("pixel_iou"), *[f"pixel_recall_{n}" for _, n in metrics.CLASSES])
-    objects = metrics.object_metrics(kept, pred, truth, empty=None, labelled=labelled)
+def evaluate_in_box(slices: DataFrame, pred: DataFrame, masks: DataFrame, roi: DataFrame) -> DataFrame:
+    """The second table, of runs: cropped to the region's inclusive box; classes without pixels are null."""
+    box = roi.groupBy(*KEY).agg(F.min("y").alias("_ya"), F.max("y").alias("_yb"), F.min("x0").alias("_xa"), F.max("x1").alias("_xb"))
+
+    def cropped(df: DataFrame) -> DataFrame:
+        held = df.join(box, [*KEY]).filter("y between _ya and _yb").withColumn("x0", F.greatest("x0", "_xa")).withColumn("x1", F.least("x1", "_xb"))
+        return held.filter("x0 <= x1").select(*df.columns)
+
+    at = Sides(slices.select(*MKEY).join(box, [*KEY], "left_semi"), cropped(pred), cropped(masks), cropped(roi))
+    labelled = at.labelled()
+    pixel = metrics.pixel_metrics(at.counts()).select(*MKEY, F.col("dice").alias("pixel_dice"), F.col("iou").alias("pixel_iou"), *[f"pixel_recall_{n}" for _, n in metrics.CLASSES])
+    objects = metrics.object_metrics(at.slices, at.met, at.truth, empty=None, labelled=labelled)
     names = {**{f"sensitivity_{n}": f"obj_sens_{n}" for _, n in metrics.CLASSES}, "tp": "obj_tp", "fp": "obj_fp", "fdr": "obj_fdr"}
-    lines = metrics.centerline_dice(kept, pred, truth, labelled=labelled).withColumnRenamed("cldice", "pixel_cldice")
+    lines = metrics.centerline_dice(at.slices, at.met, at.truth, labelled=labelled).withColumnRenamed("cldice", "pixel_cldice")
     return objects.withColumnsRenamed(names).join(pixel, [*MKEY]).join(lines, [*MKEY])
 
 
@@ -83,7 +106,7 @@ def skip_report(slices: DataFrame, models: DataFrame, roi: DataFrame, predicted:
 
 @query("class_map", "masks", sql="SELECT subject, z, y, x, max(cls) AS cls FROM masks GROUP BY subject, z, y, x")
 def _(v: Views) -> DataFrame:
-    return truth_of(v)
+    return pixels.pixels_of(truth_runs(v)).select(*KEY, "y", "x", "cls")
 
 
 _PIXEL = """, pairs AS (
@@ -111,7 +134,7 @@ pm AS (
 
 @query("pixel_metrics", *EVAL, sql=TRUTH + _PIXEL + " SELECT * FROM pm")
 def pixel_metrics(v: Views) -> DataFrame:
-    return metrics.pixel_metrics(pixel_counts(*evaluation_inputs(v)))
+    return metrics.pixel_metrics(evaluation_sides(v, keep=False).counts())
 
 
 def _objects(empty: str) -> str:
@@ -135,8 +158,8 @@ om AS (
 
 @query("object_metrics", *EVAL, sql=TRUTH + _objects("1.0") + " SELECT * FROM om")
 def _(v: Views) -> DataFrame:
-    slices, pred, truth = evaluation_inputs(v)
-    return metrics.object_metrics(slices, pred, truth)
+    at = evaluation_sides(v)
+    return metrics.object_metrics(at.slices, at.met, at.truth, labelled=at.labelled())
 
 
 def skeleton_sql(source: str, keys: str, name: str, steps: int = 40) -> str:
@@ -179,8 +202,8 @@ cl AS (SELECT model, subject, z, round(CASE WHEN coalesce(s0, 0) + coalesce(s1,
 
 @query("centerline_dice", *EVAL, sql=TRUTH + _LINES + " SELECT * FROM cl")
 def _(v: Views) -> DataFrame:
-    slices, pred, truth = evaluation_inputs(v)
-    return rounded(metrics.centerline_dice(slices, pred, truth))
+    at = evaluation_sides(v)
+    return rounded(metrics.centerline_dice(at.slices, at.met, at.truth, labelled=at.labelled()))
 
 
 @query(
@@ -191,7 +214,7 @@ SELECT model, subject, z, z AS slice, printf('%03d', z) AS file, sensitivity_den
   iou_dense, iou_moderate, iou_light, cldice FROM om JOIN pm USING (model, subject, z) JOIN cl USING (model, subject, z)""",
 )
 def evaluation_table(v: Views) -> DataFrame:
-    return evaluate_masks(*evaluation_inputs(v)).withColumn("cldice", F.round("cldice", 6))
+    return evaluate_masks(evaluation_sides(v)).withColumn("cldice", F.round("cldice", 6))
 
 
 @query(
@@ -203,7 +226,7 @@ SELECT model, subject, z, sensitivity_light AS obj_sens_light, sensitivity_moder
 WHERE (subject, z) IN (SELECT (subject, z) FROM roi)""",
 )
 def _(v: Views) -> DataFrame:
-    return evaluate_in_box(*evaluation_inputs(v), v.roi).withColumn("pixel_cldice", F.round("pixel_cldice", 6))
+    return evaluate_in_box(v.predicted, v.pred_runs, v.mask_runs, v.roi_runs).withColumn("pixel_cldice", F.round("pixel_cldice", 6))
 
 
 _NAMES = ["iou", "dice", "pixel_recall_light", "pixel_recall_moderate", "pixel_recall_dense"]
@@ -277,4 +300,4 @@ for _n in (4, 8):
 
     @query(f"components_{_n}", *EVAL, sql=TRUTH + f", {component_sql('truth', 'subject, z', _n, 'c')} SELECT * FROM c")
     def _(v: Views, n: int = _n) -> DataFrame:
-        return components.label(pixels.within(truth_of(v), v.roi), KEY, n, band=32)
+        return components.label_runs(runs.merged(truth_runs(v, v.roi_runs)), KEY, n, band=32)
