@@ -1,131 +1,56 @@
-"""Neighbourhood operators. Masks are handled as runs; images as tiles with a halo.
-
-A tile of TILE x TILE pixels is one task's work. Every pixel is sent to the tiles whose halo it
-lies in (one to four), the frame's edges are mirrored inside the task, and a numpy kernel
-makes the tile's own pixels. So nothing is multiplied by the number of taps.
-"""
+"""Neighbourhood operators. Masks are handled as runs; images as tiles (see ``tiles``), here from and to pixel tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import components, kernels
+from . import components, kernels, tiles
 from . import pixels as px_ops
 from .components import _fields
-from .stats import by_max
+from .graph import saved
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
-TILE = 512
-
-
-def tiled(
-    image: DataFrame, dims: DataFrame, halo: int, kernel: Callable[[np.ndarray], np.ndarray], by: Key = KEY, tile: int = TILE
-) -> DataFrame:
-    """v of each pixel of the frame by a kernel that uses up a margin of ``halo`` on all sides.
-
-    image: (by, y, x, v), absent pixels are 0; every pixel of dims' frames is in the result."""
-    sized = image.select(*by, "y", "x", F.col("v").cast("double").alias("v")).join(dims.select(*by, "h", "w"), [*by])
-    reach = lambda c: F.sequence(  # noqa: E731  the tiles that hold c, or c in their halo
-        F.greatest(F.lit(0), F.floor((F.col(c) - halo) / tile)).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")
-    )
-    sent = sized.withColumn("_ty", F.explode(reach("y"))).withColumn("_tx", F.explode(reach("x")))
-    sent = sent.filter((F.col("_ty") * tile < F.col("h")) & (F.col("_tx") * tile < F.col("w")))
-    every = dims.select(*by, "h", "w", F.explode(F.expr(f"sequence(0, cast((h - 1) div {tile} as int))")).alias("_ty"))
-    every = every.withColumn("_tx", F.explode(F.expr(f"sequence(0, cast((w - 1) div {tile} as int))")))
-    none = lambda t: F.lit(None).cast(t)
-    rows = sent.select(*by, "_ty", "_tx", "h", "w", "y", "x", "v").unionByName(
-        every.select(*by, "_ty", "_tx", "h", "w", none("int").alias("y"), none("int").alias("x"), none("double").alias("v"))
-    )
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w, ty, tx = (int(pdf[c].iloc[0]) for c in ("h", "w", "_ty", "_tx"))
-        y0, x0 = ty * tile, tx * tile
-        y1, x1 = min(h, y0 + tile), min(w, x0 + tile)
-        base_y, base_x = max(0, y0 - halo), max(0, x0 - halo)
-        top_y, top_x = min(h, y1 + halo), min(w, x1 + halo)
-        grid = np.zeros((top_y - base_y, top_x - base_x))
-        px = pdf.dropna(subset=["y"])
-        grid[px["y"].to_numpy(int) - base_y, px["x"].to_numpy(int) - base_x] = px["v"].to_numpy()
-        # what lies outside the frame is mirrored; small frames mirror several times over
-        at_y = kernels.reflect(np.arange(y0 - halo, y1 + halo), h) - base_y
-        at_x = kernels.reflect(np.arange(x0 - halo, x1 + halo), w) - base_x
-        out = kernel(grid[np.clip(at_y, 0, len(grid) - 1)[:, None], np.clip(at_x, 0, grid.shape[1] - 1)[None, :]])
-        yy, xx = np.mgrid[y0:y1, x0:x1]
-        key = {n: pdf[n].iloc[0] for n in by}
-        return pd.DataFrame({**key, "y": yy.ravel(), "x": xx.ravel(), "v": out.ravel()})
-
-    return rows.groupBy(*by, "_ty", "_tx").applyInPandas(one, f"{_fields(image, by)}, y int, x int, v double")
+TILE = tiles.TILE
 
 
 def gaussian(image: DataFrame, dims: DataFrame, sigma: float, by: Key = KEY, tile: int = TILE) -> DataFrame:
-    """Blur with weights cut at 4 sigma and mirrored edges."""
-    weights = kernels.gaussian_weights(sigma)
-    blur = lambda a: kernels.correlate(kernels.correlate(a, weights, 0), weights, 1)
-    return tiled(image, dims, len(weights) // 2, blur, by, tile)
+    """Blur with weights cut at 4 sigma and mirrored edges, of a pixel table; every pixel of dims' frames is in the result."""
+    return tiles.pixels(tiles.gaussian(tiles.from_pixels(image, dims, by, tile), sigma, by, tile), by)
 
 
 def sobel(image: DataFrame, dims: DataFrame, by: Key = KEY, tile: int = TILE) -> DataFrame:
     """Edge magnitude: sqrt((gy^2 + gx^2) / 2), [1 2 1] / 4 across and [1 0 -1] / 2 along."""
-    smooth, slope = np.array([1, 2, 1]) / 4, np.array([1, 0, -1]) / 2
-
-    def edges(a: np.ndarray) -> np.ndarray:
-        gy = kernels.correlate(kernels.correlate(a, slope, 0), smooth, 1)
-        gx = kernels.correlate(kernels.correlate(a, smooth, 0), slope, 1)
-        return np.sqrt((gy * gy + gx * gx) / 2)
-
-    return tiled(image, dims, 1, edges, by, tile)
+    return tiles.pixels(tiles.sobel(tiles.from_pixels(image, dims, by, tile), by, tile), by)
 
 
 def density(gray: DataFrame, roi: DataFrame, dims: DataFrame, sigma: float = 5, by: Key = KEY) -> DataFrame:
     """Blurred gray inside the region, divided by the slice's maximum."""
-    return by_max(gaussian(px_ops.within(gray, roi, by), dims, sigma, by), by)
+    inside = tiles.from_pixels(px_ops.within(gray, roi, by), dims, by)
+    return tiles.pixels(tiles.by_max(saved(tiles.gaussian(inside, sigma, by)), by), by)
+
+
+def importance_tiles(gray: DataFrame, by: Key = KEY, sigma: float = 2, tile: int = TILE) -> DataFrame:
+    """0.4 of the density and 0.6 of the edges of gray tiles, each divided by its slice's maximum."""
+    soft, edge = saved(tiles.gaussian(gray, sigma, by, tile)), saved(tiles.sobel(gray, by, tile))
+    return tiles.combined(tiles.by_max(soft, by, True), tiles.by_max(edge, by, True), lambda a, b: 0.4 * a + 0.6 * b, by)
 
 
 def importance(gray: DataFrame, dims: DataFrame, instances: DataFrame, by: Key = KEY, sigma: float = 2) -> DataFrame:
-    """0.4 of the density and 0.6 of the edges, each divided by its slice's maximum, on the pixels
-    of instances (by, ..., y, x)."""
-    soft, edge = by_max(gaussian(gray, dims, sigma, by), by, guarded=True), by_max(sobel(gray, dims, by), by, guarded=True)
-    both = soft.withColumnRenamed("v", "_d").join(edge.withColumnRenamed("v", "_e"), [*by, "y", "x"])
-    both = both.select(*by, "y", "x", (0.4 * F.col("_d") + 0.6 * F.col("_e")).alias("v"))
-    return instances.join(both, [*by, "y", "x"])
+    """The same on the pixels of instances (by, ..., y, x)."""
+    field = importance_tiles(saved(tiles.from_pixels(gray, dims, by)), by, sigma)
+    return instances.join(tiles.pixels(field, by), [*by, "y", "x"])
 
 
 def ridges(
     gray: DataFrame, dims: DataFrame, sigmas: tuple[float, ...] = (1, 2, 4, 8), beta: float = 0.5, by: Key = KEY, tile: int = TILE
 ) -> DataFrame:
-    """Bright ridges (Frangi 1998) at several scales, divided by the slice's maximum.
-
-    Two passes a scale: the slice's greatest Hessian norm first (one number a tile is kept),
-    then the response, with half that norm as its scale."""
-    out = None
-    for sigma in sigmas:
-        halo = int(4 * sigma + 0.5) + 2
-
-        def norm(a: np.ndarray, sigma: float = sigma) -> np.ndarray:
-            small, large = kernels.hessian_eigenvalues(a, sigma)
-            return np.sqrt(small**2 + large**2)
-
-        def blob(a: np.ndarray, sigma: float = sigma) -> np.ndarray:
-            small, large = kernels.hessian_eigenvalues(a, sigma)
-            ratio = np.abs(small) / np.maximum(np.abs(large), 1e-10)
-            return np.where(large < 0, np.exp(-(ratio**2) / (2 * beta**2)), 0)
-
-        size = tiled(gray, dims, halo, norm, by, tile)
-        top = size.groupBy(*by).agg((F.max("v") / 2).alias("_g"))
-        shape = tiled(gray, dims, halo, blob, by, tile).withColumnRenamed("v", "_b")
-        strong = 1 - F.exp(-F.col("v") * F.col("v") / (2 * F.col("_g") * F.col("_g")))
-        one = size.join(top, [*by]).join(shape, [*by, "y", "x"]).select(
-            *by, "y", "x", F.when(F.col("_g") > 0, F.col("_b") * strong).otherwise(0.0).alias("v")
-        )
-        out = one if out is None else out.unionAll(one)
-    return by_max(out.groupBy(*by, "y", "x").agg(F.max("v").alias("v")), by)
+    """Bright ridges (Frangi 1998) of a pixel table at several scales, divided by the slice's maximum."""
+    return tiles.pixels(tiles.ridges(tiles.from_pixels(gray, dims, by, tile), sigmas, beta, by, tile), by)
 
 
 def _widened(runs: DataFrame, spans: list[tuple[int, int]], dims: DataFrame, by: Key) -> DataFrame:

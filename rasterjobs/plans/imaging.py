@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import axis_order, class_rgb, numbers, slice_name, to_byte
-from ..operators import components, pixels, stats, stencils
+from ..operators import components, pixels, runs, stats, stencils, tiles
+from ..operators.graph import saved
 from .registry import KEY, Views, component_sql, digest, digest_sql, query, rounded
 
 _RANGE = "unnest(range({a}, {b}))"
@@ -367,33 +369,72 @@ def _(v: Views) -> DataFrame:
     return stencils.outside(v.roi, dense(v), v.slices, 14)
 
 
-def _blur_sql(source: str, name: str, sigma: float, by: str = "subject, z") -> str:
+def _mirror(i: str, n: int = 128) -> str:
+    return f"CASE WHEN {i} < 0 THEN -1 - {i} WHEN {i} > {n - 1} THEN {2 * n - 1} - {i} ELSE {i} END"
+
+
+def _blur_sql(source: str, name: str, sigma: float, by: str = "subject, z", n: int = 128) -> str:
     r = int(4 * sigma + 0.5)
-    mirror = "CASE WHEN {i} < 0 THEN -1 - {i} WHEN {i} > 127 THEN 255 - {i} ELSE {i} END"
     return f"""{name}_k AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-0.5 * (d / {sigma}) * (d / {sigma})) AS w FROM (SELECT unnest(range({-r}, {r + 1})) AS d))),
-{name}_t AS (SELECT i, {mirror.format(i="(i + d)")} AS p, w FROM (SELECT unnest(range(0, 128)) AS i), {name}_k),
+{name}_t AS (SELECT i, {_mirror("(i + d)", n)} AS p, w FROM (SELECT unnest(range(0, {n})) AS i), {name}_k),
 {name}_y AS (SELECT {by}, t.i AS y, x, sum(v * w) AS v FROM {source} s JOIN {name}_t t ON t.p = s.y GROUP BY {by}, t.i, x),
 {name} AS (SELECT {by}, y, t.i AS x, sum(v * w) AS v FROM {name}_y s JOIN {name}_t t ON t.p = s.x GROUP BY {by}, y, t.i)"""
 
 
 def _sobel_sql(source: str, name: str) -> str:
-    mirror = "CASE WHEN {i} < 0 THEN -1 - {i} WHEN {i} > 127 THEN 255 - {i} ELSE {i} END"
-    return f"""{name}_t AS (SELECT i, d, {mirror.format(i="(i + d)")} AS p FROM (SELECT unnest(range(0, 128)) AS i), (SELECT unnest([-1, 0, 1]) AS d)),
+    return f"""{name}_t AS (SELECT i, d, {_mirror("(i + d)")} AS p FROM (SELECT unnest(range(0, 128)) AS i), (SELECT unnest([-1, 0, 1]) AS d)),
 {name} AS (SELECT subject, z, y, x, sqrt((gy * gy + gx * gx) / 2) AS v FROM (
   SELECT subject, z, a.i AS y, b.i AS x, sum(v * a.d / 2 * (2 - abs(b.d)) / 4) AS gy, sum(v * b.d / 2 * (2 - abs(a.d)) / 4) AS gx
   FROM {source} s JOIN {name}_t a ON a.p = s.y JOIN {name}_t b ON b.p = s.x GROUP BY subject, z, a.i, b.i))"""
 
 
+def gray_tiles(v: Views, tile: int = 64) -> DataFrame:
+    """The gray image as tiles of bytes: the rule of the view ``image``, evaluated a tile at a time over the class-coded
+    runs that cross it. No pixel is a row."""
+    from ..fixtures import view
+    from .evaluation import truth_runs
+
+    def draw(a: np.ndarray, row: dict) -> np.ndarray:
+        y, x = np.mgrid[row["y0"] : row["y0"] + row["h"], row["x0"] : row["x0"] + row["w"]]
+        c, zg = np.arange(3)[:, None, None], row["zg"]
+        base = (y * 7 + x * 13 + zg * 29 + c * 41 + (y * x) % 61) % 97 + np.where(a > 0, 80 + 20 * a.astype(int), 0)
+        dark = (y < 3 + zg % 4) | (y >= 125) | (x < 5) | (x >= 124 - zg % 3)
+        return np.where(dark, 0, base).sum(axis=0) / 3
+
+    sized = view(v.spark, v.sf_dir, "slices").select(*KEY, "zg", F.col("h").alias("fh"), F.col("w").alias("fw"))
+    corner = lambda n: F.explode(F.sequence(F.lit(0), F.expr(f"({n} - 1) div {tile} * {tile}").cast("int"), F.lit(tile)))
+    empty = sized.withColumn("y0", corner("fh")).withColumn("x0", corner("fw"))
+    empty = empty.withColumn("h", F.least(F.lit(tile), F.col("fh") - F.col("y0"))).withColumn("w", F.least(F.lit(tile), F.col("fw") - F.col("x0")))
+    return tiles.mapped(tiles.classes(empty, truth_runs(v), (*KEY,), tile), draw)
+
+
+def tile_sums(image: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
+    """n, total and weighted of ``digest``, summed inside the tiles first and not yet rounded."""
+
+    def sums(a: np.ndarray, row: dict) -> dict:
+        place = np.arange(row["y0"], row["y0"] + row["h"])[:, None] * 128 + np.arange(row["x0"], row["x0"] + row["w"]) + 1
+        return {"n": a.size, "total": float(a.sum()), "weighted": float((a * place).sum())}
+
+    found = tiles.numbers(image, sums, "n bigint, total double, weighted double", by)
+    return found.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "total", "weighted")])
+
+
+def tile_digest(image: DataFrame, digits: int = 3, by: tuple[str, ...] = KEY) -> DataFrame:
+    """As ``digest``."""
+    sums = tile_sums(image, by)
+    return sums.select(*by, "n", F.round("total", digits).alias("total"), F.round("weighted", max(0, digits - 2)).alias("weighted"))
+
+
 for _s in (1, 5):
 
     @query(f"gaussian_{_s}", "image", sql=f"{_GRAY}, {_blur_sql('g', 'b', _s)} " + digest_sql("b", "subject, z", digits=2))
     def _(v: Views, sigma: int = _s) -> DataFrame:
-        return digest(stencils.gaussian(pixels.to_gray(v.image), v.slices, sigma, tile=64), *KEY, digits=2)
+        return tile_digest(tiles.gaussian(gray_tiles(v), sigma, tile=64), 2)
 
 
 @query("sobel", "image", sql=f"{_GRAY}, {_sobel_sql('g', 'e')} " + digest_sql("e", "subject, z", digits=2))
 def _(v: Views) -> DataFrame:
-    return digest(stencils.sobel(pixels.to_gray(v.image), v.slices, tile=64), *KEY, digits=2)
+    return tile_digest(tiles.sobel(gray_tiles(v), tile=64), 2)
 
 
 _DENSITY = f"""{_GRAY}, gr AS (SELECT s.subject, s.z, s.y, s.x, CASE WHEN r.y IS NULL THEN 0.0 ELSE s.v END AS v FROM g s LEFT JOIN roi r ON r.subject = s.subject AND r.z = s.z AND r.y = s.y AND r.x = s.x),
@@ -402,17 +443,62 @@ _DENSITY = f"""{_GRAY}, gr AS (SELECT s.subject, s.z, s.y, s.x, CASE WHEN r.y IS
 
 @query("density", "image", "roi", sql=_DENSITY + " " + digest_sql("(SELECT * FROM de SEMI JOIN roi USING (subject, z))", "subject, z", digits=2))
 def _(v: Views) -> DataFrame:
-    filled = stencils.density(pixels.to_gray(v.image), v.roi, v.slices)
-    return digest(filled.join(v.roi.select(*KEY).distinct(), [*KEY], "left_semi"), *KEY, digits=2)
+    inside = tiles.masked(gray_tiles(v), v.roi_runs, tile=64)
+    filled = tiles.by_max(saved(tiles.gaussian(inside, 5, tile=64)))
+    return tile_digest(filled.join(v.roi_runs.select(*KEY).distinct(), [*KEY], "left_semi"), 2)
 
 
 @query("importance", "image", "masks", sql=f"""{_GRAY}, {_blur_sql('g', 'b', 2)}, {_sobel_sql('g', 'e')},
 bm AS (SELECT subject, z, y, x, v / max(v) OVER (PARTITION BY subject, z) AS d FROM b), em AS (SELECT subject, z, y, x, v / max(v) OVER (PARTITION BY subject, z) AS e FROM e),
 im AS (SELECT m.subject, m.z, m.cls, m.y, m.x, 0.4 * d + 0.6 * e AS v FROM masks m JOIN bm USING (subject, z, y, x) JOIN em USING (subject, z, y, x)) """ + digest_sql("im", "subject, z, cls", digits=2))
 def _(v: Views) -> DataFrame:
-    return digest(stencils.importance(pixels.to_gray(v.image), v.slices, v.masks), *KEY, "cls", digits=2)
-
-
-@query("ridges", "image")
-def _(v: Views) -> DataFrame:
-    return digest(stencils.ridges(pixels.to_gray(v.image), v.slices), *KEY)
+    field = saved(stencils.importance_tiles(saved(gray_tiles(v)), tile=64))
+    parts = [tile_sums(tiles.masked(field, v.mask_runs.filter(F.col("cls") == k), tile=64)).select(*KEY, F.lit(k).alias("cls"), "total", "weighted") for k in (1, 2, 3)]
+    # a digest counts the mask's pixels only
+    sizes = runs.merged(v.mask_runs, (*KEY, "cls")).groupBy(*KEY, "cls").agg(F.sum(runs.length()).cast("bigint").alias("n"))
+    sums = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(sizes, [*KEY, "cls"])
+    return sums.select(*KEY, "cls", "n", F.round("total", 2).alias("total"), F.round("weighted", 0).alias("weighted"))
+
+
+def _ridge_sql(source: str, name: str, sigmas: tuple[int, ...] = (1, 2, 4, 8), n: int = 128) -> str:
+    """Hessians of the blurred image by central differences taken twice, their eigenvalues, and the response at the
+    slice's scale; the greatest over the scales, divided by the slice's maximum."""
+    steps = [f"{name}_n AS (SELECT i, d, {_mirror('(i + d)', n)} AS p FROM (SELECT unnest(range(0, {n})) AS i), (SELECT unnest(range(-2, 3)) AS d))"]
+    for s in sigmas:
+        second = lambda d: f"CASE WHEN abs({d}) = 2 THEN 0.25 WHEN {d} = 0 THEN -0.5 ELSE 0 END"
+        steps.append(f"""{_blur_sql(source, f"{name}_b{s}", s, n=n)},
+{name}_h{s} AS (
+  SELECT subject, z, a.i AS y, b.i AS x, {s * s} * sum(CASE WHEN b.d = 0 THEN v * ({second("a.d")}) ELSE 0 END) AS yy,
+    {s * s} * sum(CASE WHEN a.d = 0 THEN v * ({second("b.d")}) ELSE 0 END) AS xx,
+    {s * s} * sum(CASE WHEN abs(a.d) = 1 AND abs(b.d) = 1 THEN v * a.d * b.d / 4 ELSE 0 END) AS xy
+  FROM {name}_b{s} g JOIN {name}_n a ON a.p = g.y JOIN {name}_n b ON b.p = g.x
+  WHERE (a.d = 0 AND b.d IN (-2, 0, 2)) OR (b.d = 0 AND a.d IN (-2, 2)) OR (abs(a.d) = 1 AND abs(b.d) = 1) GROUP BY subject, z, a.i, b.i),
+{name}_e{s} AS (
+  SELECT subject, z, y, x, CASE WHEN abs(p) > abs(m) THEN m ELSE p END AS low, CASE WHEN abs(p) > abs(m) THEN p ELSE m END AS high
+  FROM (SELECT subject, z, y, x, (xx + yy) / 2 + r AS p, (xx + yy) / 2 - r AS m FROM (SELECT *, sqrt(((xx - yy) / 2) * ((xx - yy) / 2) + xy * xy) AS r FROM {name}_h{s}))),
+{name}_r{s} AS (
+  SELECT subject, z, y, x, CASE WHEN g > 0 AND high < 0 THEN exp(-2 * (low / greatest(abs(high), 1e-10)) * (low / greatest(abs(high), 1e-10))) * (1 - exp(-norm * norm / (2 * g * g))) ELSE 0 END AS v
+  FROM (SELECT *, max(norm) OVER (PARTITION BY subject, z) / 2 AS g FROM (SELECT *, sqrt(low * low + high * high) AS norm FROM {name}_e{s})))""")
+    every = " UNION ALL ".join(f"SELECT * FROM {name}_r{s}" for s in sigmas)
+    steps.append(f"""{name} AS (SELECT subject, z, y, x, v / (max(v) OVER (PARTITION BY subject, z) + 1e-8) AS v
+  FROM (SELECT subject, z, y, x, max(v) AS v FROM ({every}) GROUP BY subject, z, y, x))""")
+    return ",\n".join(steps)
+
+
+@query("ridges", "image", sql=f"{_GRAY}, {_ridge_sql('g', 'rd')} " + digest_sql("rd", "subject, z"))
+def _(v: Views) -> DataFrame:
+    return tile_digest(tiles.ridges(gray_tiles(v), tile=64))
+
+
+@query("ridges_half_size", "image", "roi", sql=f"""{_GRAY}, half AS (SELECT subject, z, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM g GROUP BY subject, z, y // 2, x // 2),
+{_ridge_sql('half', 'rd', n=64)},
+taps AS (SELECT i, greatest(CAST(floor(a) AS INT), 0) AS p, 1 - (a - floor(a)) AS w FROM (SELECT unnest(range(0, 128)) AS i, (i + 0.5) / 2 - 0.5 AS a)
+  UNION ALL SELECT i, least(CAST(floor(a) AS INT) + 1, 63), a - floor(a) FROM (SELECT unnest(range(0, 128)) AS i, (i + 0.5) / 2 - 0.5 AS a)),
+tall AS (SELECT subject, z, t.i AS y, x, sum(v * w) AS v FROM rd JOIN taps t ON t.p = rd.y GROUP BY subject, z, t.i, x),
+up AS (SELECT subject, z, y, t.i AS x, sum(v * w) AS v FROM tall JOIN taps t ON t.p = tall.x GROUP BY subject, z, y, t.i),
+cut AS (SELECT u.subject, u.z, u.y, u.x, CASE WHEN r.y IS NULL THEN 0.0 ELSE u.v END AS v
+  FROM up u LEFT JOIN roi r ON r.subject = u.subject AND r.z = u.z AND r.y = u.y AND r.x = u.x) """ + digest_sql("cut", "subject, z"))
+def _(v: Views) -> DataFrame:
+    """Sampled down by two, and the ridges back at full size, in the region only."""
+    found = tiles.ridges_at(gray_tiles(v), v.slices, 2, tile=64)
+    return tile_digest(tiles.masked(found, v.roi_runs, tile=64))
