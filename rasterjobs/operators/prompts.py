@@ -212,39 +212,56 @@ def brightness_predictor() -> Predictor:
     return predict
 
 
-def segment_patches(patches: DataFrame, factory: Callable[[], Predictor], by: Key = (*KEY, "patch_id")) -> DataFrame:
-    """Candidate pixels (by, cand, score, y, x in full-frame places) from a model.
+def segment_patches(patches: DataFrame, factory: Callable[[], Predictor], by: Key = (*KEY, "patch_id"), pad: int = 0) -> DataFrame:
+    """(by, status, cand, score, y, x): a status row for each call of the model ("ok" or "failed: ..."), with nulls after
+    it, and the candidates' pixels in full-frame places, with a null status (see answers).
 
     patches: (by, y0, x0, h, w, data binary of h*w*3 bytes, prompts array<struct<y,x,label>> in
-    full-frame places, box null or struct<x_min,y_min,x_max,y_max>). The factory is called once
-    a task; a patch that fails gives no rows."""
+    full-frame places, box null or struct<x_min,y_min,x_max,y_max>). Patches shorter than ``pad`` are filled with zeros
+    at their ends, of which no pixel comes back. The factory is called once a task; a patch that fails doesn't end it."""
     fields = _fields(patches, by)
 
+    def answer(predict: Predictor, row: dict) -> pd.DataFrame:
+        image = np.frombuffer(row["data"], np.uint8).reshape(row["h"], row["w"], 3)
+        image = np.pad(image, ((0, max(0, pad - row["h"])), (0, max(0, pad - row["w"])), (0, 0)))
+        marks = list(row["prompts"]) if row["prompts"] is not None else []
+        points = np.array([(p["x"] - row["x0"], p["y"] - row["y0"]) for p in marks], int).reshape(-1, 2)
+        labels, box = np.array([p["label"] for p in marks], int), row.get("box")
+        box = box and (box["x_min"] - row["x0"], box["y_min"] - row["y0"], box["x_max"] - row["x0"], box["y_max"] - row["y0"])
+        masks, scores = predict(image, points, labels, box)
+        cand, y, x = np.nonzero(np.asarray(masks)[:, : row["h"], : row["w"]])
+        return pd.DataFrame({"status": None, "cand": cand, "score": np.asarray(scores, float)[cand], "y": y + row["y0"], "x": x + row["x0"]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = factory()
         for pdf in frames:
-            out = []
             for row in pdf.to_dict("records"):
+                status, out = "ok", []
                 try:
-                    image = np.frombuffer(row["data"], np.uint8).reshape(row["h"], row["w"], 3)
-                    marks = list(row["prompts"]) if row["prompts"] is not None else []
-                    points = np.array([(p["x"] - row["x0"], p["y"] - row["y0"]) for p in marks], int).reshape(-1, 2)
-                    labels, box = np.array([p["label"] for p in marks], int), row.get("box")
-                    box = box and (box["x_min"] - row["x0"], box["y_min"] - row["y0"], box["x_max"] - row["x0"], box["y_max"] - row["y0"])
-                    masks, scores = predict(image, points, labels, box)
-                except Exception:  # noqa: BLE001  one bad patch must not end the job
-                    continue
-                cand, y, x = np.nonzero(masks)
-                out.append(pd.DataFrame({**{n: row[n] for n in by}, "cand": cand, "score": scores[cand], "y": y + row["y0"], "x": x + row["x0"]}))
-            if out:
-                yield pd.concat(out)
-
-    return patches.mapInPandas(run, f"{fields}, cand int, score double, y int, x int")
+                    out.append(answer(predict, row))
+                except Exception as e:  # noqa: BLE001  one bad patch must not end the job; it is told
+                    status = f"failed: {type(e).__name__}: {e}"
+                out.append(pd.DataFrame({"status": [status], "cand": [None], "score": [None], "y": [None], "x": [None]}))
+                told = pd.concat([o.astype({"cand": "Int32", "score": "Float64", "y": "Int32", "x": "Int32"}) for o in out])
+                yield told.assign(**{n: row[n] for n in by})[[*by, "status", "cand", "score", "y", "x"]]
+
+    return patches.mapInPandas(run, f"{fields}, status string, cand int, score double, y int, x int")
+
+
+def answers(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate pixels, calls) of segment_patches; calls: a row with the status of each patch."""
+    return made.filter("status is null").drop("status"), made.filter("status is not null").drop("cand", "score", "y", "x")
+
+
+def call_counters(calls: DataFrame, by: Key = KEY) -> DataFrame:
+    """n_masks and n_failed, the calls of the model that answered and that did not."""
+    ok = F.col("status") == "ok"
+    return calls.groupBy(*by).agg(F.count_if(ok).alias("n_masks"), F.count_if(~ok).alias("n_failed"))
 
 
 def patch_images(rgb: DataFrame, patches: DataFrame, cell: int, by: Key = KEY) -> DataFrame:
     """Patch rows with their pixels as bytes (rgb: by, c 0..2, y, x, v 0..255); only pixels of the
-    given patches are moved, so filter patches first. Short patches stay short (see padded)."""
+    given patches are moved, so filter patches first. Short patches stay short."""
     met = in_patches(rgb, patches, cell, by)
     fields = _fields(patches, by)
     sized = met.join(patches.select(*by, "patch_id", "y0", "y1", "x0", "x1"), [*by, "patch_id"])
@@ -263,17 +280,3 @@ def slice_images(rgb: DataFrame, dims: DataFrame, by: Key = KEY) -> DataFrame:
     """Whole slices (by, h, w, data) as bytes; dims tells which."""
     frames = dims.select(*by, F.lit(0).alias("patch_id"), F.lit(0).alias("y0"), F.col("h").cast("int").alias("y1"), F.lit(0).alias("x0"), F.col("w").cast("int").alias("x1"))
     return patch_images(rgb, frames, 4096, by).select(*by, "h", "w", "data")
-
-
-def padded(patches: DataFrame, size: int) -> DataFrame:
-    """Patch images shorter than size x size filled with zeros at their ends."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            data = []
-            for body, h, w in zip(pdf["data"], pdf["h"], pdf["w"], strict=True):
-                a = np.frombuffer(body, np.uint8).reshape(h, w, 3)
-                data.append(np.pad(a, ((0, max(0, size - h)), (0, max(0, size - w)), (0, 0))).tobytes())
-            yield pdf.assign(data=data, h=pdf["h"].clip(lower=size), w=pdf["w"].clip(lower=size))
-
-    return patches.mapInPandas(run, patches.schema)

@@ -47,10 +47,13 @@ def importance(gray: DataFrame, dims: DataFrame, instances: DataFrame, by: Key =
 
 
 def ridges(
-    gray: DataFrame, dims: DataFrame, sigmas: tuple[float, ...] = (1, 2, 4, 8), beta: float = 0.5, by: Key = KEY, tile: int = TILE
+    gray: DataFrame, dims: DataFrame, sigmas: tuple[float, ...] = (1, 2, 4, 8), beta: float = 0.5, by: Key = KEY, tile: int = TILE, factor: int = 1
 ) -> DataFrame:
-    """Bright ridges (Frangi 1998) of a pixel table at several scales, divided by the slice's maximum."""
-    return tiles.pixels(tiles.ridges(tiles.from_pixels(gray, dims, by, tile), sigmas, beta, by, tile), by)
+    """Bright ridges (Frangi 1998) of a pixel table at several scales, divided by the slice's maximum; ``factor``: found
+    on frames sampled down by it, and brought back."""
+    source = tiles.from_pixels(gray, dims, by, tile)
+    found = tiles.ridges(source, sigmas, beta, by, tile) if factor <= 1 else tiles.ridges_at(source, dims, factor, sigmas, by, tile)
+    return tiles.pixels(found, by)
 
 
 def _widened(runs: DataFrame, spans: list[tuple[int, int]], dims: DataFrame, by: Key) -> DataFrame:

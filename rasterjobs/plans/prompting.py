@@ -284,7 +284,7 @@ def multi_instance_run(
         rows = rows.join(held, [*pkey])
     else:
         rows = rows.withColumn("prompts", F.lit(None).cast("array<struct<y:int,x:int,label:int>>"))
-    made = saved(prompts.segment_patches(rows, factory))
+    made, _ = prompts.answers(saved(prompts.segment_patches(rows, factory)))
     mask = prompts.combine(made, made.select(*pkey, "cand", "score").distinct(), how, pkey)
     clean = prompts.clean_instances(mask, roi, dims, min_size, radius, pkey)
     return components.largest(pixels.union_masks(clean), top)
@@ -316,12 +316,13 @@ def segment_slices(
     inside = prompts.patch_share(grid, roi, patch).filter(F.col("n_roi") > 0)
     used = saved(inside.join(held, [*KEY, "patch_id"], "left_semi").dropDuplicates([*KEY, "y0", "x0"]).select(grid.columns))
     rgb = pixels.to_rgb(scaled.withColumn("v", to_byte(F.col("v"))), 3)
-    images = prompts.padded(prompts.patch_images(rgb, used, patch), min(patch, 64)).join(held, [*KEY, "patch_id"])
+    images = prompts.patch_images(rgb, used, patch).join(held, [*KEY, "patch_id"])
     pkey = (*KEY, "patch_id")
-    made = saved(prompts.segment_patches(images, factory))
+    made, calls = prompts.answers(saved(prompts.segment_patches(images, factory)))
     best = prompts.combine(made, made.select(*pkey, "cand", "score").distinct(), "best", pkey)
     mask = saved(pixels.union_masks(prompts.clean_instances(best, roi, dims, min_size, 1, pkey)))
-    counts = stats.counters(dims, {"n_points": points, "n_patches": grid, "n_used": used, "n_pixels": mask})
+    counts = stats.counters(dims, {"n_points": points, "n_patches": grid, "n_used": used, "n_pixels": mask, "n_roi": roi})
+    counts = counts.join(prompts.call_counters(calls), [*KEY], "left").fillna(0, ["n_masks", "n_failed"])
     return mask, counts
 
 
@@ -337,20 +338,21 @@ def _(v: Views) -> DataFrame:
     return counts
 
 
-def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8), z_score: bool = False, crop: bool = True) -> tuple[DataFrame, DataFrame]:
+def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8), z_score: bool = False, crop: bool = True, factor: int = 2) -> tuple[DataFrame, DataFrame]:
     """(mask pixels, counters). Ridge-prompted segmentation: patches with enough of the region get points on ridges, the
     model's masks make a probability map, which is blurred, cut, and filtered by component size,
     shape and continuity along z. Images are cropped to what is not black (``crop``) and brought to the
     region's extremes, or to its z-scores. Counters: patches, points, pixels, components before and after
-    continuity, the threshold, and the greatest and mean probability of a pixel with one."""
+    cleaning, the threshold, and the greatest and mean probability of a pixel with one. Short patches are filled up
+    to ``patch`` for the model; ``factor``: ridges are found on slices sampled down by it."""
     roi = saved(roi.select(*KEY, "y", "x"))
     if crop:
         image = saved(image)
         image = saved(pixels.crop(image, pixels.tight_crop_bounds(image, dims)))
     known = stats.roi_stats(image, roi)
     scaled = saved(stats.z_score_roi(image, known) if z_score else stats.min_max_roi(image, known))
-    ridge = saved(pixels.within(stencils.ridges(saved(pixels.to_gray(scaled)), dims, sigmas), roi))
-    grid = prompts.patch_grid(dims, patch, overlap=overlap, rule="regular")
+    ridge = saved(pixels.within(stencils.ridges(saved(pixels.to_gray(scaled)), dims, sigmas, factor=factor), roi))
+    grid = saved(prompts.patch_grid(dims, patch, overlap=overlap, rule="regular"))
     used = saved(prompts.patch_share(grid, roi, patch).filter(F.col("share") >= share).select(grid.columns))
     pkey = (*KEY, "patch_id")
     local = lambda px, keep: prompts.in_patches(px, used, patch).select(*pkey, "y", "x", *keep)
@@ -358,7 +360,7 @@ def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 10
     held = points.groupBy(*pkey).agg(F.collect_list(F.struct("y", "x", "label")).alias("prompts"))
     rgb = pixels.to_rgb(scaled.withColumn("v", to_byte(F.col("v"))), 3)
     images = prompts.patch_images(rgb, used.join(held, [*pkey], "left_semi"), patch).join(held, [*pkey])
-    made = saved(prompts.segment_patches(images, factory))
+    made, calls = prompts.answers(saved(prompts.segment_patches(images, factory, pad=patch)))
     best = made.join(prompts.best_candidate(made.select(*pkey, "cand", "score").distinct(), pkey), [*pkey, "cand"], "left_semi")
     prob = saved(prompts.probability_map(best))
     blurred = saved(stencils.gaussian(prob.withColumnRenamed("p", "v"), dims, 1))
@@ -367,9 +369,16 @@ def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 10
     labelled = saved(components.label(kept, KEY, 8))
     stays = saved(components.continuity(kept, slices=dims, labelled=labelled))
     mask = saved(pixels.within(components.pixels(components.keep(labelled, stays.filter("stays"))).select(*KEY, "y", "x"), roi))
-    counts = stats.counters(dims, {"n_patches": used, "n_points": points, "n_pixels": mask, "n_before": stays, "n_after": stays.filter("stays")})
+    # components right after the threshold, before small and short ones go
+    before = components.count(components.label(found.select(*KEY, "y", "x"), KEY, 8)).withColumnRenamed("n_components", "n_before")
+    counts = stats.counters(dims, {
+        "n_patches_total": grid, "n_patches": used, "n_prompted": held, "n_points": points, "n_probable": prob, "n_pixels": mask,
+        "n_cleaned": stays, "n_after": stays.filter("stays"),
+    })
+    counts = counts.join(prompts.call_counters(calls), [*KEY], "left").join(before, [*KEY], "left").fillna(0, ["n_masks", "n_failed", "n_before"])
+    counts = counts.withColumn("points_per_patch", F.when(F.col("n_patches") > 0, F.col("n_points") / F.col("n_patches")).otherwise(0.0))
     top = prob.groupBy(*KEY).agg(F.max("p").alias("p_max"), F.avg("p").alias("p_mean"))
-    counts = counts.withColumn("n_removed", F.col("n_before") - F.col("n_after")).join(limits, [*KEY], "left").join(top, [*KEY], "left")
+    counts = counts.withColumn("n_removed", F.col("n_cleaned") - F.col("n_after")).join(limits, [*KEY], "left").join(top, [*KEY], "left")
     return mask, counts
 
 

@@ -278,6 +278,45 @@ def test_ridge_run_answers_to_wide_ridges(spark, monkeypatch):
     assert middle[0] > 0.5 and middle[1] < 0.1
 
 
+def test_calls_that_fail_are_told_and_short_patches_filled(spark):
+    """A model that fails on dark patches; it sees patches of the full size, and only their own pixels come back."""
+
+    def factory():
+        def predict(image, points, labels, box):
+            assert image.shape == (8, 8, 3)
+            if image.max() < 9:
+                raise ValueError("too dark")
+            return np.stack([image[..., 0] >= 0, image[..., 0] > 50]), np.array([0.5, 1])
+
+        return predict
+
+    body = lambda h, w, v: np.full((h, w, 3), v, np.uint8).tobytes()
+    rows = [("S", 0, 0, 4, 6, 8, 8, body(8, 8, 60), [(7, 5, 1)]), ("S", 0, 1, 0, 0, 3, 5, body(3, 5, 200), None), ("S", 1, 0, 0, 0, 8, 8, body(8, 8, 3), [])]
+    patches = spark.createDataFrame(rows, "subject string, z int, patch_id int, y0 int, x0 int, h int, w int, data binary, prompts array<struct<y:int,x:int,label:int>>")
+    made, calls = prompts.answers(prompts.segment_patches(patches, factory, pad=8))
+    assert {(r.z, r.patch_id): r.status for r in calls.collect()} == {(0, 0): "ok", (0, 1): "ok", (1, 0): "failed: ValueError: too dark"}
+    got = {}
+    for r in made.collect():
+        got.setdefault((r.z, r.patch_id, r.cand, r.score), set()).add((r.y, r.x))
+    full, short = {(y, x) for y in range(4, 12) for x in range(6, 14)}, {(y, x) for y in range(3) for x in range(5)}
+    assert got == {(0, 0, 0, 0.5): full, (0, 0, 1, 1.0): full, (0, 1, 0, 0.5): short, (0, 1, 1, 1.0): short}
+    counts = {r.z: (r.n_masks, r.n_failed) for r in prompts.call_counters(calls).collect()}
+    assert counts == {0: (2, 0), 1: (0, 1)}
+
+
+def test_ridge_counters_are_taken_where_the_run_takes_them(spark):
+    """Components right after the threshold, patches in all and used, answers of the model, which is as sure everywhere
+    here, so nothing exceeds the percentile."""
+    a = np.full((48, 48), 20)
+    a[10:13, 4:44], a[30:33, 4:44], a[40:42, 4:7] = 220, 220, 220
+    image, dims = scene(spark, a)
+    roi = table(spark, [np.ones((48, 48))]).drop("cls")
+    found, counts = prompting.ridge_run(image, roi, dims, patch=32, long=10, sigmas=(1, 2), factor=1, crop=False)
+    r = counts.first()
+    assert r.n_patches_total == 4 and 0 < r.n_prompted <= r.n_patches <= 4 and r.n_masks == r.n_prompted and r.n_failed == 0
+    assert r.n_before >= r.n_cleaned >= r.n_after == found.count() == 0 and r.n_removed == r.n_cleaned - r.n_after and r.points_per_patch == r.n_points / r.n_patches
+
+
 def test_negatives_fall_back_to_a_grid(spark):
     """Instance 1 is long and its dilation covers the region: the grid's far points; 2 has none far enough."""
     rows = [("S", 0, 1, 40, x) for x in range(120)] + [("S", 1, 2, 8, x) for x in range(20)]
