@@ -145,6 +145,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs, empty).select("score").distinct().count() == 1
 
 
+def test_license_scan_equals_patterns_over_whole_texts():
+    """Brute force: every notice's pattern over all of every mutated text, and every place of the base phrases."""
+    scanner, draw = licenses.Scanner(licenses.BASE, licenses.NOTICES), random.Random(5)
+    fill = "the code is here under a license and may be used by all without any version 2 of it mit apache cc by".split(" ")
+    hits = 0
+    for _ in range(400):
+        parts = [" ".join(draw.choice(fill) for _ in range(draw.randint(0, 9)))]
+        for notice in draw.sample(licenses.NOTICES, 2):
+            body = list(notice.phrase)
+            for _ in range(draw.randint(0, notice.errors + 2)):
+                k = draw.randrange(len(body))
+                body[k : k + 1] = draw.choice([["q"], [], [body[k], "q"]])
+            parts += ["".join(body) + notice.tail, draw.choice(fill)]
+        parts += [draw.choice(licenses.BASE)[0]] * draw.randint(0, 2)
+        text = " ".join(parts)
+        words, exact, spans = scanner.scan(text.encode())
+        line = " " + " ".join(words_of(text)) + " "
+        want = {n.label for n, p in zip(licenses.NOTICES, scanner.patterns, strict=True) if p.search(line)}
+        assert {x["label"] for x in spans} == want and words == len(words_of(text))
+        for x in spans:  # a span's words hold the notice with as many edits as are told
+            inside = " " + " ".join(words_of(text)[x["first"] : x["end"]]) + " "
+            told = [sum(m.fuzzy_counts) for n, p in zip(licenses.NOTICES, scanner.patterns, strict=True) if n.label == x["label"] and (m := p.search(inside))]
+            assert told and min(told) <= x["errors"]
+        held = words_of(text)
+        assert sorted((x["label"], x["first"]) for x in exact) == sorted(
+            (label, i) for phrase, label in licenses.BASE for i in range(len(held)) if held[i : i + len(phrase.split(" "))] == phrase.split(" ")
+        )
+        hits += len(want)
+    assert hits > 200
+
+
 def test_a_long_text_is_scored_as_a_whole(monkeypatch):
     text = " ".join(t for _, t in toxic_rows()).encode()
     whole = [x[3].tolist() for x in toxicity.features([b"a b c d e f", text, b"q" * 40])]
@@ -274,7 +305,17 @@ def test_scoring_sums_and_probabilities(spark):
         assert r.base_score == pytest.approx(sum(math.log10((learned[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens))
         assert r.score < 0
     held = [r for r in got if r.doc_id is not None and r.doc_id % 5 == 1 and r.doc_id < 9000]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.5
+    # the words are drawn one by one, so their frequencies are all there is to learn: not 5 % worse than these
+    assert 1.05 * sum(r.base_score for r in held) < sum(r.score for r in held) < 0
+
+
+def test_scores_of_ordered_texts_are_far_above_the_base(spark):
+    """Words follow each other in one order, which frequencies do not tell; log probabilities are negative."""
+    order = "amber birch cedar daisy elder fern grass hazel iris juniper".split(" ")
+    rows = [(i, " ".join(order[(i * 7 + k) % 10] for k in range(30))) for i in range(80)]
+    got = pitmanyor.score(frame(spark, rows), F.col("doc_id") % 5 != 1, chunk_count=2).collect()
+    held = [r for r in got if r.doc_id % 5 == 1]
+    assert len(held) == 16 and all(0.3 * r.base_score < r.score < 0 for r in held)
 
 
 def test_predictions_of_a_context_sum_to_one():
