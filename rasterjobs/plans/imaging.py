@@ -405,6 +405,8 @@ def gray_tiles(v: Views, tile: int = 64) -> DataFrame:
     corner = lambda n: F.explode(F.sequence(F.lit(0), F.expr(f"({n} - 1) div {tile} * {tile}").cast("int"), F.lit(tile)))
     empty = sized.withColumn("y0", corner("fh")).withColumn("x0", corner("fw"))
     empty = empty.withColumn("h", F.least(F.lit(tile), F.col("fh") - F.col("y0"))).withColumn("w", F.least(F.lit(tile), F.col("fw") - F.col("x0")))
+    # the places are few bytes and would be one task, but what is drawn at them is not
+    empty = empty.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions")), *KEY, "y0", "x0")
     return tiles.mapped(tiles.classes(empty, truth_runs(v), (*KEY,), tile), draw)
 
 
