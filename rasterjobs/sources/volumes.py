@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import chunks
+from . import images as images_of
 
 
 def list_store_arrays(spark: SparkSession, *roots: str) -> DataFrame:
@@ -63,22 +64,37 @@ def tile_pixels(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, "subject string, modality string, z int, c int, y int, x int, v double")
 
 
-def read_pred_masks(spark: SparkSession, path: str, pattern: str = r"slice_(\d+)_pred", threshold: int = 127) -> tuple[DataFrame, DataFrame]:
-    """(slices, runs): the size of each image whose name fits, and the runs of its pixels above the
-    threshold. All-black images keep their row in slices."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def read_pred_masks(
+    spark: SparkSession, path: str, pattern: str = r"slice_(\d+)_pred", threshold: int = 127, keys: tuple[str, ...] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(slices, runs): the size of each image whose name fits, and the runs of its pixels above the threshold.
+    All-black images keep their row in slices.
+
+    ``keys``: columns such as model and subject, from folders ``<key>=<value>`` in the path (percent-encoded, as
+    write_mask_files lays them out); images outside such folders have null keys."""
+    reader = spark.read.format("image").option("dropInvalid", True)
+    images = (reader.option("recursiveFileLookup", True) if keys else reader).load(path).select("image.*")
     images = images.withColumn("z", F.regexp_extract("origin", pattern, 1)).filter("z <> ''").withColumn("z", F.col("z").cast("int"))
 
+    def of_path(key: str) -> Column:
+        # the origin is a URI, whose % of the file name is encoded once more
+        found = F.url_decode(F.url_decode(F.replace(F.regexp_extract("origin", rf"/{key}=([^/]*)/", 1), F.lit("+"), F.lit("%2B"))))
+        return F.when(~found.isin("", images_of.NO_VALUE), found).alias(key)
+
+    images = images.select(*[of_path(k) for k in keys], "z", "height", "width", "nChannels", "data")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for r in pdf.itertuples():
-                on = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[:, :, 0] > threshold
+            for r in pdf.to_dict("records"):
+                on = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])[:, :, 0] > threshold
                 edge = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
                 y, x0 = np.nonzero(edge == 1)
-                yield pd.DataFrame({"z": r.z, "y": y, "x0": x0, "x1": np.nonzero(edge == -1)[1] - 1})
+                own = {k: np.full(len(y), r[k], object) for k in keys}
+                yield pd.DataFrame({**own, "z": r["z"], "y": y, "x0": x0, "x1": np.nonzero(edge == -1)[1] - 1})
 
-    runs = images.select("z", "height", "width", "nChannels", "data").mapInPandas(run, "z int, y int, x0 int, x1 int")
-    return images.select("z", F.col("height").alias("h"), F.col("width").alias("w")), runs
+    fields = "".join(f"`{k}` string, " for k in keys)
+    runs = images.mapInPandas(run, f"{fields}z int, y int, x0 int, x1 int")
+    return images.select(*keys, "z", F.col("height").alias("h"), F.col("width").alias("w")), runs
 
 
 def grey_png(a: np.ndarray) -> bytes:
@@ -103,8 +119,12 @@ def mask_pngs(runs: DataFrame, dims: DataFrame, by: tuple[str, ...] = ("subject"
     return rows.groupBy(*by).applyInPandas(one, f"{fields}, png binary")
 
 
-def write_masks(runs: DataFrame, path: str, partition: tuple[str, ...] = ("subject",)) -> None:
-    runs.write.mode("overwrite").partitionBy(*partition).parquet(path)
+def write_mask_files(runs: DataFrame, dims: DataFrame, path: str, by: tuple[str, ...] = ("subject", "z"), overwrite: bool = False) -> None:
+    """One PNG a slice of dims, black where it has no runs, in folders of the keys beside z; ``images`` says how."""
+    runs.sparkSession.dataSource.register(images_of.MaskFiles)
+    keys = [n for n in by if n != "z"]
+    writer = mask_pngs(runs, dims, by).write.format("mask_files").option("keys", ",".join(keys))
+    writer.mode("overwrite" if overwrite else "append").save(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

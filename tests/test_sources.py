@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterjobs.operators import pixels
-from rasterjobs.sources import chunks, volumes
+from rasterjobs.sources import chunks, images, volumes
 
 
 def put_v2(root, a, chunks, squeeze=None):
@@ -150,6 +150,47 @@ def test_png_round_trip(spark, tmp_path):
     assert {(r.z, r.y, r.x) for r in pixels.pixels_of(runs).collect()} == {(0, 1, 0), (0, 1, 1), (0, 1, 4), (0, 2, 4)}
 
 
+def masks_of(spark):
+    """Runs and sizes of two models and two subjects, one of an odd name; slice 1 is black."""
+    names = [(m, s) for m in ("one", "two") for s in ("01", "a b/c=50%+é")]
+    runs = [(m, s, 0, y, i, i + 2) for i, (m, s) in enumerate(names) for y in (0, 3)]
+    dims = [(m, s, z, 6, 8) for m, s in names for z in (0, 1)]
+    kinds = "model string, subject string, z int, "
+    return spark.createDataFrame(runs, kinds + "y int, x0 int, x1 int"), spark.createDataFrame(dims, kinds + "h int, w int")
+
+
+def test_mask_files_of_models_and_subjects(spark, tmp_path):
+    runs, dims = masks_of(spark)
+    by, path = ("model", "subject", "z"), str(tmp_path / "masks")
+    volumes.write_mask_files(runs, dims, path, by)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    slices, back = volumes.read_pred_masks(spark, path, keys=("model", "subject"))
+    assert rows(slices) == rows(dims) and rows(back) == rows(runs)
+    files = sorted(str(f.relative_to(path)) for f in (tmp_path / "masks").rglob("*") if f.is_file() and f.suffix != ".crc")
+    assert len(files) == 8 and "model=one/subject=01/slice_0001_pred.png" in files
+    # a file that is there stays, unless it may be replaced
+    with pytest.raises(Exception, match="there already"):
+        volumes.write_mask_files(runs.limit(0), dims, path, by)
+    assert rows(volumes.read_pred_masks(spark, path, keys=("model", "subject"))[1]) == rows(runs)
+    volumes.write_mask_files(runs.limit(0), dims, path, by, overwrite=True)
+    slices, back = volumes.read_pred_masks(spark, path, keys=("model", "subject"))
+    assert rows(slices) == rows(dims) and rows(back) == []
+
+
+def test_failed_tasks_leave_no_mask_file(spark, tmp_path):
+    runs, dims = masks_of(spark)
+    path = tmp_path / "masks"
+    spark.dataSource.register(images.MaskFiles)
+    rows = volumes.mask_pngs(runs, dims, ("model", "subject", "z"))
+    broken = rows.withColumn("png", F.when((F.col("z") == 1) & (F.col("model") == "two"), None).otherwise(F.col("png")))
+    twice = rows.unionByName(rows.limit(1))
+    for bad, told in ((broken, "needs z and png"), (twice, "same place")):
+        with pytest.raises(Exception, match=told):
+            bad.write.format("mask_files").mode("append").save(str(path))
+        assert not path.exists() or [f for f in path.rglob("*") if f.is_file()] == []
+    assert volumes.write_mask_files(runs.limit(0), dims.limit(0), str(path), ("model", "subject", "z")) is None
+
+
 def test_metrics_file(spark, tmp_path):
     df = spark.createDataFrame([("001", 0.5, None)], "slice string, dice double, recall double")
     volumes.write_metrics(df, str(tmp_path / "m"))
