@@ -20,6 +20,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table that every task may hold beside its own.
+FEW = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A computed table, broadcast where it has no more than FEW rows; else joins shuffle, and AQE splits skewed keys."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def _to_least(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Each neighbour v of a node u, and u, linked to the least of them."""
     least = pairs.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("_m"))

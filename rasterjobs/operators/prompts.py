@@ -14,6 +14,7 @@ from ..functions.columns import shuffled
 from . import components, stats
 from . import pixels as px_ops
 from .components import _fields
+from .graph import few, saved
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -88,23 +89,28 @@ def density_prompts(density: DataFrame, roi: DataFrame, dims: DataFrame, seed: i
 
 def farthest_points(px: DataFrame, seed: int = 0, k: int | None = None, by: Key = KEY) -> DataFrame:
     """k points of each group (or its column k) spread apart: the first by hash, each next the one
-    farthest from those taken; ties in scan order. Groups with no more than k keep all."""
-    wanted = F.lit(k) if k is not None else F.col("k")
-    rows = px.select(*by, "y", "x", wanted.cast("int").alias("_k"), shuffled(seed, *by, "y", "x").alias("_h"))
+    farthest from those taken; ties in scan order. Groups with no more than k keep all; repeated pixels are one.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"], ignore_index=True)
-        at, k = pdf[["y", "x"]].to_numpy(float), int(pdf["_k"].iloc[0])
-        chosen = [int(pdf["_h"].to_numpy().argmin())] if k > 0 else []
-        gap = np.full(len(at), np.inf)
-        while chosen and len(chosen) < min(k, len(at)):
-            gap = np.minimum(gap, ((at - at[chosen[-1]]) ** 2).sum(axis=1))
-            chosen.append(int(gap.argmax()))
-        out = pdf.loc[chosen, [*by, "y", "x"]].copy()
-        out["ord"] = np.arange(1, len(chosen) + 1, dtype=np.int32)
-        return out[[*by, "ord", "y", "x"]]
-
-    return rows.groupBy(*by).applyInPandas(one, f"{_fields(px, by)}, ord int, y int, x int")
+    One round of aggregates a point (the greatest k of them): partitions give their farthest pixel of each group, and
+    these meet. Only the points taken, k a group, are joined to the pixels; no group comes together in one task."""
+    wanted = F.lit(k) if k is not None else F.col("k")
+    rows = saved(px.select(*by, "y", "x", wanted.cast("int").alias("_k")).filter(F.col("_k") > 0))
+    place = F.struct("y", "x")
+    first = rows.groupBy(*by).agg(F.min_by(place, F.struct(shuffled(seed, *by, "y", "x"), "y", "x")).alias("_p"), F.max("_k").alias("_k"))
+    taken = saved(first.select(*[F.col(n).alias(f"_b{i}") for i, n in enumerate(by)], F.col("_k").alias("_most"), F.array("_p").alias("_taken")))
+    on = F.expr(" and ".join(f"`{n}` <=> _b{i}" for i, n in enumerate(by)))
+    keys = [f"_b{i}" for i in range(len(by))]
+    far = lambda t: F.pow(F.col("y") - t["y"], 2) + F.pow(F.col("x") - t["x"], 2)
+    for n in range(1, taken.agg(F.max("_most")).first()[0] or 0):
+        gap = F.array_min(F.transform("_taken", far))
+        open_ = rows.join(few(taken).filter(F.col("_most") > n), on).select(*keys, "y", "x", gap.alias("_gap")).filter(F.col("_gap") > 0)
+        last = open_.groupBy(*keys).agg(F.max_by(place, F.struct("_gap", -F.col("y"), -F.col("x"))).alias("_p"))
+        last = last.select(*[F.col(b).alias(f"_l{b}") for b in keys], "_p")
+        met = taken.join(last, F.expr(" and ".join(f"{b} <=> _l{b}" for b in keys)), "left")
+        longer = F.when(F.col("_p").isNull(), F.col("_taken")).otherwise(F.concat("_taken", F.array("_p")))
+        taken = saved(met.select(*keys, "_most", longer.alias("_taken")))
+    out = taken.select(*[F.col(b).alias(n) for b, n in zip(keys, by, strict=True)], F.posexplode("_taken").alias("_o", "_p"))
+    return out.select(*by, (F.col("_o") + 1).alias("ord"), "_p.y", "_p.x")
 
 
 def two_apart(px: DataFrame, seed: int = 0, by: Key = KEY) -> DataFrame:

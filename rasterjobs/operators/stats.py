@@ -4,21 +4,89 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, ShortType
 from pyspark.sql.window import Window
 
 from ..functions.columns import EPSILON, clip, shuffled
+from .graph import few, saved
 from .pixels import within
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
 
 
-def percentiles(px: DataFrame, ps: dict[str, float], value: str = "v", by: Key = KEY) -> DataFrame:
+#: Distinct values of a group, or of what is left of it, that one task may order.
+GATHERED = 65_536
+#: Values that cut an interval in a round of selection.
+CUTS = 63
+
+
+def percentiles(px: DataFrame, ps: dict[str, float], value: str = "v", by: Key = KEY, gathered: int = GATHERED) -> DataFrame:
     """Exact percentiles with linear interpolation, one column for each name in ps (0..100).
 
-    Equal values are counted first, so of integer pixels at most one row a value is moved."""
+    Equal values are counted first. Of 8- and 16-bit pixels at most 65,536 values a group are left, and so the percentiles
+    are taken at once. Of other kinds, where a group has more than ``gathered`` distinct values all go through ``selected``, so
+    no task orders a group. Nulls do not count; a NaN is greater than all numbers; groups of nulls alone have null percentiles."""
     counted = px.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*by).agg(*[F.percentile(value, p / 100, F.col("_n")).alias(n) for n, p in ps.items()])
+    plain = lambda df: df.groupBy(*by).agg(*[F.percentile(value, p / 100, F.col("_n")).alias(n) for n, p in ps.items()])
+    if isinstance(px.schema[value].dataType, ByteType | ShortType):
+        return plain(counted)
+    counted = saved(counted)
+    sizes = counted.groupBy(*by).agg(F.count(value).alias("_m"), F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))).alias("_rows"))
+    if sizes.filter(F.col("_m") > gathered).isEmpty():
+        return plain(counted)
+    return selected(counted.filter(F.col(value).isNotNull()), sizes, ps, value, by, gathered)
+
+
+def same(a: DataFrame, b: DataFrame, by: Key) -> Column:
+    """Keys are equal, nulls too."""
+    cond = F.lit(True)
+    for n in by:
+        cond = cond & a[n].eqNullSafe(b[n])
+    return cond
+
+
+def selected(counted: DataFrame, sizes: DataFrame, ps: dict[str, float], value: str, by: Key, gathered: int = GATHERED) -> DataFrame:
+    """Percentiles of counted values (by, value, _n) of groups of _rows rows, by rounds of selection.
+
+    Each rank that is asked for has an interval of values. A round cuts it at CUTS approximate quantiles of its distinct
+    values, counts rows between the cuts (partial counts meet, never values), and keeps the piece that holds the rank,
+    from its own least to its own greatest value. Pieces of no more than ``gathered`` values are ordered in a window."""
+    at = lambda p: (F.col("_rows") - 1) * (p / 100)
+    asked = F.array(*[f(at(p)).cast("bigint") for p in ps.values() for f in (F.floor, F.ceil)])
+    ranks = saved(sizes.filter(F.col("_rows").isNotNull()).select(*[F.col(n).alias(f"_b{i}") for i, n in enumerate(by)], F.explode(F.array_distinct(asked)).alias("_rank")))
+    keys = tuple(f"_b{i}" for i in range(len(by)))
+    rows = counted.select(*[F.col(n).alias(k) for k, n in zip(keys, by, strict=True)], F.col(value).alias("_v"), "_n")
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    first = ends.join(ranks, same(ends, ranks, keys)).select(*[ranks[k] for k in keys], "_rank", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"))
+    own, todo = (*keys, "_rank"), saved(first)
+    upto = lambda *on: Window.partitionBy(*on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    holds = (F.col("_cum") > F.col("_rank") - F.col("_below")) & (F.col("_cum") - F.col("_s") <= F.col("_rank") - F.col("_below"))
+    cuts = F.percentile_approx("_v", [i / (CUTS + 1) for i in range(1, CUTS + 1)], 1_000)
+    while True:
+        there = rows.alias("r").join(few(todo).alias("t"), F.expr(" and ".join(f"r.{k} <=> t.{k}" for k in keys) + " and r._v >= t._lo and r._v <= t._hi"))
+        held = there.select(*[F.col(f"t.{k}").alias(k) for k in keys], "_rank", "_below", "_v", "_n")
+        cut = held.groupBy(*own).agg(F.count("*").alias("_m"), cuts.alias("_cuts"))
+        cut = saved(cut.select(*[F.col(k).alias(f"_c{k}") for k in own], "_m", "_cuts"))
+        if cut.filter(F.col("_m") > gathered).isEmpty():
+            break
+        met = held.join(few(cut), F.expr(" and ".join(f"{k} <=> _c{k}" for k in own)))
+        # what is small enough stays one piece
+        piece = F.when(F.col("_m") > gathered, F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).otherwise(0)
+        pieces = met.groupBy(*own, "_below", piece.alias("_piece")).agg(F.sum("_n").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        pieces = pieces.withColumn("_cum", F.sum("_s").over(upto(*own).orderBy("_piece"))).filter(holds)
+        todo = saved(pieces.select(*own, "_lo", "_hi", (F.col("_below") + F.col("_cum") - F.col("_s")).alias("_below")))
+    found = held.withColumnRenamed("_n", "_s").withColumn("_cum", F.sum("_s").over(upto(*own).orderBy("_v"))).filter(holds)
+    pair = F.struct("_rank", F.col("_v").cast("double").alias("_v"))
+    told = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(pair)).alias("_at"))
+    both = sizes.join(told, F.expr(" and ".join(f"`{n}` <=> {k}" for n, k in zip(by, keys, strict=True))), "left")
+
+    def between(p: float) -> Column:
+        low, high = F.floor(at(p)).cast("bigint"), F.ceil(at(p)).cast("bigint")
+        a, b = F.col("_at")[low], F.col("_at")[high]
+        return F.when((low == high) | (a == b), a).otherwise((high - at(p)) * a + (at(p) - low) * b)
+
+    return both.select(*[F.col(f"`{n}`") for n in by], *[between(p).alias(n) for n, p in ps.items()])
 
 
 def roi_stats(image: DataFrame, roi: DataFrame, by: Key = KEY) -> DataFrame:
@@ -50,7 +118,7 @@ def histogram(prob: DataFrame, bins: int = 50, value: str = "p") -> DataFrame:
 
 def sample(px: DataFrame, k: int, seed: int, by: Key = KEY, also: Key = ("y", "x")) -> DataFrame:
     """At most k rows a group in an order fixed by md5 of seed and key: the same under any
-    partitioning. Adds ord from 1."""
+    partitioning. Adds ord from 1. Spark keeps k rows a group in each partition before they meet."""
     order = Window.partitionBy(*by).orderBy(shuffled(seed, *by, *also), *also)
     return px.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= k)
 

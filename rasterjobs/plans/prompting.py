@@ -231,7 +231,7 @@ def instance_prompts(image: DataFrame, roi: DataFrame, dims: DataFrame, inst: Da
     by = (*KEY, "inst_id")
     inst, roi = saved(inst), saved(roi.select(*KEY, "y", "x"))
     field = saved(stencils.importance(pixels.to_gray(image), dims, inst))
-    limit = field.groupBy(*by).agg(F.percentile("v", 0.9).alias("_t"))
+    limit = stats.percentiles(field, {"_t": 90}, by=by)
     strong = field.join(limit, [*by]).filter(F.col("v") >= F.col("_t"))
     k = inst.groupBy(*by).agg(prompts.adaptive_count(F.count("*")).alias("k"))
     positive = prompts.farthest_points(strong.select(*by, "y", "x").join(k, [*by]), seed, None, by)
