@@ -47,7 +47,7 @@ def by_hand(points, first, k):
     return chosen
 
 
-@pytest.mark.parametrize("k", [0, 2, 5])
+@pytest.mark.parametrize("k", [0, 1, 2, 5])
 def test_farthest_points_equal_a_greedy_search(spark, k):
     draw = np.random.default_rng(k)
     groups = {("S", z): sorted({tuple(map(int, p)) for p in draw.integers(0, 12, (n, 2))}) for z, n in enumerate((1, 3, 40, 90))}
