@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from . import pixels as px_ops
 from .graph import least_reached, saved
+from .runs import sampled
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -252,7 +253,7 @@ def touched(labelled: DataFrame, mask: DataFrame, by: Key = KEY) -> DataFrame:
 
 def continuity(
     px: DataFrame, subject: Key = ("subject",), order: str = "z", min_share: float = 0.02, min_area: int = 1000,
-    slices: DataFrame | None = None, labelled: DataFrame | None = None,
+    slices: DataFrame | None = None, labelled: DataFrame | None = None, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Per component (8-connected) of each slice: area and whether it stays.
 
@@ -260,7 +261,8 @@ def continuity(
     before and is smaller than min_area; nothing goes where that slice kept nothing. ``slices``: the
     slices that were processed; one without pixels keeps nothing, one that is not in the table was
     skipped and does not count (without the table: those that have pixels). ``labelled``: the mask's
-    labelled runs, if they are known. Overlaps between all components of consecutive slices are
+    labelled runs, if they are known. ``sizes`` (subject, order, h, w): slices have frames of their own, and what
+    stayed before is brought to the slice's size by nearest places. Overlaps between all components of consecutive slices are
     joined first; the chain along z then runs over this small table, one group a subject.
     """
     by = (*subject, order)
@@ -268,6 +270,9 @@ def continuity(
     every = (labelled if slices is None else slices).select(*by).distinct()
     steps = every.withColumn("_next", F.lead(order).over(Window.partitionBy(*subject).orderBy(order)))
     earlier = labelled.join(steps, [*by]).filter(F.col("_next").isNotNull())
+    if sizes is not None:
+        own, its = (sizes.select(*subject, F.col(order).alias(o), F.col("h").alias(f"_h{n}"), F.col("w").alias(f"_w{n}")) for o, n in ((order, 0), ("_next", 1)))
+        earlier = sampled(earlier.join(own, [*by]).join(its, [*subject, "_next"]), ("_h0", "_w0"), ("_h1", "_w1"))
     earlier = earlier.select(*subject, F.col("_next").alias(order), "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("comp_id").alias("prev"))
     met = labelled.join(earlier, [*by, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
     shared = met.groupBy(*by, "comp_id", "prev").agg(F.sum(F.least("x1", "_b") - F.greatest("x0", "_a") + 1).alias("shared"))

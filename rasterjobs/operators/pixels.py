@@ -70,6 +70,14 @@ def crop(px: DataFrame, crops: DataFrame, by: Key = KEY) -> DataFrame:
     return held.drop("_y0", "_h", "_x0", "_w")
 
 
+def crop_runs(runs: DataFrame, crops: DataFrame, by: Key = KEY) -> DataFrame:
+    """Runs (y, x0, x1) cut to a slice's crop box; coordinates stay those of the full frame."""
+    box = crops.select(*by, F.col("y0").alias("_y0"), F.col("h").alias("_h"), F.col("x0").alias("_x0"), F.col("w").alias("_w"))
+    cut = runs.join(box, [*by]).filter("y >= _y0 and y < _y0 + _h")
+    cut = cut.withColumns({"x0": F.greatest("x0", "_x0"), "x1": F.least(F.col("x1"), F.col("_x0") + F.col("_w") - 1)}).filter("x0 <= x1")
+    return cut.select(*runs.columns)
+
+
 def bounds(px: DataFrame, by: Key = KEY) -> DataFrame:
     """y_min, y_max, x_min, x_max, all inclusive; slices without pixels have no row."""
     return px.groupBy(*by).agg(
@@ -116,7 +124,7 @@ def resize_nearest(px: DataFrame, dims: DataFrame, target: DataFrame, rule: str
     return out.drop("y", "x").withColumnsRenamed({"_y": "y", "_x": "x"}).select(*px.columns)
 
 
-def _tap_table(sizes: DataFrame, source: str, target: str, by: Key, axis: str) -> DataFrame:
+def tap_table(sizes: DataFrame, source: str, target: str, by: Key, axis: str) -> DataFrame:
     """Two source places and weights for each target place: half-pixel centres, clamped edges."""
     at = sizes.select(*by, source, target, F.explode(F.sequence(F.lit(0), F.col(target) - 1)).alias(f"_{axis}"))
     at = at.withColumn("_s", (F.col(f"_{axis}") + 0.5) * F.col(source) / F.col(target) - 0.5)
@@ -136,9 +144,13 @@ def resize_linear(image: DataFrame, dims: DataFrame, target: DataFrame, by: Key
     sizes = dims.select(*by, F.col("h").alias("_hs"), F.col("w").alias("_ws")).join(
         target.select(*by, F.col("h").alias("_ht"), F.col("w").alias("_wt")), [*by]
     )
+    return weighted(image, tap_table(sizes, "_hs", "_ht", by, "y"), tap_table(sizes, "_ws", "_wt", by, "x"), by)
+
+
+def weighted(image: DataFrame, rows: DataFrame, cols: DataFrame, by: Key = KEY) -> DataFrame:
+    """Sums of an image's values by tables of target places (_y, _x), source places (y, x) and weights (_ky, _kx)."""
     group = [*by, *(c for c in ("c",) if c in image.columns)]
-    rows, cols = _tap_table(sizes, "_hs", "_ht", by, "y"), _tap_table(sizes, "_ws", "_wt", by, "x")
-    # one axis after the other: each pass sums two taps
+    # one axis after the other: each pass sums an axis' few taps
     tall = image.join(rows, [*by, "y"]).groupBy(*group, F.col("_y"), "x").agg(F.sum(F.col("v") * F.col("_ky")).alias("v"))
     wide = tall.join(cols, [*by, "x"]).groupBy(*group, "_y", "_x").agg(F.sum(F.col("v") * F.col("_kx")).alias("v"))
     return wide.select(*group, F.col("_y").alias("y"), F.col("_x").alias("x"), "v")
@@ -187,6 +199,14 @@ def union_masks(px: DataFrame, by: Key = KEY) -> DataFrame:
     return px.select(*by, "y", "x").distinct()
 
 
+def first_filled(first: DataFrame, *others: DataFrame, by: Key = KEY) -> DataFrame:
+    """Each slice's pixels from the first of several masks that has any there."""
+    out = first.select(*by, "y", "x")
+    for mask in others:
+        out = out.unionByName(mask.select(*by, "y", "x").join(out.select(*by).distinct(), [*by], "left_anti"))
+    return out
+
+
 def max_stitch(px: DataFrame, value: str = "p", by: Key = KEY) -> DataFrame:
     """Overlapping patches' values made one by the greatest."""
     return px.groupBy(*by, "y", "x").agg(F.max(value).alias(value))

@@ -55,6 +55,21 @@ def merged(runs: DataFrame, by: Key = KEY, same: Key = ()) -> DataFrame:
     return numbered.groupBy(*by, "y", "_g", *same).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).select(*by, "y", "x0", "x1", *same)
 
 
+def sampled(runs: DataFrame, source: tuple[str, str], target: tuple[str, str], names: tuple[str, str, str] = ("y", "x0", "x1")) -> DataFrame:
+    """Runs of frames brought to another size by nearest places, target i from the floor of i * source / target; sizes are
+    columns (height, width), ``names`` the run's own. A run stays one: its ends are where the first and last such i lie.
+    Rows are repeated or left out, runs that no place falls on go, and runs may come to touch (see merged)."""
+    y, a, b = names
+    first = lambda c, n, to: F.expr(f"cast((cast({c} as bigint) * {to} + {n} - 1) div {n} as int)")
+    ends = runs.withColumns({
+        "_ya": first(y, source[0], target[0]), "_yb": first(f"({y} + 1)", source[0], target[0]) - 1,
+        a: first(a, source[1], target[1]), b: first(f"({b} + 1)", source[1], target[1]) - 1,
+    })
+    # a sequence would count down
+    held = ends.filter(f"_ya <= _yb and {a} <= {b}")
+    return held.withColumn(y, F.explode(F.sequence("_ya", "_yb"))).drop("_ya", "_yb")
+
+
 def union(*masks: DataFrame, by: Key = KEY) -> DataFrame:
     return merged(reduce(DataFrame.unionByName, [m.select(*by, "y", "x0", "x1") for m in masks]), by)
 

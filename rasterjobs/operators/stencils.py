@@ -47,12 +47,13 @@ def importance(gray: DataFrame, dims: DataFrame, instances: DataFrame, by: Key =
 
 
 def ridges(
-    gray: DataFrame, dims: DataFrame, sigmas: tuple[float, ...] = (1, 2, 4, 8), beta: float = 0.5, by: Key = KEY, tile: int = TILE, factor: int = 1
+    gray: DataFrame, dims: DataFrame, sigmas: tuple[float, ...] = (1, 2, 4, 8), beta: float = 0.5, by: Key = KEY, tile: int = TILE, factor: int = 1, inside: DataFrame | None = None
 ) -> DataFrame:
     """Bright ridges (Frangi 1998) of a pixel table at several scales, divided by the slice's maximum; ``factor``: found
-    on frames sampled down by it, and brought back."""
+    on frames sampled down by it, and brought back; ``inside``: a mask's runs, outside of which nothing is found."""
     source = tiles.from_pixels(gray, dims, by, tile)
-    found = tiles.ridges(source, sigmas, beta, by, tile) if factor <= 1 else tiles.ridges_at(source, dims, factor, sigmas, by, tile)
+    plain = factor <= 1 and inside is None
+    found = tiles.ridges(source, sigmas, beta, by, tile) if plain else tiles.ridges_at(source, dims, factor, sigmas, by, tile, inside)
     return tiles.pixels(found, by)
 
 

@@ -20,6 +20,7 @@ from . import kernels
 from .components import _fields
 from .graph import saved
 from .pixels import downsampled_dims
+from .runs import sampled
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -315,9 +316,15 @@ def ridges(tiles: DataFrame, sigmas: tuple[float, ...] = (1, 2, 4, 8), beta: flo
     return by_max(mapped(kept.drop("tops").join(top, [*by]), response, by), by)
 
 
-def ridges_at(tiles: DataFrame, dims: DataFrame, factor: int = 2, sigmas: tuple[float, ...] = (1, 2, 4, 8), by: Key = KEY, tile: int = TILE) -> DataFrame:
-    """Ridges of frames (dims: by, h, w) sampled down by a whole factor, and back at full size."""
-    if factor <= 1:
-        return ridges(tiles, sigmas, by=by, tile=tile)
-    small = resampled(tiles, downsampled_dims(dims, factor, by), by, tile)
-    return resampled(ridges(small, sigmas, by=by, tile=tile), dims, by, tile)
+def ridges_at(
+    tiles: DataFrame, dims: DataFrame, factor: int = 2, sigmas: tuple[float, ...] = (1, 2, 4, 8), by: Key = KEY, tile: int = TILE, inside: DataFrame | None = None
+) -> DataFrame:
+    """Ridges of frames (dims: by, h, w) sampled down by a whole factor, and back at full size. ``inside``: runs of full
+    size; what lies outside them is 0 before the slice's maximum is taken, at the small size."""
+    target = downsampled_dims(dims, factor, by)
+    small = tiles if factor <= 1 else resampled(tiles, target, by, tile)
+    found = ridges(small, sigmas, by=by, tile=tile)
+    if inside is not None:
+        sizes = dims.select(*by, F.col("h").alias("_h"), F.col("w").alias("_w")).join(target, [*by])
+        found = by_max(saved(masked(found, sampled(inside.join(sizes, [*by]), ("_h", "_w"), ("h", "w")), by, tile)), by, True)
+    return found if factor <= 1 else resampled(found, dims, by, tile)

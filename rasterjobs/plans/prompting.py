@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_byte
-from ..operators import components, pixels, prompts, stats, stencils
+from ..operators import components, frames, pixels, prompts, stats, stencils
+from ..operators import runs as run_ops
 from ..operators.graph import saved
 from .imaging import _DENSE, _DENSITY, _GRAY, _blur_sql, _dilated, _eroded, _offsets, dense, mask_components
 from .registry import KEY, Views, component_sql, digest, digest_sql, query, rounded
@@ -299,14 +300,19 @@ def prompts_box(boxes: DataFrame, sized: DataFrame, by: tuple[str, ...]) -> Data
 
 def segment_slices(
     image: DataFrame, roi: DataFrame, dims: DataFrame, factory=prompts.brightness_predictor, patch: int = 2048, stride: int = 1024,
-    min_size: int = 30, min_region: int = 5000,
+    min_size: int = 30, min_region: int = 5000, other: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mask pixels, counters): tiles that hold a prompt are cut out, segmented by the model, cleaned
-    and stitched. Coordinates are those of the full frame. Slices without a region get an automatic
-    one, of pieces of at least ``min_region`` pixels. Each step that several others read is computed
-    once, into the checkpoint folder."""
-    image = saved(image)
-    roi = saved(roi.select(*KEY, "y", "x").unionByName(automatic_region(pixels.to_gray(image), roi, dims, min_size=min_region)))
+    and stitched. A slice is cut to what is not black, and tiles are laid over that; the results' coordinates are those of
+    the full frame; black slices have no pixels. Slices without a region there get the ``other`` one (that of the other
+    outline store), or, where that is empty too, an automatic one, of pieces of at least ``min_region`` pixels. Each step
+    that several others read is computed once, into the checkpoint folder."""
+    image, every = saved(image), dims
+    work = saved(frames.work_frames(dims, pixels.tight_crop_bounds(image, dims)))
+    dims, image = work.select(*KEY, "h", "w"), saved(frames.image_to_work(image, work))
+    outlines = [pixels.pixels_of(frames.to_work(pixels.runs(m), work)).select(*KEY, "y", "x") for m in ([roi] if other is None else [roi, other])]
+    roi = saved(pixels.first_filled(*outlines))
+    roi = saved(roi.unionByName(automatic_region(pixels.to_gray(image), roi, dims, min_size=min_region)))
     scaled = saved(stats.min_max_roi(image, stats.roi_stats(image, roi)))
     field = stencils.density(pixels.to_gray(scaled), roi, dims)
     points = saved(prompts.density_prompts(saved(field), roi, dims))
@@ -320,8 +326,9 @@ def segment_slices(
     pkey = (*KEY, "patch_id")
     made, calls = prompts.answers(saved(prompts.segment_patches(images, factory)))
     best = prompts.combine(made, made.select(*pkey, "cand", "score").distinct(), "best", pkey)
-    mask = saved(pixels.union_masks(prompts.clean_instances(best, roi, dims, min_size, 1, pkey)))
-    counts = stats.counters(dims, {"n_points": points, "n_patches": grid, "n_used": used, "n_pixels": mask, "n_roi": roi})
+    mask = pixels.runs(pixels.union_masks(prompts.clean_instances(best, roi, dims, min_size, 1, pkey)))
+    mask = saved(pixels.pixels_of(frames.to_full(mask, work)).select(*KEY, "y", "x"))
+    counts = stats.counters(every, {"n_points": points, "n_patches": grid, "n_used": used, "n_pixels": mask, "n_roi": roi})
     counts = counts.join(prompts.call_counters(calls), [*KEY], "left").fillna(0, ["n_masks", "n_failed"])
     return mask, counts
 
@@ -338,20 +345,26 @@ def _(v: Views) -> DataFrame:
     return counts
 
 
-def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8), z_score: bool = False, crop: bool = True, factor: int = 2) -> tuple[DataFrame, DataFrame]:
+def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 1024, overlap: float = 0.25, share: float = 0.1, factory=prompts.brightness_predictor, min_size: int = 25, long: float = 50, min_area: int = 25, sigmas: tuple[float, ...] = (1, 2, 4, 8), z_score: bool = False, crop: bool = True, factor: int = 2, shrink: int = 1, margin: int = 10, max_pixels: int | None = 60_000_000) -> tuple[DataFrame, DataFrame]:
     """(mask pixels, counters). Ridge-prompted segmentation: patches with enough of the region get points on ridges, the
     model's masks make a probability map, which is blurred, cut, and filtered by component size,
-    shape and continuity along z. Images are cropped to what is not black (``crop``) and brought to the
-    region's extremes, or to its z-scores. Counters: patches, points, pixels, components before and after
+    shape and continuity along z. All this is done in working frames: slices are cut to what is not black (``crop``),
+    sampled down by ``shrink``, cut to the region with a ``margin``, sampled down to ``max_pixels`` values where they have
+    more, and brought to the region's extremes, or to its z-scores; masks are brought back to the full frame and cut to
+    the region. Slices whose region is empty or cut off are skipped: they have no pixels and do not count for continuity.
+    Counters (sizes are of working frames, but for n_pixels): patches, points, pixels, components before and after
     cleaning, the threshold, and the greatest and mean probability of a pixel with one. Short patches are filled up
     to ``patch`` for the model; ``factor``: ridges are found on slices sampled down by it."""
-    roi = saved(roi.select(*KEY, "y", "x"))
-    if crop:
-        image = saved(image)
-        image = saved(pixels.crop(image, pixels.tight_crop_bounds(image, dims)))
+    image, every, full = saved(image), dims, saved(pixels.runs(roi))
+    bounds = pixels.tight_crop_bounds(image, dims) if crop else frames.whole(dims)
+    work = frames.work_frames(dims, bounds, full, shrink, margin, max_pixels)
+    work = saved(work.join(pixels.crop_runs(full, bounds).select(*KEY).distinct(), [*KEY], "left_semi"))
+    dims, image = work.select(*KEY, "h", "w"), saved(frames.image_to_work(image, work))
+    region = saved(frames.to_work(full, work))
+    roi = saved(pixels.pixels_of(region))
     known = stats.roi_stats(image, roi)
-    scaled = saved(stats.z_score_roi(image, known) if z_score else stats.min_max_roi(image, known))
-    ridge = saved(pixels.within(stencils.ridges(saved(pixels.to_gray(scaled)), dims, sigmas, factor=factor), roi))
+    scaled = saved(stats.z_score_roi(image, known) if z_score else stats.min_max_roi(image, known, strict=True))
+    ridge = saved(pixels.within(stencils.ridges(saved(pixels.to_gray(scaled)), dims, sigmas, factor=factor, inside=region), roi))
     grid = saved(prompts.patch_grid(dims, patch, overlap=overlap, rule="regular"))
     used = saved(prompts.patch_share(grid, roi, patch).filter(F.col("share") >= share).select(grid.columns))
     pkey = (*KEY, "patch_id")
@@ -367,11 +380,12 @@ def ridge_run(image: DataFrame, roi: DataFrame, dims: DataFrame, patch: int = 10
     limits, found = prompts.threshold_map(prob, blurred, dims)
     kept = saved(components.fibres(components.remove_small(found, min_size, KEY, 8), KEY, min_area, long))
     labelled = saved(components.label(kept, KEY, 8))
-    stays = saved(components.continuity(kept, slices=dims, labelled=labelled))
-    mask = saved(pixels.within(components.pixels(components.keep(labelled, stays.filter("stays"))).select(*KEY, "y", "x"), roi))
+    stays = saved(components.continuity(kept, slices=dims, labelled=labelled, sizes=dims))
+    back = frames.to_full(components.keep(labelled, stays.filter("stays")), work)
+    mask = saved(pixels.pixels_of(run_ops.intersection(back, full)).select(*KEY, "y", "x"))
     # components right after the threshold, before small and short ones go
     before = components.count(components.label(found.select(*KEY, "y", "x"), KEY, 8)).withColumnRenamed("n_components", "n_before")
-    counts = stats.counters(dims, {
+    counts = stats.counters(every, {
         "n_patches_total": grid, "n_patches": used, "n_prompted": held, "n_points": points, "n_probable": prob, "n_pixels": mask,
         "n_cleaned": stays, "n_after": stays.filter("stays"),
     })
