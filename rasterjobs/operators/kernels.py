@@ -26,11 +26,11 @@ def correlate(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
     return out
 
 
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Zhang-Suen thinning (1984) until nothing changes in two consecutive passes."""
+def thin(mask: np.ndarray, passes: int | None = None) -> np.ndarray:
+    """Zhang-Suen thinning (1984) until nothing changes in two consecutive passes, or that many were done."""
     a = np.pad(mask.astype(np.uint8), 1)
     idle = step = 0
-    while idle < 2:
+    while idle < 2 and step != passes:
         n, s, w, e = a[:-2, 1:-1], a[2:, 1:-1], a[1:-1, :-2], a[1:-1, 2:]
         ring = [n, a[:-2, 2:], e, a[2:, 2:], s, a[2:, :-2], w, a[:-2, :-2]]
         count = sum(r.astype(np.int8) for r in ring)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from . import components, kernels, tiles
 from . import pixels as px_ops
 from .components import _fields
-from .graph import saved
+from .graph import few, saved
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -129,6 +129,8 @@ def outside(roi: DataFrame, mask: DataFrame, dims: DataFrame, steps: int, by: Ke
 
 #: Components of a group, and cells of a sheet, of which a larger component has one of its own.
 THINNED, SHEET = 64, 1 << 20
+#: Cells of the box of a component beyond which it is thinned tile by tile.
+LARGE = 1 << 24
 
 
 def _sheets(h: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
@@ -143,11 +145,27 @@ def _sheets(h: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
     return [np.array(x) for x in out]
 
 
-def skeleton(mask: DataFrame | None, by: Key = KEY, labelled: DataFrame | None = None) -> DataFrame:
+def skeleton(mask: DataFrame | None, by: Key = KEY, labelled: DataFrame | None = None, large: int = LARGE, tile: int = TILE) -> DataFrame:
     """One-pixel centre lines (Zhang-Suen), component by component: 8-connected components never
-    change each other, so each is cut out by its box, and small ones are thinned on one sheet.
-    ``labelled``: the mask's labelled runs (8-connected), if they are known."""
-    labelled = components.label(mask, by, 8) if labelled is None else labelled
+    change each other, so each is cut out by its box, and small ones are thinned on one sheet. Those whose box has more than
+    ``large`` cells are thinned by tiles that exchange strips (see tiles.thinned), so no task holds one whole; the lines
+    are the same. ``labelled``: the mask's labelled runs (8-connected), computed once, if they are known."""
+    labelled = saved(components.label(mask, by, 8)) if labelled is None else labelled
+    size = (F.max("y") - F.min("y") + 1).cast("bigint") * (F.max("x1") - F.min("x0") + 1)
+    boxes = labelled.groupBy(*by, "comp_id").agg(size.alias("_n"), (F.max("y") + 1).alias("_h"), (F.max("x1") + 1).alias("_w"))
+    wide = saved(boxes.filter(F.col("_n") > large))
+    height, width = wide.agg(F.max("_h"), F.max("_w")).first()
+    if height is None:
+        return _thin_by_sheets(labelled, by)
+    # keys may be null
+    same = [labelled[n].eqNullSafe(F.col(f"_b{i}")) for i, n in enumerate((*by, "comp_id"))]
+    which = few(wide.select(*[F.col(n).alias(f"_b{i}") for i, n in enumerate((*by, "comp_id"))]))
+    across = tiles.thinned(tiles.from_runs(labelled.join(which, same, "left_semi"), height, width, by, tile), by, tile)
+    return _thin_by_sheets(labelled.join(which, same, "left_anti"), by).unionByName(tiles.foreground(across, by))
+
+
+def _thin_by_sheets(labelled: DataFrame, by: Key) -> DataFrame:
+    """Components that fit into a task."""
 
     def many(pdf: pd.DataFrame) -> pd.DataFrame:
         y, a, b = (pdf[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))

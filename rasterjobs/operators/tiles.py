@@ -272,6 +272,60 @@ def classes(places: DataFrame, runs: DataFrame, by: Key = KEY, tile: int = TILE)
     return rows.mapInArrow(run, f"{_fields(rows, by)}, {_PLACE}, {fields}, data binary")
 
 
+def from_runs(runs: DataFrame, height: int, width: int, by: Key = KEY, tile: int = TILE) -> DataFrame:
+    """Tiles of 0 and 1 that runs (by, y, x0, x1) cross, of frames that are all height x width; other tiles have no row.
+    Keys may be null."""
+    cut = runs.withColumn("_tx", F.explode(F.sequence(F.expr(f"cast(x0 div {tile} as int)"), F.expr(f"cast(x1 div {tile} as int)"))))
+    held = cut.groupBy(*by, F.expr(f"cast(y div {tile} as int)").alias("_ty"), "_tx").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_runs"))
+    schema = _arrow(held, by, f"{_PLACE}, data binary")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                y0, x0 = row["_ty"] * tile, row["_tx"] * tile
+                a = np.zeros((min(tile, height - y0), min(tile, width - x0)))
+                for r in row["_runs"]:
+                    a[r["y"] - y0, max(0, r["x0"] - x0) : r["x1"] - x0 + 1] = 1
+                yield from _batches([{n: row[n] for n in by} | {"fh": height, "fw": width, "y0": y0, "x0": x0, "h": a.shape[0], "w": a.shape[1], "data": a.tobytes()}], schema)
+
+    return held.mapInArrow(build, f"{_fields(held, by)}, {_PLACE}, data binary")
+
+
+def foreground(tiles: DataFrame, by: Key = KEY) -> DataFrame:
+    """A row for each pixel that is not 0 (by, y, x)."""
+    schema = _arrow(tiles, by, "y int, x int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                y, x = (i.astype(np.int32) for i in np.nonzero(array_of(row)))
+                keys = [pa.array([row[n]] * len(y), schema.field(n).type) for n in by]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(y + row["y0"]), pa.array(x + row["x0"])], schema=schema)
+
+    return tiles.select(*by, *PLACE, "data").mapInArrow(run, f"{_fields(tiles, by)}, y int, x int")
+
+
+def thinned(tiles: DataFrame, by: Key = KEY, tile: int = TILE, passes: int = 32) -> DataFrame:
+    """Zhang-Suen centre lines of tiles of 0 and 1; tiles without a row are 0, and those that become empty go.
+
+    A pass sees a pixel's neighbours, so a halo of ``passes`` pixels keeps a tile right for that many: each round sends
+    strips once, does so many passes in every tile, and is computed once; it ends with a round that changes nothing. Rounds
+    grow with the masks' thickness, not with their extent, and no task holds more than a tile and its halo."""
+    if passes < 2 or passes % 2:
+        raise ValueError("passes must be even: a round begins with the first of two kinds of pass")
+
+    def few_passes(place: dict, window: np.ndarray, sy: int, sx: int) -> dict:
+        at = np.s_[place["y0"] - sy : place["y0"] - sy + place["h"], place["x0"] - sx : place["x0"] - sx + place["w"]]
+        before, after = window[at], kernels.thin(window, passes)[at]
+        return {"data": np.ascontiguousarray(after, np.float64).tobytes(), "gone": int(before.sum() - after.sum()), "left": int(after.sum())}
+
+    while True:
+        found = saved(_gathered(_same_size(tiles), _with_halo(passes, tile), few_passes, by, "data binary, gone bigint, `left` bigint"))
+        tiles = found.filter("`left` > 0").drop("gone", "left")
+        if not found.agg(F.sum("gone")).first()[0]:
+            return tiles
+
+
 def _by_tile(runs: DataFrame, fields: tuple[str, ...], by: Key, tile: int) -> DataFrame:
     """(by, _ty, _tx, _runs): runs listed by the tiles that they cross."""
     band = F.expr(f"cast(y div {tile} as int)").alias("_ty")

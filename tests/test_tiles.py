@@ -153,3 +153,44 @@ SELECT b.subject, b.z, b.y, b.x, 0.4 * b.v / max(b.v) OVER (PARTITION BY b.subje
         have = tiles.pixels(got).toPandas()
         both = have.merge(want, on=["subject", "z", "y", "x"])
         assert len(both) == len(have) == len(want) > 80_000 and np.allclose(both.v_x, both.v_y, atol=1e-9)
+
+
+def thick(draw):
+    """A mask whose components are wide, touch frame and tile edges, and wind over many tiles."""
+    a = draw.random((70, 90)) < 0.02
+    grown = a.copy()
+    for dy in range(-4, 5):
+        for dx in range(-4, 5):
+            grown |= np.roll(a, (dy, dx), (0, 1))
+    grown[:30, 20:50], grown[28:33, :] = True, True
+    return grown
+
+
+@pytest.mark.parametrize(("tile", "passes"), [(9, 2), (16, 4), (30, 32)])
+def test_thinning_over_tiles_equals_the_whole(spark, tile, passes):
+    """Components over nine tiles and more, halos wider than a tile, a null key, an empty mask."""
+    draw = np.random.default_rng(11)
+    masks = {None: thick(draw), "a": thick(draw), "b": np.zeros((3, 3), bool)}
+    rows = [(m, int(y), int(x), int(x)) for m, a in masks.items() for y, x in zip(*np.nonzero(a))]
+    runs = spark.createDataFrame(rows, "model string, y int, x0 int, x1 int")
+    source = tiles.from_runs(runs, 70, 90, ("model",), tile)
+    got = {(r.model, r.y, r.x) for r in tiles.foreground(tiles.thinned(source, ("model",), tile, passes), ("model",)).collect()}
+    want = {(m, int(y), int(x)) for m, a in masks.items() for y, x in zip(*np.nonzero(kernels.thin(a)))}
+    assert got == want
+    assert tiles.foreground(tiles.thinned(source.filter("model = 'b'"), ("model",), tile, passes), ("model",)).count() == 0
+
+
+def test_large_components_are_thinned_over_tiles(spark, monkeypatch):
+    """Small ones on sheets, large ones over tiles, null keys among them: the same lines as of the whole."""
+    draw = np.random.default_rng(12)
+    a, b = thick(draw), thick(draw)
+    px = spark.createDataFrame([(m, int(y), int(x)) for m, g in ((None, a), ("a", b)) for y, x in zip(*np.nonzero(g))], "model string, y int, x int")
+    want = {(m, int(y), int(x)) for m, g in ((None, a), ("a", b)) for y, x in zip(*np.nonzero(kernels.thin(g)))}
+    sheets = []
+    plain = stencils._thin_by_sheets
+    monkeypatch.setattr(stencils, "_thin_by_sheets", lambda df, by: sheets.append(df) or plain(df, by))
+    for large in (1 << 24, 400):
+        got = [(r.model, r.y, r.x) for r in stencils.skeleton(px, ("model",), large=large, tile=16).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    whole, rest = (df.select("model", "comp_id").distinct().count() for df in sheets)
+    assert 0 < rest < whole
