@@ -251,6 +251,22 @@ def touched(labelled: DataFrame, mask: DataFrame, by: Key = KEY) -> DataFrame:
     return met.groupBy(*by, "comp_id").agg(F.sum(shared).alias("overlap"))
 
 
+def overlaps(labelled: DataFrame, every: DataFrame, subject: Key = ("subject",), order: str = "z", sizes: DataFrame | None = None) -> DataFrame:
+    """(by, comp_id, area, _met): the components of each slice and the pixels that they share with those of the slice before
+    (prev, shared); a slice of ``every`` without components is one row of nulls. ``sizes``: see continuity."""
+    by = (*subject, order)
+    steps = every.withColumn("_next", F.lead(order).over(Window.partitionBy(*subject).orderBy(order)))
+    earlier = labelled.join(steps, [*by]).filter(F.col("_next").isNotNull())
+    if sizes is not None:
+        own, its = (sizes.select(*subject, F.col(order).alias(o), F.col("h").alias(f"_h{n}"), F.col("w").alias(f"_w{n}")) for o, n in ((order, 0), ("_next", 1)))
+        earlier = sampled(earlier.join(own, [*by]).join(its, [*subject, "_next"]), ("_h0", "_w0"), ("_h1", "_w1"))
+    earlier = earlier.select(*subject, F.col("_next").alias(order), "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("comp_id").alias("prev"))
+    met = labelled.join(earlier, [*by, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
+    shared = met.groupBy(*by, "comp_id", "prev").agg(F.sum(F.least("x1", "_b") - F.greatest("x0", "_a") + 1).alias("shared"))
+    shared = shared.groupBy(*by, "comp_id").agg(F.collect_list(F.struct("prev", "shared")).alias("_met"))
+    return every.join(areas(labelled, by).join(shared, [*by, "comp_id"], "left"), [*by], "left")
+
+
 def continuity(
     px: DataFrame, subject: Key = ("subject",), order: str = "z", min_share: float = 0.02, min_area: int = 1000,
     slices: DataFrame | None = None, labelled: DataFrame | None = None, sizes: DataFrame | None = None,
@@ -268,16 +284,7 @@ def continuity(
     by = (*subject, order)
     labelled = saved(label(px, by, 8)) if labelled is None else labelled
     every = (labelled if slices is None else slices).select(*by).distinct()
-    steps = every.withColumn("_next", F.lead(order).over(Window.partitionBy(*subject).orderBy(order)))
-    earlier = labelled.join(steps, [*by]).filter(F.col("_next").isNotNull())
-    if sizes is not None:
-        own, its = (sizes.select(*subject, F.col(order).alias(o), F.col("h").alias(f"_h{n}"), F.col("w").alias(f"_w{n}")) for o, n in ((order, 0), ("_next", 1)))
-        earlier = sampled(earlier.join(own, [*by]).join(its, [*subject, "_next"]), ("_h0", "_w0"), ("_h1", "_w1"))
-    earlier = earlier.select(*subject, F.col("_next").alias(order), "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), F.col("comp_id").alias("prev"))
-    met = labelled.join(earlier, [*by, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
-    shared = met.groupBy(*by, "comp_id", "prev").agg(F.sum(F.least("x1", "_b") - F.greatest("x0", "_a") + 1).alias("shared"))
-    shared = shared.groupBy(*by, "comp_id").agg(F.collect_list(F.struct("prev", "shared")).alias("_met"))
-    table = every.join(areas(labelled, by).join(shared, [*by, "comp_id"], "left"), [*by], "left")
+    table = overlaps(labelled, every, subject, order, sizes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         stays, before = {}, None
