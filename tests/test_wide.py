@@ -24,3 +24,29 @@ def test_saved_tables_are_not_broadcast(spark):
 def test_pixels_are_made_in_many_tasks(spark, small):
     parts = fixtures.view(spark, small, "roi").select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
+
+
+@pytest.mark.parametrize("name", ["binarize", "tight_crop", "gray", "byte_rgb", "percentiles", "min_max_roi", "robust_slice", "min_max_gray", "by_slice_max", "resize_linear"])
+def test_no_pixel_of_the_image_is_a_row(spark, small, name):
+    plan = plan_of(plans.queries()[name](spark, small))
+    assert "MapInArrow" in plan or "Scan ExistingRDD" in plan
+    assert "sequence(0, 127" not in plan
+
+
+def test_few_rows_of_a_batch_are_objects_at_once():
+    import pyarrow as pa
+
+    from rasterjobs.operators import tiles
+
+    batch = pa.RecordBatch.from_pylist([{"a": i, "_runs": [{"y": i}] if i % 2 else None} for i in range(20)])
+    rows = list(tiles._rows(batch))
+    assert [r["a"] for r in rows] == list(range(20)) and tiles.HELD < 20
+    assert [None if r["_runs"] is None else r["_runs"].field("y").to_pylist() for r in rows] == [[i] if i % 2 else None for i in range(20)]
+
+
+def test_percentiles_of_counted_values(spark):
+    from rasterjobs.operators import stats
+
+    px = spark.createDataFrame([("a", 1, float(v)) for v in (1, 1, 1, 2, 9)], "subject string, z int, v double")
+    counted = px.groupBy("subject", "z", "v").agg(F.count("*").alias("n"))
+    assert stats.percentiles(counted, {"p": 60}, times="n").collect() == stats.percentiles(px, {"p": 60}).collect()
