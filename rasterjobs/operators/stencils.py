@@ -110,7 +110,12 @@ def erode_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) ->
 
 
 def close_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:
-    return px_ops.pixels_of(_eroded(_widened(px_ops.runs(mask, by), _disk(radius), dims, by), dims, radius, by))
+    return px_ops.pixels_of(close_runs(px_ops.runs(mask, by), dims, radius, by))
+
+
+def close_runs(runs: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:
+    """As close_disk, from and to runs."""
+    return _eroded(_widened(runs, _disk(radius), dims, by), dims, radius, by)
 
 
 def open_disk(mask: DataFrame, dims: DataFrame, radius: int, by: Key = KEY) -> DataFrame:

@@ -50,3 +50,33 @@ def test_percentiles_of_counted_values(spark):
     px = spark.createDataFrame([("a", 1, float(v)) for v in (1, 1, 1, 2, 9)], "subject string, z int, v double")
     counted = px.groupBy("subject", "z", "v").agg(F.count("*").alias("n"))
     assert stats.percentiles(counted, {"p": 60}, times="n").collect() == stats.percentiles(px, {"p": 60}).collect()
+
+
+@pytest.mark.parametrize("name", ["patch_shares", "instance_clean_up", "touched_components", "resize_floor", "slice_counters", "near_instances"])
+def test_masks_are_runs_until_the_end(spark, small, name):
+    from rasterjobs.plans.registry import Views
+
+    class Runs(Views):
+        def __getattr__(self, view):
+            assert view not in ("masks", "pred", "roi", "outline_half", "image"), view
+            return super().__getattr__(view)
+
+    real, fixed = plans.registry.Views, plans.queries()[name]
+    plans.registry.Views = Runs
+    try:
+        fixed(spark, small)
+    finally:
+        plans.registry.Views = real
+
+
+def test_shares_of_touching_cells(spark):
+    from rasterjobs.operators import prompts
+
+    runs = spark.createDataFrame([("a", 1, y, 3, 9) for y in range(6)], "subject string, z int, y int, x0 int, x1 int")
+    dims = spark.createDataFrame([("a", 1, 10, 10)], "subject string, z int, h int, w int")
+    grid = prompts.patch_grid(dims, 4, 2, rule="regular")
+    from rasterjobs.operators.pixels import pixels_of
+
+    want = {r["patch_id"]: sum(r["y0"] <= y < r["y1"] and r["x0"] <= x < r["x1"] for y in range(6) for x in range(3, 10)) for r in grid.collect()}
+    for made in (prompts.patch_share_runs(grid, runs, 4), prompts.patch_share(grid, pixels_of(runs), 4)):
+        assert {r["patch_id"]: r["n_roi"] for r in made.collect()} == want
