@@ -80,3 +80,17 @@ def test_shares_of_touching_cells(spark):
     want = {r["patch_id"]: sum(r["y0"] <= y < r["y1"] and r["x0"] <= x < r["x1"] for y in range(6) for x in range(3, 10)) for r in grid.collect()}
     for made in (prompts.patch_share_runs(grid, runs, 4), prompts.patch_share(grid, pixels_of(runs), 4)):
         assert {r["patch_id"]: r["n_roi"] for r in made.collect()} == want
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_tiles_above_a_percentile_as_pixels(spark, strict):
+    from rasterjobs.operators import pixels, stats, tiles
+
+    px = spark.createDataFrame([("a", 1, y, x, float((y * 7 + x * 3) % 11)) for y in range(9) for x in range(10)], "subject string, z int, y int, x int, v double")
+    dims = spark.createDataFrame([("a", 1, 9, 10)], "subject string, z int, h int, w int")
+    region = spark.createDataFrame([("a", 1, y, 2, 7) for y in range(1, 6)], "subject string, z int, y int, x0 int, x1 int")
+    image, key = tiles.from_pixels(px, dims, tile=4), lambda df: sorted((r["y"], r["x"]) for r in df.select("y", "x").collect())
+    mask = pixels.pixels_of(region)
+    assert key(tiles.above_percentile(image, 70, strict, runs=region, tile=4)) == key(stats.above_percentile(px, mask, 70, strict))
+    assert key(tiles.above_percentile(image, 70, strict)) == key(stats.above_percentile(px, px, 70, strict))
+    assert key(pixels.within_runs(px, region)) == key(pixels.within(px, mask))
