@@ -185,7 +185,7 @@ def skeleton_sql(source: str, keys: str, name: str, steps: int = 40) -> str:
 
 @query("skeleton", "masks", sql=f"m AS (SELECT DISTINCT subject, z, y, x FROM masks), {skeleton_sql('m', 'subject, z', 'sk')} SELECT * FROM sk")
 def _(v: Views) -> DataFrame:
-    return stencils.skeleton(v.masks.select(*KEY, "y", "x").distinct())
+    return stencils.skeleton(None, labelled=components.label_runs(runs.merged(v.mask_runs), KEY, 8))
 
 
 _LINES = f""",
