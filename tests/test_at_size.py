@@ -43,3 +43,18 @@ def test_sums_of_neighbours_copy_no_window():
     for axis in (0, 1):
         want = sum(w[k] * np.take(a, range(k, k + a.shape[axis] - 2), axis) for k in range(3))
         assert np.array_equal(kernels.correlate(a.view(Whole), w, axis), want)
+
+
+@pytest.mark.parametrize("name", ["sample_pixels", "points_in_patches"])
+def test_samples_are_drawn_from_runs(spark, small, name):
+    without_pixels(spark, small, name)
+
+
+@pytest.mark.parametrize("spare", [6, -9, -100])
+def test_sample_of_runs_is_that_of_their_pixels(spark, spare):
+    """With less to spare, fewer than k pixels lie below the limit, and groups are ordered whole."""
+    held = [("a", z, y, 2 * y, 2 * y + 5 * z) for z in (0, 1, 4) for y in range(9)] + [(None, 1, y, 0, 30) for y in range(9)] + [("b", 2, 0, 3, 3)]
+    runs = spark.createDataFrame(held, "subject string, z int, y int, x0 int, x1 int").repartition(3)
+    got = stats.sample_runs(runs, 12, 5, spare=spare)
+    want = stats.sample(pixels.pixels_of(runs), 12, 5)
+    assert rows(got, "subject", "z", "y", "x", "ord") == rows(want, "subject", "z", "y", "x", "ord")
