@@ -58,3 +58,30 @@ def test_sample_of_runs_is_that_of_their_pixels(spark, spare):
     got = stats.sample_runs(runs, 12, 5, spare=spare)
     want = stats.sample(pixels.pixels_of(runs), 12, 5)
     assert rows(got, "subject", "z", "y", "x", "ord") == rows(want, "subject", "z", "y", "x", "ord")
+
+
+@pytest.mark.parametrize("name", ["max_stitch", "combine_weighted", "map_threshold"])
+def test_candidates_are_tiles_of_bits(spark, small, name):
+    without_pixels(spark, small, name)
+
+
+def test_candidates_as_bits_give_what_pixels_give(spark):
+    by, draw = ("subject", "z"), np.random.default_rng(3)
+    scores = {("a", 0): [0.8, 0.8, 0.1], ("a", 1): [0.2, 0.9, 0.75], ("b", 0): [0.0, 0.5, 0.5]}
+    held = [(s, z, c, v, y, int(x), int(x + draw.integers(0, 6))) for (s, z), vs in scores.items() for c, v in enumerate(vs) for y in range(10) for x in draw.integers(0, 6, 2)]
+    runs = spark.createDataFrame(held, "subject string, z int, cand int, score double, y int, x0 int, x1 int")
+    dims = spark.createDataFrame([(s, z, 10, 12) for s, z in scores], "subject string, z int, h int, w int")
+    px, own = pixels.pixels_of(runs).distinct(), (*by, "cand", "score")
+    bits = tiles.bits(runs, dims, own, tile=4)
+    want = prompts.combine(px, px.select(*own).distinct(), "weighted", by)
+    assert rows(prompts.weighted_tiles(bits, by), *by, "y", "x") == rows(want, *by, "y", "x")
+    stacks = tiles.stacked(bits, by, ("score",))
+    got = tiles.overlaid_pixels(stacks, tiles.greatest_score, by, "score")
+    assert rows(got, *by, "y", "x", "score") == rows(pixels.max_stitch(px, "score"), *by, "y", "x", "score")
+    prob = tiles.overlaid(stacks, lambda row: np.nan_to_num(tiles.greatest_score(row)), by)
+    from rasterjobs.operators import stencils
+
+    table = prompts.probability_map(px)
+    limits = prompts.threshold_map(table, stencils.gaussian(table.withColumnRenamed("p", "v"), dims, 1), dims)[0]
+    plain = lambda df: rows(df.withColumn("threshold", F.round("threshold", 9)), *by, "threshold")
+    assert plain(prompts.threshold_tiles(prob, dims, tile=4)) == plain(limits)
