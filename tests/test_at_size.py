@@ -85,3 +85,31 @@ def test_candidates_as_bits_give_what_pixels_give(spark):
     limits = prompts.threshold_map(table, stencils.gaussian(table.withColumnRenamed("p", "v"), dims, 1), dims)[0]
     plain = lambda df: rows(df.withColumn("threshold", F.round("threshold", 9)), *by, "threshold")
     assert plain(prompts.threshold_tiles(prob, dims, tile=4)) == plain(limits)
+
+
+@pytest.mark.parametrize(("name", "used"), [("instance_prompts", "instance_prompts"), ("multi_instance_segmentation", "multi_instance_tiles"), ("box_only_segmentation", "multi_instance_tiles")])
+def test_instances_are_prompted_on_tiles_and_runs(spark, small, monkeypatch, name, used):
+    from rasterjobs.plans import prompting
+
+    seen = []
+    monkeypatch.setattr(prompting, "instances", lambda v: None)
+    monkeypatch.setattr(prompting, used, lambda image, region, *_, **__: seen.append((image.columns, region.columns)))
+    without_pixels(spark, small, name)
+    assert "data" in seen[0][0] and "x0" in seen[0][1]
+
+
+def test_two_points_of_runs_are_those_of_their_pixels(spark):
+    held = [("a", z, i, y, 3 * y - z, 3 * y + z) for z in (0, 2) for i in (1, 2) for y in range(2, 9) if (y + i) % 3] + [("b", 1, 1, 4, 4, 4)]
+    runs = spark.createDataFrame(held, "subject string, z int, inst_id int, y int, x0 int, x1 int").repartition(3)
+    by = ("subject", "z", "inst_id")
+    assert rows(prompts.two_apart_runs(runs, 1, by), *by, "ord", "y", "x") == rows(prompts.two_apart(pixels.pixels_of(runs), 1, by), *by, "ord", "y", "x")
+
+
+def test_values_in_masks_of_a_slice(spark):
+    px = spark.createDataFrame([("a", 0, y, x, float(10 * y + x)) for y in range(7) for x in range(9)], "subject string, z int, y int, x int, v double")
+    dims = spark.createDataFrame([("a", 0, 7, 9)], "subject string, z int, h int, w int")
+    runs = spark.createDataFrame([("a", 0, k, y, k, 2 * k + y) for k in (1, 2) for y in range(1, 5)], "subject string, z int, inst_id int, y int, x0 int, x1 int")
+    got = tiles.inside(tiles.from_pixels(px, dims, tile=4), runs, "inst_id", tile=4)
+    want = pixels.pixels_of(runs).join(px, ["subject", "z", "y", "x"])
+    cols = ("subject", "z", "inst_id", "y", "x", "v")
+    assert rows(got, *cols) == rows(want, *cols)
