@@ -113,3 +113,8 @@ def test_values_in_masks_of_a_slice(spark):
     want = pixels.pixels_of(runs).join(px, ["subject", "z", "y", "x"])
     cols = ("subject", "z", "inst_id", "y", "x", "v")
     assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_importance_goes_through_no_broadcast(spark, small):
+    plan = plans.queries()["importance"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
