@@ -118,3 +118,7 @@ def test_values_in_masks_of_a_slice(spark):
 def test_importance_goes_through_no_broadcast(spark, small):
     plan = plans.queries()["importance"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_farthest_points_are_made_of_runs(spark, small):
+    without_pixels(spark, small, "farthest_points")

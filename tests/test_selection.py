@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterjobs.operators import prompts, stats
+from rasterjobs.operators import pixels, prompts, stats
 
 
 def values(kind):
@@ -69,3 +69,19 @@ def test_farthest_points_with_a_number_of_its_own_for_each_group(spark):
     got = prompts.farthest_points(px).groupBy("z").count()
     assert sorted(map(tuple, got.collect())) == [(1, 1), (3, 3)]
     assert prompts.farthest_points(px.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 5, 9])
+def test_farthest_points_of_runs_equal_a_greedy_search(spark, k):
+    draw = np.random.default_rng(k)
+    runs = [("S", z, 2 * i, a, a + w) for z, n in enumerate((1, 3, 12)) for i, (a, w) in enumerate(map(tuple, draw.integers(0, 14, (n, 2)).tolist()))]
+    runs += [(None, 9, 0, 0, 0), (None, 9, 1, 0, 0), (None, 8, 0, 0, 40), (None, 8, 20, 0, 40)]
+    groups = {}
+    for s, z, y, a, b in runs:
+        groups.setdefault((s, z), []).extend((y, x) for x in range(a, b + 1))
+    table = spark.createDataFrame(runs, "subject string, z int, y int, x0 int, x1 int").repartition(3)
+    got = {}
+    for r in prompts.farthest_points_runs(table, 5, k).orderBy("z", "ord").collect():
+        got.setdefault((r.subject, r.z), []).append((r.y, r.x))
+    first = {(r.subject, r.z): (r.y, r.x) for r in prompts.farthest_points(pixels.pixels_of(table), 5, 1).collect()}
+    assert got == ({g: by_hand(ps, first[g], k) for g, ps in groups.items()} if k else {})
