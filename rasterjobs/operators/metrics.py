@@ -71,13 +71,12 @@ def pixel_metrics(counts: DataFrame, by: Key = KEY) -> DataFrame:
 
 
 def sides(pred: DataFrame, truth: DataFrame, by: Key = KEY) -> DataFrame:
-    """Runs by ``by`` and _side from disjoint runs: 0 predictions, 1 to 3 the target's classes, 4 all of them.
+    """Runs by ``by`` and _side, to be labelled: 0 predictions, 1 to 3 the target's classes, 4 all of them; some may touch.
     Columns of ``by`` that truth lacks are null for it."""
     kinds = dict(pred.select(*by).dtypes)
     target = [F.col(n) if n in truth.columns else F.lit(None).cast(kinds[n]).alias(n) for n in by]
-    own = tuple(n for n in by if n in truth.columns)
     one = lambda df, cols, side: df.select(*cols, side.alias("_side"), "y", "x0", "x1")
-    parts = [one(pred, by, F.lit(0)), one(truth, target, F.col("cls").cast("int")), one(runs.merged(truth, own), target, F.lit(4))]
+    parts = [one(pred, by, F.lit(0)), one(truth, target, F.col("cls").cast("int")), one(truth, target, F.lit(4))]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
@@ -92,52 +91,88 @@ def labelled_sides(pred: DataFrame, truth: DataFrame, by: Key = KEY, band: int =
     return components.label_runs(sides(*_as_runs(pred, truth, by), by), (*by, "_side"), 8, band)
 
 
+class Meetings:
+    """What the labelled sides (``labelled_sides``) of predictions and truth share, computed once. ``own``: the columns of ``by``
+    that the truth has; where it lacks the model, its runs meet those of all models of a slice and are never repeated.
+
+    sizes: _px and _n, pixels and components by ``by`` and _side. pairs: _shared, the pixels that a component of the predictions
+    (comp_id) shares with one of the target (_t, of class _k)."""
+
+    def __init__(self, labelled: DataFrame, by: Key, own: Key):
+        self.labelled, self.by, self.own = labelled, by, own
+        self.sizes = saved(labelled.groupBy(*by, "_side").agg(F.sum(runs.length()).alias("_px"), F.max("comp_id").alias("_n")))
+        target = labelled.filter("_side between 1 and 3").select(*own, "y", "x0", "x1", F.col("_side").alias("_k"), F.col("comp_id").alias("_t"))
+        found = labelled.filter("_side = 0").select(*by, "y", "x0", "x1", "comp_id")
+        self.pairs = saved(shared(found, target, own, [*by, "comp_id", "_k", "_t"]))
+
+    def of_side(self, side: int, what: str, name: str) -> DataFrame:
+        """A column of sizes of one side, by ``by`` or, for the target, ``own``."""
+        return self.sizes.filter(F.col("_side") == side).select(*(self.own if side else self.by), F.col(what).alias(name))
+
+    def beside(self, slices: DataFrame, what: str) -> DataFrame:
+        """slices with that column of each side, _0 to _4; 0 where there is none."""
+        rows = slices.select(*self.by)
+        for side in range(5):
+            rows = rows.join(self.of_side(side, what, f"_{side}"), [*(self.own if side else self.by)], "left")
+        return rows.fillna(0, [f"_{side}" for side in range(5)])
+
+    def counts(self, slices: DataFrame) -> DataFrame:
+        """As pixel_counts."""
+        hits = self.pairs.groupBy(*self.by).agg(*[F.sum(F.when(F.col("_k") == k, F.col("_shared")).otherwise(0)).alias(f"hit_{n}") for k, n in CLASSES])
+        rows = self.beside(slices, "_px").join(hits, [*self.by], "left").fillna(0, [f"hit_{n}" for _, n in CLASSES])
+        out = [F.col("_0").alias("n_p"), F.col("_4").alias("n_t"), (F.col("hit_light") + F.col("hit_moderate") + F.col("hit_dense")).alias("n_both")]
+        for k, name in CLASSES:
+            # a prediction without classes counts as the first one
+            its, hit = F.col(f"_{k}"), F.col(f"hit_{name}")
+            out += [its.alias(f"n_{name}"), hit, (hit if k == 1 else F.lit(0)).alias(f"both_{name}"), (its + F.col("_0") - hit if k == 1 else its).alias(f"any_{name}")]
+        return rows.select(*self.by, *out)
+
+
+def shared(a: DataFrame, b: DataFrame, on: Key, by: list[str]) -> DataFrame:
+    """_shared: pixels that runs of two tables share, by columns of either. Runs of a row meet; those of equal ``by`` must not overlap."""
+    other = b.withColumnsRenamed({"x0": "_a", "x1": "_b"})
+    met = a.join(other, [*on, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
+    return met.groupBy(*by).agg(F.sum(F.least("x1", "_b") - F.greatest("x0", "_a") + 1).alias("_shared"))
+
+
 def object_metrics(
-    slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, empty: float | None = 1.0, band: int = 256,
-    labelled: DataFrame | None = None,
+    slices: DataFrame, pred: DataFrame | None, truth: DataFrame | None, by: Key = KEY, empty: float | None = 1.0, band: int = 256,
+    met: Meetings | None = None,
 ) -> DataFrame:
     """Per class the share of target components that the prediction touches (``empty`` where there
     are none), and touched (tp), untouched (fp) and all prediction components, 8-connected. Runs meet
-    runs of the same row. ``labelled``: labelled_sides of the masks, if they are known."""
-    own = [n for n in by if n in truth.columns]
-    labelled = labelled_sides(pred, truth, by, band) if labelled is None else labelled
-    found, target = labelled.filter("_side = 0"), labelled.filter("_side between 1 and 3")
-    other = target.select(*own, "y", F.col("_side").alias("_k"), F.col("comp_id").alias("_t"), F.col("x0").alias("_a"), F.col("x1").alias("_b"))
-    met = found.join(other, [*own, "y"]).filter((F.col("x0") <= F.col("_b")) & (F.col("_a") <= F.col("x1")))
-    both = F.array(F.struct(F.col("_side").alias("k"), F.col("comp_id").alias("i")), F.struct(F.col("_k").alias("k"), F.col("_t").alias("i")))
-    met = met.select(*by, F.explode(both).alias("_c")).distinct()
-    number = lambda df, key, k, name, of: df.groupBy(*key).agg(*[F.count(F.when(k == j, 1)).alias(f"{name}{j}") for j in of])
-    parts = lambda df, key: df.select(*key, "_side", "comp_id").distinct()
-    rows = slices.select(*by).join(number(parts(found, by), by, F.col("_side"), "_n", (0,)), [*by], "left")
-    rows = rows.join(number(parts(target, own), own, F.col("_side"), "_n", (1, 2, 3)), own, "left")
-    rows = rows.join(number(met, by, F.col("_c.k"), "_hit", range(4)), [*by], "left")
-    rows = rows.fillna(0, [f"{n}{k}" for n in ("_n", "_hit") for k in range(4)])
-    recall = [ratio(F.col(f"_hit{k}"), F.col(f"_n{k}"), empty).alias(f"sensitivity_{n}") for k, n in CLASSES]
-    fp = F.col("_n0") - F.col("_hit0")
+    runs of the same row. ``met``: the meetings of the masks, if they are known."""
+    met = Meetings(labelled_sides(pred, truth, by, band), by, tuple(n for n in by if n in truth.columns)) if met is None else met
+    mine = met.pairs.select(*by, "comp_id").distinct().groupBy(*by).agg(F.count("*").alias("_hit0"))
+    its = met.pairs.select(*by, "_k", "_t").distinct().groupBy(*by).agg(*[F.count(F.when(F.col("_k") == k, 1)).alias(f"_hit{k}") for k, _ in CLASSES])
+    rows = met.beside(slices, "_n").join(mine, [*by], "left").join(its, [*by], "left").fillna(0, [f"_hit{k}" for k in range(4)])
+    recall = [ratio(F.col(f"_hit{k}"), F.col(f"_{k}"), empty).alias(f"sensitivity_{n}") for k, n in CLASSES]
+    fp = F.col("_0") - F.col("_hit0")
     return rows.select(
-        *by, *recall, F.col("_hit0").alias("tp"), fp.alias("fp"), ratio(fp, F.col("_n0"), 0.0).alias("fdr")
+        *by, *recall, F.col("_hit0").alias("tp"), fp.alias("fp"), ratio(fp, F.col("_0"), 0.0).alias("fdr")
     )
 
 
 def centerline_dice(
-    slices: DataFrame, pred: DataFrame, truth: DataFrame, by: Key = KEY, smooth: float = 1e-6, labelled: DataFrame | None = None
+    slices: DataFrame, pred: DataFrame | None, truth: DataFrame | None, by: Key = KEY, smooth: float = 1e-6, labelled: DataFrame | None = None,
+    own: Key | None = None,
 ) -> DataFrame:
     """cldice: harmonic mean of the shares of either skeleton that lie in the other mask. ``labelled``:
-    labelled_sides of the masks, if they are known. Lines and masks meet in one sweep over their rows."""
-    from .stencils import skeleton
+    labelled_sides of the masks, if they are known, and ``own``, the columns of ``by`` that its truth has. Lines and masks meet
+    as runs; the truth's lines meet the masks of all models of a slice."""
+    from .stencils import skeleton_runs
 
-    own = [n for n in by if n in truth.columns]
+    own = tuple(n for n in by if n in truth.columns) if own is None else own
     if labelled is None:
         labelled = labelled_sides(pred, truth if "cls" in truth.columns else truth.withColumn("cls", F.lit(1)), by)
-    lines = saved(skeleton(None, (*by, "_side"), labelled.filter("_side in (0, 4)")))
-    lines = lines.select(*by, "_side", "y", F.col("x").alias("x0"), F.col("x").alias("x1"))
+    lines = saved(skeleton_runs(labelled.filter("_side in (0, 4)"), (*by, "_side")))
     found = lambda df: df.filter("_side = 0").select(*by, "y", "x0", "x1")
-    # the truth, once a slice, for each model that is scored there
-    target = lambda df: df.filter("_side = 4").select(*own, "y", "x0", "x1").join(slices.select(*by), own).select(*by, "y", "x0", "x1")
-    met = runs.segments({"l0": found(lines), "l1": target(lines), "m0": found(labelled), "m1": target(labelled)}, by)
-    n = lambda cond, name: F.coalesce(F.sum(F.when(F.expr(cond), runs.length())), F.lit(0)).alias(name)
-    sums = met.groupBy(*by).agg(n("l0", "_s0"), n("l1", "_s1"), n("l0 and m1", "_h0"), n("l1 and m0", "_h1"))
-    rows = slices.select(*by).join(sums, [*by], "left").fillna(0, ["_s0", "_s1", "_h0", "_h1"])
+    target = lambda df: df.filter("_side = 4").select(*own, "y", "x0", "x1")
+    size = lambda df, key, name: df.groupBy(*key).agg(F.sum(runs.length()).alias(name))
+    rows = slices.select(*by).join(size(found(lines), by, "_s0"), [*by], "left").join(size(target(lines), own, "_s1"), [*own], "left")
+    rows = rows.join(shared(found(lines), target(labelled), own, [*by]).withColumnRenamed("_shared", "_h0"), [*by], "left")
+    rows = rows.join(shared(found(labelled), target(lines), own, [*by]).withColumnRenamed("_shared", "_h1"), [*by], "left")
+    rows = rows.fillna(0, ["_s0", "_s1", "_h0", "_h1"])
     part = lambda k: (F.col(f"_h{k}") + smooth) / (F.col(f"_s{k}") + smooth)
     value = F.when((F.col("_s0") == 0) & (F.col("_s1") == 0), 1.0).otherwise(2 * part(0) * part(1) / (part(0) + part(1)))
     return rows.select(*by, value.alias("cldice"))

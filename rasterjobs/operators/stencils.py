@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,7 @@ from . import components, kernels, tiles
 from . import pixels as px_ops
 from .components import _fields
 from .graph import few, saved
+from .runs import whole_groups
 
 KEY = ("subject", "z")
 Key = tuple[str, ...]
@@ -137,8 +140,8 @@ def outside(roi: DataFrame, mask: DataFrame, dims: DataFrame, steps: int, by: Ke
     return px_ops.without(roi, dilate_cross(mask, dims, steps, by), by)
 
 
-#: Components of a group, and cells of a sheet, of which a larger component has one of its own.
-THINNED, SHEET = 64, 1 << 20
+#: Cells of a sheet, of which a larger component has one of its own.
+SHEET = 1 << 20
 #: Cells of the box of a component beyond which it is thinned tile by tile.
 LARGE = 1 << 24
 
@@ -156,12 +159,20 @@ def _sheets(h: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
 
 
 def skeleton(mask: DataFrame | None, by: Key = KEY, labelled: DataFrame | None = None, large: int = LARGE, tile: int = TILE) -> DataFrame:
-    """One-pixel centre lines (Zhang-Suen), component by component: 8-connected components never
-    change each other, so each is cut out by its box, and small ones are thinned on one sheet. Those whose box has more than
-    ``large`` cells are thinned by tiles that exchange strips (see tiles.thinned), so no task holds one whole; the lines
-    are the same. ``labelled``: the mask's labelled runs (8-connected), computed once, if they are known."""
+    """Pixels of one-pixel centre lines (Zhang-Suen) of a mask, or of its labelled runs (8-connected), if they are known."""
     labelled = components.label(mask, by, 8) if labelled is None else labelled
+    return px_ops.pixels_of(skeleton_runs(labelled, by, large, tile))
+
+
+def skeleton_runs(labelled: DataFrame, by: Key = KEY, large: int = LARGE, tile: int = TILE) -> DataFrame:
+    """Runs of the centre lines, component by component: 8-connected components never
+    change each other, so each is cut out by its box, and small ones, of whatever slices, are thinned on one sheet. Those whose
+    box has more than ``large`` cells are thinned by tiles that exchange strips (see tiles.thinned), so no task holds one whole;
+    the lines are the same. ``labelled`` is computed once."""
     size = (F.max("y") - F.min("y") + 1).cast("bigint") * (F.max("x1") - F.min("x0") + 1)
+    span = labelled.agg(size.alias("_n")).first()[0]
+    if span is None or span <= large:  # nor is any component larger
+        return _thin_by_sheets(labelled, by)
     boxes = labelled.groupBy(*by, "comp_id").agg(size.alias("_n"), (F.max("y") + 1).alias("_h"), (F.max("x1") + 1).alias("_w"))
     wide = saved(boxes.filter(F.col("_n") > large))
     height, width = wide.agg(F.max("_h"), F.max("_w")).first()
@@ -171,33 +182,39 @@ def skeleton(mask: DataFrame | None, by: Key = KEY, labelled: DataFrame | None =
     same = [labelled[n].eqNullSafe(F.col(f"_b{i}")) for i, n in enumerate((*by, "comp_id"))]
     which = few(wide.select(*[F.col(n).alias(f"_b{i}") for i, n in enumerate((*by, "comp_id"))]))
     across = tiles.thinned(tiles.from_runs(labelled.join(which, same, "left_semi"), height, width, by, tile), by, tile)
-    return _thin_by_sheets(labelled.join(which, same, "left_anti"), by).unionByName(tiles.foreground(across, by))
+    lines = tiles.foreground(across, by).select(*by, "y", F.col("x").alias("x0"), F.col("x").alias("x1"))
+    return _thin_by_sheets(labelled.join(which, same, "left_anti"), by).unionByName(lines)
+
+
+def _thinned(keys: int):
+    """Batches (by, comp_id, y, x0, x1) sorted by by and comp_id to runs (by, y, x0, x1) of their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, of in whole_groups(batches, keys + 1):
+            y, a, b = (table.column(keys + i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+            start = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+            top, left = np.minimum.reduceat(y, start), np.minimum.reduceat(a, start)
+            h, w = np.maximum.reduceat(y, start) - top + 1, np.maximum.reduceat(b, start) - left + 1
+            for sheet in _sheets(h, w):
+                at, place = np.concatenate([[0], np.cumsum(h[sheet] + 1)]), np.full(len(start), -1)
+                place[sheet] = at[:-1]
+                r = np.flatnonzero(place[of] >= 0)
+                row, shift = place[of[r]] + y[r] - top[of[r]], left[of[r]]
+                ends = np.zeros((at[-1], w[sheet].max() + 1), np.int8)
+                np.add.at(ends, (row, a[r] - shift), 1)
+                np.add.at(ends, (row, b[r] - shift + 1), -1)
+                row, column = np.nonzero(kernels.thin(np.cumsum(ends, axis=1, dtype=np.int8)[:, :-1]))
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(column) != 1)]))
+                last = np.concatenate([first[1:], [len(row)]]) - 1
+                comp = sheet[np.searchsorted(at, row[first], "right") - 1]
+                out = [table.column(i).combine_chunks().take(pa.array(start[comp])) for i in range(keys)]
+                out += [pa.array(v.astype(np.int32)) for v in (row[first] - place[comp] + top[comp], column[first] + left[comp], column[last] + left[comp])]
+                yield pa.RecordBatch.from_arrays(out, [*table.schema.names[:keys], "y", "x0", "x1"])
+
+    return run
 
 
 def _thin_by_sheets(labelled: DataFrame, by: Key) -> DataFrame:
     """Components that fit into a task."""
-
-    def many(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, a, b = (pdf[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
-        ids, of = np.unique(pdf["comp_id"].to_numpy(), return_inverse=True)
-        top, left = np.full(len(ids), y.max()), np.full(len(ids), a.max())
-        h, w = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        np.minimum.at(top, of, y)
-        np.minimum.at(left, of, a)
-        np.maximum.at(h, of, y - top[of] + 1)
-        np.maximum.at(w, of, b - left[of] + 1)
-        ys, xs = [], []
-        for sheet in _sheets(h, w):
-            at = np.concatenate([[0], np.cumsum(h[sheet] + 1)])
-            grid, place = np.zeros((at[-1], w[sheet].max()), bool), np.full(len(ids), -1)
-            place[sheet] = at[:-1]
-            for r in np.flatnonzero(place[of] >= 0):
-                grid[place[of[r]] + y[r] - top[of[r]], a[r] - left[of[r]] : b[r] - left[of[r]] + 1] = True
-            row, column = np.nonzero(kernels.thin(grid))
-            k = np.searchsorted(at, row, "right") - 1
-            ys.append(row - at[k] + top[sheet[k]])
-            xs.append(column + left[sheet[k]])
-        return pd.DataFrame({**{n: pdf[n].iloc[0] for n in by}, "y": np.concatenate(ys).astype(np.int32), "x": np.concatenate(xs).astype(np.int32)})
-
-    grouped = labelled.withColumn("_group", F.floor(F.col("comp_id") / THINNED)).groupBy(*by, "_group")
-    return grouped.applyInPandas(many, f"{_fields(labelled, by)}, y int, x int")
+    dealt = labelled.select(*by, "comp_id", "y", "x0", "x1").repartition(*by, "comp_id").sortWithinPartitions(*by, "comp_id")
+    return dealt.mapInArrow(_thinned(len(by)), f"{_fields(labelled, by)}, y int, x0 int, x1 int")

@@ -27,36 +27,34 @@ def truth_runs(v: Views, within: DataFrame | None = None) -> DataFrame:
 class Sides:
     """Predictions and truth inside the region as runs, for the metrics.
 
-    masks: runs with cls that may overlap. met: segments by model and slice with p and cls, of which all pixel counts
-    are sums; pred: its predicted runs; truth: class-coded runs, once a slice whatever the number of models. Computed
-    once where ``keep``."""
+    masks: runs with cls that may overlap, as predictions may; the region's runs do not. pred: the predictions' runs in the
+    region; truth: class-coded runs, once a slice whatever the number of models."""
 
-    def __init__(self, slices: DataFrame, pred: DataFrame, masks: DataFrame, roi: DataFrame, keep: bool = True):
-        per_model = lambda df: df.join(slices.select(*MKEY), [*KEY])
-        once = saved if keep else lambda df: df
-        self.slices, self.truth = slices, once(runs.class_map(**runs.by_class(masks), within=roi))
-        met = runs.segments({"p": pred, "inside": per_model(roi)} | runs.by_class(per_model(masks)), MKEY).withColumn("cls", runs.class_of())
-        self.met = once(met.filter("inside and (p or cls is not null)").select(*MKEY, "y", "x0", "x1", "p", "cls"))
+    def __init__(self, slices: DataFrame, pred: DataFrame, masks: DataFrame, roi: DataFrame):
+        self.slices, self.truth = slices, runs.class_map(**runs.by_class(masks), within=roi)
+        self.pred = runs.within(pred, roi, MKEY, KEY)
 
     def counts(self) -> DataFrame:
-        return metrics.run_counts(self.slices, self.met)
+        """For the pixel metrics alone: one sweep, nothing is labelled."""
+        truth = self.truth.join(self.slices.select(*MKEY), [*KEY])
+        met = runs.segments({"p": self.pred} | runs.by_class(truth), MKEY).withColumn("cls", runs.class_of())
+        return metrics.run_counts(self.slices, met)
 
     def labelled(self) -> DataFrame:
-        pred = runs.merged(self.met.filter("p"), MKEY)
-        return components.label_runs(metrics.sides(pred, self.truth, MKEY), (*MKEY, "_side"), 8)
+        return components.label_runs(metrics.sides(self.pred, saved(self.truth), MKEY), (*MKEY, "_side"), 8)
 
 
-def evaluation_sides(v: Views, keep: bool = True) -> Sides:
+def evaluation_sides(v: Views) -> Sides:
     """The slices that have a prediction, with predictions and truth in the region."""
-    return Sides(v.predicted.select(*MKEY), v.pred_runs, v.mask_runs, v.roi_runs, keep)
+    return Sides(v.predicted.select(*MKEY), v.pred_runs, v.mask_runs, v.roi_runs)
 
 
 def evaluate_masks(at: Sides) -> DataFrame:
     """One row a slice and model with all pixel, object and centre-line metrics. Nothing but thinning makes pixels."""
-    labelled = at.labelled()
-    pixel = metrics.pixel_metrics(at.counts()).select(*MKEY, "dice", "iou", "iou_dense", "iou_moderate", "iou_light")
-    objects = metrics.object_metrics(at.slices, at.met, at.truth, labelled=labelled)
-    lines = metrics.centerline_dice(at.slices, at.met, at.truth, labelled=labelled)
+    met = metrics.Meetings(at.labelled(), MKEY, KEY)
+    pixel = metrics.pixel_metrics(met.counts(at.slices)).select(*MKEY, "dice", "iou", "iou_dense", "iou_moderate", "iou_light")
+    objects = metrics.object_metrics(at.slices, None, None, met=met)
+    lines = metrics.centerline_dice(at.slices, None, None, labelled=met.labelled, own=KEY)
     out = objects.join(pixel, [*MKEY]).join(lines, [*MKEY])
     return out.select(
         *MKEY, F.col("z").alias("slice"), slice_name(F.col("z")).alias("file"),
@@ -75,11 +73,11 @@ def evaluate_in_box(slices: DataFrame, pred: DataFrame, masks: DataFrame, roi: D
         return held.filter("x0 <= x1").select(*df.columns)
 
     at = Sides(slices.select(*MKEY).join(box, [*KEY], "left_semi"), cropped(pred), cropped(masks), cropped(roi))
-    labelled = at.labelled()
-    pixel = metrics.pixel_metrics(at.counts()).select(*MKEY, F.col("dice").alias("pixel_dice"), F.col("iou").alias("pixel_iou"), *[f"pixel_recall_{n}" for _, n in metrics.CLASSES])
-    objects = metrics.object_metrics(at.slices, at.met, at.truth, empty=None, labelled=labelled)
+    met = metrics.Meetings(at.labelled(), MKEY, KEY)
+    pixel = metrics.pixel_metrics(met.counts(at.slices)).select(*MKEY, F.col("dice").alias("pixel_dice"), F.col("iou").alias("pixel_iou"), *[f"pixel_recall_{n}" for _, n in metrics.CLASSES])
+    objects = metrics.object_metrics(at.slices, None, None, empty=None, met=met)
     names = {**{f"sensitivity_{n}": f"obj_sens_{n}" for _, n in metrics.CLASSES}, "tp": "obj_tp", "fp": "obj_fp", "fdr": "obj_fdr"}
-    lines = metrics.centerline_dice(at.slices, at.met, at.truth, labelled=labelled).withColumnRenamed("cldice", "pixel_cldice")
+    lines = metrics.centerline_dice(at.slices, None, None, labelled=met.labelled, own=KEY).withColumnRenamed("cldice", "pixel_cldice")
     return objects.withColumnsRenamed(names).join(pixel, [*MKEY]).join(lines, [*MKEY])
 
 
@@ -134,7 +132,7 @@ pm AS (
 
 @query("pixel_metrics", *EVAL, sql=TRUTH + _PIXEL + " SELECT * FROM pm")
 def pixel_metrics(v: Views) -> DataFrame:
-    return metrics.pixel_metrics(evaluation_sides(v, keep=False).counts())
+    return metrics.pixel_metrics(evaluation_sides(v).counts())
 
 
 def _objects(empty: str) -> str:
@@ -159,7 +157,7 @@ om AS (
 @query("object_metrics", *EVAL, sql=TRUTH + _objects("1.0") + " SELECT * FROM om")
 def _(v: Views) -> DataFrame:
     at = evaluation_sides(v)
-    return metrics.object_metrics(at.slices, at.met, at.truth, labelled=at.labelled())
+    return metrics.object_metrics(at.slices, None, None, met=metrics.Meetings(at.labelled(), MKEY, KEY))
 
 
 def skeleton_sql(source: str, keys: str, name: str, steps: int = 40) -> str:
@@ -203,7 +201,7 @@ cl AS (SELECT model, subject, z, round(CASE WHEN coalesce(s0, 0) + coalesce(s1,
 @query("centerline_dice", *EVAL, sql=TRUTH + _LINES + " SELECT * FROM cl")
 def _(v: Views) -> DataFrame:
     at = evaluation_sides(v)
-    return rounded(metrics.centerline_dice(at.slices, at.met, at.truth, labelled=at.labelled()))
+    return rounded(metrics.centerline_dice(at.slices, None, None, labelled=at.labelled(), own=KEY))
 
 
 @query(

@@ -1,11 +1,12 @@
 """What kept queries from larger tables: pixels as rows where runs or tiles of bits do, and groups ordered whole."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rasterjobs import plans
-from rasterjobs.operators import kernels, pixels, prompts, stats, tiles
+from rasterjobs.operators import kernels, pixels, prompts, runs, stats, stencils, tiles
 
 
 def without_pixels(spark, small, name):
@@ -122,3 +123,45 @@ def test_importance_goes_through_no_broadcast(spark, small):
 
 def test_farthest_points_are_made_of_runs(spark, small):
     without_pixels(spark, small, "farthest_points")
+
+
+@pytest.mark.parametrize("name", ["object_metrics", "centerline_dice", "evaluation_in_box", "evaluation_table"])
+def test_truth_is_not_swept_for_each_model(spark, small, name, monkeypatch):
+    def swept(*_, **__):
+        raise AssertionError("a sweep by model")
+
+    monkeypatch.setattr(runs, "segments", swept)
+    assert without_pixels(spark, small, name).count() > 0
+
+
+def test_lines_of_many_slices_are_thinned_at_once(monkeypatch):
+    calls, plain = [], kernels.thin
+    monkeypatch.setattr(kernels, "thin", lambda a: calls.append(a.shape) or plain(a))
+    shapes = {z: [(0, 2, 9), (1, 2, 9), (2, 2, 9 + z)] for z in range(40)}
+    rows = [(z, 1, y, a, b) for z, held in shapes.items() for y, a, b in held]
+    batches = pa.table([pa.array(c, pa.int32()) for c in zip(*rows)], ["z", "comp_id", "y", "x0", "x1"]).to_batches(max_chunksize=7)
+    got = {(z, y, x) for b in stencils._thinned(1)(iter(batches)) for z, y, x0, x1 in zip(*b.to_pydict().values()) for x in range(x0, x1 + 1)}
+    want = set()
+    for z, held in shapes.items():
+        grid = np.zeros((3, 60), bool)
+        for y, a, b in held:
+            grid[y, a : b + 1] = True
+        want |= {(z, int(y), int(x)) for y, x in zip(*np.nonzero(plain(grid)))}
+    assert got == want and len(calls) == 1
+
+
+@pytest.mark.parametrize("held", [1, 5, 1 << 16])
+def test_sweeps_and_labels_do_not_depend_on_what_is_held_at_once(spark, held, monkeypatch):
+    monkeypatch.setattr(runs, "HELD", held)
+    draw = np.random.default_rng(3)
+    rows = sorted((int(z), int(y), int(a), int(a + w), int(k)) for z, y, a, w, k in zip(*(draw.integers(0, n, 300) for n in (3, 9, 40, 6)), 1 << draw.integers(0, 2, 300)))
+    table = pa.table([pa.array(c, pa.int32()) for c in zip(*rows)], ["z", "y", "x0", "x1", "_held"])
+    cells = {}
+    for z, y, a, b, k in rows:
+        for x in range(a, b + 1):
+            cells[z, y, x] = cells.get((z, y, x), 0) | k
+    out = [r for b in runs._swept(2, 2, None)(iter(table.to_batches(max_chunksize=11))) for r in zip(*b.to_pydict().values())]
+    assert {(z, y, x): k for z, y, a, b, k in out for x in range(a, b + 1)} == cells
+    both = [r for b in runs._swept(2, 2, lambda bits: (bits > 0).astype(np.int64))(iter(table.to_batches(max_chunksize=11))) for r in zip(*b.to_pydict().values())]
+    assert {(z, y, x) for z, y, a, b, _ in both for x in range(a, b + 1)} == set(cells)
+    assert all((z, y, b + 1) not in cells and (z, y, a - 1) not in cells for z, y, a, b, _ in both)
