@@ -165,3 +165,86 @@ def test_sweeps_and_labels_do_not_depend_on_what_is_held_at_once(spark, held, mo
     both = [r for b in runs._swept(2, 2, lambda bits: (bits > 0).astype(np.int64))(iter(table.to_batches(max_chunksize=11))) for r in zip(*b.to_pydict().values())]
     assert {(z, y, x) for z, y, a, b, _ in both for x in range(a, b + 1)} == set(cells)
     assert all((z, y, b + 1) not in cells and (z, y, a - 1) not in cells for z, y, a, b, _ in both)
+
+
+@pytest.mark.parametrize(("name", "used"), [("segmented_slices", "segment_tiles"), ("segmentation_counters", "segment_tiles"), ("ridge_segmentation", "ridge_tiles"), ("ridge_counters", "ridge_tiles")])
+def test_runs_of_a_model_begin_with_tiles_and_runs(spark, small, monkeypatch, name, used):
+    from rasterjobs.plans import prompting
+
+    class Reached(Exception):
+        pass
+
+    def stop(image, region, *_, **__):
+        raise Reached(image.columns, region.columns)
+
+    monkeypatch.setattr(prompting, used, stop)
+    with pytest.raises(Reached) as seen:
+        without_pixels(spark, small, name)
+    image, region = seen.value.args
+    assert "data" in image and "x0" in region
+
+
+def scene_of_planes(spark, n=3, h=23, w=19, seed=5):
+    draw = np.random.default_rng(seed)
+    a = draw.random((2, n, h, w))
+    px = spark.createDataFrame([("a", z, c, y, x, float(v)) for (z, c, y, x), v in np.ndenumerate(a)], "subject string, z int, c int, y int, x int, v double")
+    dims = spark.createDataFrame([("a", z, h, w) for z in range(2)], "subject string, z int, h int, w int")
+    every = px.select("subject", "z", "c").distinct().join(dims, ["subject", "z"])
+    return px, dims, tiles.joined(tiles.from_pixels(px, every, ("subject", "z", "c"), tile=8))
+
+
+@pytest.mark.parametrize("shrink", [1, 2])
+def test_tiles_go_to_working_frames_as_pixels_do(spark, shrink):
+    from rasterjobs.operators import frames
+
+    px, dims, planes = scene_of_planes(spark)
+    crops = dims.selectExpr("subject", "z", "1 + z AS y0", "17 AS h", "2 AS x0", "16 - z AS w")
+    region = spark.createDataFrame([("a", z, y, 5, 13) for z in range(2) for y in range(6, 15)], "subject string, z int, y int, x0 int, x1 int")
+    work = frames.work_frames(dims, crops, region, shrink, 1, None if shrink == 1 else 60).cache()
+    want = {(r.z, r.c, r.y, r.x): r.v for r in frames.image_to_work(px, work).collect()}
+    got = tiles.split(frames.tiles_to_work(planes, work, tile=4))
+    got = {(r.z, r.c, r.y, r.x): r.v for r in tiles.pixels(got, ("subject", "z", "c")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < (1e-12 if shrink > 1 else 1e-300) for k, v in want.items())
+
+
+def test_patches_are_cut_from_tiles_as_from_pixels(spark):
+    from rasterjobs.functions.columns import to_byte
+
+    px, dims, planes = scene_of_planes(spark)
+    grid = prompts.patch_grid(dims, 10, 6, rule="regular").filter("patch_id <> 3").cache()
+    want = prompts.patch_images(px.withColumn("v", to_byte(F.col("v"))), grid, 10)
+    got = tiles.cut(planes, grid, lambda a: np.trunc(np.clip(a * 255, 0, 255)), np.uint8, tile=8)
+    cols = ("subject", "z", "patch_id", "y0", "x0", "h", "w", "data")
+    assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_ridge_points_of_patches_are_those_of_their_pixels(spark):
+    px, dims, _ = scene_of_planes(spark, 1, 40, 36, 7)
+    px = px.drop("c").withColumn("v", F.round("v", 1)).cache()
+    roi = px.filter("(y - 20) * (y - 20) + (x - 18) * (x - 18) <= 260").select("subject", "z", "y", "x").cache()
+    grid, by = prompts.patch_grid(dims, 24, 12, rule="regular").cache(), ("subject", "z", "patch_id")
+    local = lambda df, *more: prompts.in_patches(df, grid, 24).select(*by, "y", "x", *more)
+    want = prompts.ridge_prompts(local(px, "v"), local(roi), dims, by=by, p=80)
+    marked = tiles.masked(tiles.from_pixels(px, dims, tile=16), pixels.runs(roi), tile=16, rest=np.nan)
+    got = prompts.ridge_prompts_of(tiles.cut(marked, grid, lambda a: a, np.float64, tile=16), by=by, p=80)
+    cols = (*by, "ord", "y", "x", "label")
+    assert rows(got, *cols) == rows(want, *cols) and got.count() > 20
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_what_lies_above_a_percentile_as_runs(spark, strict):
+    px, dims, _ = scene_of_planes(spark, 1)
+    px = px.drop("c").withColumn("v", F.round("v", 1)).cache()
+    region = spark.createDataFrame([("a", z, y, 3, 15) for z in range(2) for y in range(4, 20)], "subject string, z int, y int, x0 int, x1 int")
+    held = tiles.from_pixels(px, dims, tile=8)
+    for runs_, mask in ((region, pixels.pixels_of(region)), (None, px)):
+        want = stats.above_percentile(px, mask, 70, strict)
+        got = pixels.pixels_of(tiles.above_percentile_runs(held, 70, strict, runs=runs_, tile=8))
+        assert rows(got, "subject", "z", "y", "x") == rows(want, "subject", "z", "y", "x")
+
+
+def test_counters_sum_a_column(spark):
+    every = spark.createDataFrame([("a", z) for z in range(3)], "subject string, z int")
+    runs_ = spark.createDataFrame([("a", 0, 1, 0, 4), ("a", 0, 2, 3, 3), ("a", 2, 1, 0, 1), ("b", 0, 1, 0, 1)], "subject string, z int, y int, x0 int, x1 int")
+    got = stats.counters(every, {"n": runs_, "px": (runs_, runs.length())})
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 2, 6), ("a", 1, 0, 0), ("a", 2, 1, 2)] and [t for _, t in got.dtypes[2:]] == ["bigint", "bigint"]
