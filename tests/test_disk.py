@@ -189,3 +189,19 @@ def test_importance_inside_masks_is_that_of_their_pixels(spark):
     assert read(tiles.places_where(lines, lambda v, _: v == v, key)) == read(pixels.pixels_of(runs))
     limit = want.groupBy(*key).agg(F.percentile("v", 0.9).alias("p"))
     assert sorted(map(tuple, tiles.percentiles(lines, {"p": 90}, key).collect())) == sorted(map(tuple, limit.select(*key, "p").collect()))
+
+
+@pytest.mark.parametrize("name", ["roi_statistics", "density_prompts", "segmented_slices"])
+def test_blocks_of_subjects_give_the_whole(spark, monkeypatch, name):
+    """All subjects, each in one block; the files of a block do not wait for the last."""
+    from rasterjobs import plans
+    from rasterjobs.plans import registry
+
+    data = "/root/testdata/sf0.01"
+    read = lambda: sorted(str(tuple(r)) for r in plans.queries()[name](spark, data).collect())
+    whole, seen, plain = read(), [], registry.saved
+    monkeypatch.setattr(registry, "BLOCK", 20 * 128 * 128)
+    monkeypatch.setattr(registry, "saved", lambda df: seen.append(plain(df)) or seen[-1])
+    assert read() == whole and len(seen) == 3
+    held = [{r.subject for r in df.select("subject").distinct().collect()} for df in seen]
+    assert all(held) and sum(map(len, held)) == len(set.union(*held))
